@@ -5,16 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_turns, read_back
 from .common import table
 from .media import media_columns
+from .merkle import edited_fingerprints
+from .mixing import mix
 from .sharding import shard_by_bytes
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))["taken"]
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.sql("""SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)""")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return read_back(format_turns(rows)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = shard_by_bytes(table(spark, sf_dir, "documents"), 8)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes",
@@ -27,6 +44,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op10_media": op10_media}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_chat": op2_chat,
+    "op3_sharding": op3_sharding,
+    "op5_merkle": op5_merkle,
+    "op10_media": op10_media,
+}
 
 SQL: dict[str, str] = {}
