@@ -103,7 +103,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, repe
     )
     slots = schedule(targets, block)
     # A block has at most `repeats` slots, so the join makes at most that many rows of a piece.
-    met = pieces.join(slots.select("skey", "block", "used"), ["skey", "block"], "left").withColumn("took", F.coalesce(F.greatest(F.lit(0), F.least("until", "used") - F.col("from")), F.lit(0)))
+    met = pieces.join(slots.select("skey", "block", "used"), ["skey", "block"], "left").withColumn("took", F.greatest(F.lit(0), F.least(F.col("until"), F.coalesce("used", F.lit(0))) - F.col("from")))
     taken = met.groupBy("skey", "start").agg(*[F.first(c).alias(c) for c in ("key", "size", "source_size", "target")], F.sum("took").alias("taken"))
     columns = [F.col("key").alias(key), "size", "source_size", "target", "taken"]
     nothing = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
