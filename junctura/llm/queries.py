@@ -10,7 +10,9 @@ from .common import table
 from .media import media_columns
 from .merkle import edited_fingerprints
 from .mixing import mix
+from .packing import pack_documents
 from .sharding import shard_by_bytes
+from .toxicity import toxic_scores
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +30,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes",
@@ -48,7 +58,9 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat": op2_chat,
     "op3_sharding": op3_sharding,
+    "op4_packing": op4_packing,
     "op5_merkle": op5_merkle,
+    "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
 
