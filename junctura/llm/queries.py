@@ -10,6 +10,7 @@ from .common import table
 from .media import media_columns
 from .merkle import edited_fingerprints
 from .mixing import mix
+from .ngram_join import similar_documents
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .toxicity import toxic_scores
@@ -38,6 +39,10 @@ def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_merkle": op5_merkle,
+    "op7_ngram_join": op7_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
