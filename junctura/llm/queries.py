@@ -13,6 +13,7 @@ from .mixing import mix
 from .ngram_join import similar_documents
 from .packing import pack_documents
 from .sharding import shard_by_bytes
+from .suffix_dedup import removed_repeats
 from .toxicity import toxic_scores
 
 
@@ -43,6 +44,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_merkle": op5_merkle,
     "op7_ngram_join": op7_ngram_join,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
