@@ -1,8 +1,67 @@
-"""The corpus pipeline (stages are added below)."""
+"""A corpus pipeline over the operators of junctura.llm: toxic documents go, one of each group of near copies stays,
+personal data is masked, sources are mixed to weights, and what is left is packed into sequences."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from junctura.llm import mixing, ngram_join, packing, pii, toxicity
+from junctura.llm.common import stage, table
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """A key for each row: its id, or a hash of its text where it has none."""
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id; of repeated rows one."""
+    named = _named(docs)
+    groups = ngram_join.similar_documents(named.select("_key", "text"), key="_key")
+    kept = groups.where("_key = component_id").select("_key").distinct()
+    first = Window.partitionBy("_key").orderBy("text")
+    return named.join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked."""
+    return pii.mask(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, a part counting as a whole; so at most three times, or not at all."""
+    named = _named(docs)
+    taken = mixing.mix(named.select("_key", "text", "source"), key="_key")["taken"].where("taken > 0")
+    often = taken.select("_key", F.expr("cast((taken + size - 1) div size as int)").alias("_often"))
+    return named.join(often, "_key").withColumn("_nth", F.explode(F.sequence(F.lit(1), "_often"))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of the documents' token pieces in sequences."""
+    return packing.pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("ngram_join", ngram_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Several stages go beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over the documents, each staged as Parquet for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, work in STAGES[:-1]:
+        docs = stage(work(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,6 +12,7 @@ from .merkle import edited_fingerprints
 from .mixing import mix
 from .ngram_join import similar_documents
 from .packing import pack_documents
+from .pii import personal_spans
 from .sharding import shard_by_bytes
 from .suffix_dedup import removed_repeats
 from .toxicity import toxic_scores
@@ -40,6 +41,10 @@ def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_merkle": op5_merkle,
+    "op6_pii": op6_pii,
     "op7_ngram_join": op7_ngram_join,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,

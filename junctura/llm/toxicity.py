@@ -193,7 +193,6 @@ def learn_lexicon(train: DataFrame, support: float = 0.02, ratio: float = 20.0)
     characters stands for its words where it is in 1.5 times more toxic texts than any of them; of stems with as many texts
     the longest counts. The driver gets at most a few thousand candidate terms: those with the support.
     """
-    words = train.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_@$]+"), F.lit(0)))).alias("w")).where(F.length("w").between(SHORTEST, 24))
     n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
@@ -280,3 +279,17 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     made = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(score, "key long, score double")
     return made.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """The rows that score under 0.5, with all their columns: filtered batch by batch, without a shuffle."""
+    lexicon, weights = train(docs, labels, key, text, label, sample)
+
+    def keep(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon)
+        for batch in found:
+            texts = batch.column(batch.schema.names.index(text))
+            clean = [sum(a * b for a, b in zip(scorer.features(t.as_py() or ""), weights)) + weights[-1] < 0 for t in texts]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
