@@ -1 +1 @@
-
+"""The library has no streaming operators: its counts are complete when an aligner has ended."""
