@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -16,31 +18,44 @@ from .common import batches, partitions, stage, utf8
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at once.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 PIECES = pa.schema([("key", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit bytes. The vocabulary's pre-tokens never span ASCII white space, so each word
-    is given to the tokenizer once and its ids are remembered; the result equals encoding the whole text."""
+    """Ids of texts as little-endian 32-bit bytes. The vocabulary's pre-tokens never span ASCII white space and its
+    normalizer lowers case, so each lowered word is given to the tokenizer once and its ids are remembered; a comma or full
+    stop after an ASCII letter is a pre-token of its own. The result equals encoding the whole text."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[bytes, bytes] = {}
+        # Kept in the worker process, where later tasks find it again.
+        kept = sys.modules.setdefault("junctura_word_ids", types.ModuleType("junctura_word_ids"))
+        self.tokenizer, self.known = kept.__dict__.setdefault(f"of {vocabulary}", (Tokenizer.from_file(vocabulary), {}))
+        self.ends = {c: self.ids([chr(c)])[0] for c in b".,"}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
+        if b"<|" in text:  # special tokens are told by case
+            return self.ids([text.decode("utf-8", "replace")])[0]
+        words = text.lower().split()
         known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > REMEMBERED:
+        new = {w for w in words if w not in known}
+        if new:
+            if len(known) + 2 * len(new) > REMEMBERED:
                 known.clear()
-                new = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
+                new = set(words)
+            ended = [w for w in new if w[-1] in self.ends and len(w) > 1 and 97 <= w[-2] <= 122]
+            new.difference_update(ended)
+            new.update(w[:-1] for w in ended if w[:-1] not in known)
+            plain = list(new)
+            known.update(zip(plain, self.ids([w.decode("utf-8", "replace") for w in plain])))
+            known.update((w, known[w[:-1]] + self.ends[w[-1]]) for w in ended)
         return b"".join(map(known.__getitem__, words))
 
 
@@ -71,11 +86,11 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
     return made if keep_ids else made.drop("ids")
 
 
-def reachable(counts: list[int], room: int) -> list[int]:
+def reachable(counts: np.ndarray, room: int) -> list[int]:
     """For each length up to room: the sums up to room of items of at most that length, as bits."""
     mask, bits, out = (1 << (room + 1)) - 1, 1, [1]
-    for length in range(1, room + 1):
-        left, step = min(counts[length], room // length), 1
+    for length, n in enumerate(counts[1 : room + 1].tolist(), 1):
+        left, step = min(n, room // length), 1
         while left > 0:
             step = min(step, left)
             bits |= (bits << (step * length)) & mask
@@ -85,54 +100,63 @@ def reachable(counts: list[int], room: int) -> list[int]:
     return out
 
 
-def fillings(counts: list[int], room: int) -> Iterator[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of the room as (length, times), the least waste first and larger items first.
+def fillings(counts: np.ndarray, room: int, tried: int = 50) -> Iterator[tuple[tuple[int, int], ...]]:
+    """Undominated fillings of the room as (length, times), the least waste first.
 
-    A filling is dominated, and passed over, where one available item can take the place of two of its items (or of one and
-    of waste). Branches whose sums cannot reach the wanted waste are pruned by the bits of reachable sums.
+    One item that fits exactly dominates all else. Next comes the exact pair nearest to halves, which spares small items for
+    rooms that need them; then others, larger items first. Branches whose sums cannot reach the wanted waste are pruned by
+    the bits of reachable sums. A filling is dominated, and passed over, where one available item can take the place of two
+    of its items (or of one and of waste); after `tried` of these for a waste, the next waste is taken.
     """
-    if room <= 0 or not any(counts[1 : room + 1]):
+    if room <= 0 or not counts[1 : room + 1].any():
         yield ()
         return
-    if counts[room]:  # dominates all others
+    if counts[room]:
         yield ((room, 1),)
         return
-    sums = reachable(counts, room)
+    there = counts[1:room] > 0
+    pairs = np.flatnonzero(there & there[::-1]) + 1
+    pairs = pairs[(2 * pairs < room) | (2 * pairs == room) & (counts[np.minimum(pairs, room)] > 1)]
+    if len(pairs):
+        small = int(pairs[-1])
+        yield ((small, 2),) if 2 * small == room else ((room - small, 1), (small, 1))
+    sums, held = reachable(counts, room), counts.tolist()
 
     def search(target: int, top: int) -> Iterator[tuple[tuple[int, int], ...]]:
         if target == 0:
             yield ()
             return
         for length in range(min(top, target), 0, -1):
-            if not counts[length] or not sums[length] >> target & 1:
-                if not sums[length] >> target & 1:
-                    return
-                continue
-            for times in range(min(counts[length], target // length), 0, -1):
+            if not sums[length] >> target & 1:
+                return
+            for times in range(min(held[length], target // length), 0, -1):
                 if sums[length - 1] >> (target - times * length) & 1:
                     for more in search(target - times * length, length - 1):
                         yield ((length, times), *more)
 
     for waste in range(room):
         if sums[room] >> (room - waste) & 1:
-            for found in search(room - waste, room):
+            for i, found in enumerate(search(room - waste, room)):
                 items = [length for length, times in found for _ in range(min(times, 2))]
-                if not any(counts[a + e] for a in items for e in range(1, waste + 1) if a + e <= room):
+                swaps = {x + y for j, x in enumerate(items) for y in items[:j]}
+                if i == 0 or not any(s <= room and held[s] for s in swaps):
                     yield found
+                if i >= tried:
+                    break
 
 
-def bound(counts: list[int], capacity: int) -> int:
+def bound(counts: np.ndarray, capacity: int) -> int:
     """No packing has fewer bins: all items over the capacity, or the items of more than half of it."""
-    return max(-(-sum(length * n for length, n in enumerate(counts)) // capacity), sum(counts[capacity // 2 + 1 :]))
+    return max(-(-int(counts @ np.arange(len(counts))) // capacity), int(counts[capacity // 2 + 1 :].sum()))
 
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
 
 
-def complete(counts: list[int], capacity: int, turn: int = -1) -> list[Pattern]:
+def complete(counts: np.ndarray, capacity: int, turn: int = -1) -> list[Pattern]:
     """One descent of bin completion: the largest item left gets its best filling, in as many bins as the counts allow.
     At bin pattern `turn`, the second best filling is taken."""
-    counts, out = list(counts), []
+    counts, out = counts.copy(), []
     for largest in range(capacity, 0, -1):
         while counts[largest]:
             counts[largest] -= 1
@@ -144,7 +168,7 @@ def complete(counts: list[int], capacity: int, turn: int = -1) -> list[Pattern]:
             whole: dict[int, int] = {largest: 1}
             for length, times in best:
                 whole[length] = whole.get(length, 0) + times
-            often = min(counts[length] // times for length, times in whole.items())
+            often = int(min(counts[length] // times for length, times in whole.items()))
             if len(out) == turn:
                 often = 1
             for length, times in whole.items():
@@ -153,14 +177,14 @@ def complete(counts: list[int], capacity: int, turn: int = -1) -> list[Pattern]:
     return out
 
 
-def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, branches: int = 24) -> list[Pattern]:
+def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, branches: int = 8) -> list[Pattern]:
     """Patterns (bins, ((length, times in a bin), ...)) that pack the histogram's items into few bins.
 
     The first descent takes best fillings throughout and is the incumbent. While it has more bins than the lower bound,
     up to `branches` further descents depart from it at one bin each, from the last backwards; better ones replace it.
     The input has one entry per length, however many rows there are.
     """
-    counts = [histogram.get(length, 0) for length in range(capacity + 1)]
+    counts = np.array([histogram.get(length, 0) for length in range(capacity + 1)], np.int64)
     least, total = bound(counts, capacity), lambda patterns: sum(n for n, _ in patterns)
     best = complete(counts, capacity)
     for turn in range(len(best) - 1, max(-1, len(best) - 1 - branches), -1):
@@ -187,7 +211,7 @@ def places(patterns: list[Pattern]) -> np.ndarray:
     return np.asarray(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, branches: int = 24, rows_per_part: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, branches: int = 8, rows_per_part: int = 50_000) -> DataFrame:
     """Adds sequence_id and offset to pieces with a `length` of 1 to capacity; all rows are packed.
 
     The driver packs the histogram of lengths (at most `capacity` numbers) by bin completion. Rows get a rank among those
