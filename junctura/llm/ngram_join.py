@@ -195,6 +195,43 @@ def linked(pairs: DataFrame, docs: DataFrame, text: str, levels, k: int, similar
     return stage(found.where(F.col("overlap") * 100 >= similarity * (F.col("na") + F.col("nb") - F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "join-links")
 
 
+def partnered(members: DataFrame) -> DataFrame:
+    """The rows (h, cid) that may link with a member of another component of their bucket, by sizes and by the room of the
+    set whose prefix ends first; from rows (h, cid, n, room, last, comp). All buckets of a batch are compared at once, at
+    one distance in order of size after the other, until sizes are too far apart."""
+
+    def keep(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pick(rows: list[np.ndarray]) -> pa.RecordBatch:
+            h, cid, n, room, last, comp = rows
+            use = np.zeros(len(h), bool)
+            at, d = np.arange(len(h) - 1), 1
+            while len(at):
+                to = at + d
+                near = (h[at] == h[to]) & (10 * n[at] >= 8 * n[to])
+                at, to = at[near], to[near]
+                first = np.where((last[at] < last[to]) | (last[at] == last[to]) & (room[at] > room[to]), at, to)
+                may = (comp[at] != comp[to]) & (room[first] >= np.ceil((n[at] + n[to]) * 4 / 9 - 1e-9))
+                use[at[may]] = use[to[may]] = True
+                d += 1
+                at = at[at + d < len(h)]
+            return pa.RecordBatch.from_arrays([pa.array(h[use]), pa.array(cid[use])], names=["h", "cid"])
+
+        held: list[np.ndarray] | None = None
+        for batch in found:
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last bucket may go on
+            if cut:
+                yield pick([x[:cut] for x in rows])
+            held = [x[cut:] for x in rows]
+        if held is not None and len(held[0]):
+            yield pick(held)
+
+    dealt = members.select("h", "cid", "n", "room", "last", "comp").repartition(partitions(members.sparkSession), "h").sortWithinPartitions("h", "n")
+    return dealt.mapInArrow(keep, "h long, cid long")
+
+
 def cross_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) that may link and that no bucket's star has joined, from rows (h, cid, n, room, last, comp, shared).
 
@@ -300,9 +337,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     joined = components(links)
     placed = members.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     placed = stage(placed, "join-placed")
-    where = shared.join(placed.select("cid", "comp"), "cid")
-    open_buckets = where.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    met = where.join(open_buckets, "h", "left_semi").select("h", "cid").join(placed, "cid")
+    met = partnered(shared.join(placed.select("cid", "n", "room", "last", "comp"), "cid")).join(placed, "cid")
     more = stage(cross_pairs(met).distinct(), "join-cross")
     links = links.unionByName(linked(more, docs, text, levels, k, similarity))
     found = components(links)
