@@ -29,14 +29,20 @@ def _ranged(df: DataFrame, order: list) -> DataFrame:
     return staged(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
 
 
-def with_index(df: DataFrame, order: list, name: str) -> DataFrame:
-    """Adds each row's place (from 0) in the order: rows are range partitioned, a row per partition gives its count, and
-    prefix sums over those give where each partition begins."""
+def with_index(df: DataFrame, order: list, name: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """Adds each row's place (from 0) in the order, and for each entry new: column of `sums` what the column adds up to in
+    all rows before. Rows are range partitioned and sorted; a row per partition gives its totals, and prefix sums over those
+    give what comes before it."""
+    sums = sums or {}
     ranged = _ranged(df, order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_part").orderBy(*order)
-    return ranged.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.row_number().over(within) - 1).drop("_part", "_before")
+    totals = ranged.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{s}") for s, c in sums.items()])
+    places = totals.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before{c}") for c in ("_n", *(f"_sum_{s}" for s in sums))])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = ranged.join(F.broadcast(places), "_part")  # a row per partition
+    new = [(F.col("_before_n") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).alias(name)]
+    new += [(F.col(f"_before_sum_{s}") + F.sum(c).over(within) - F.col(c)).alias(s) for s, c in sums.items()]
+    return joined.select(*df.columns, *new)
 
 
 def first_seen_index(df: DataFrame, key: str, order: str, name: str) -> DataFrame:

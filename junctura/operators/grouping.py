@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import event_name, first_seen_index, row_name, splice_key
+from ..functions import event_name, row_name, splice_key, with_index
 
 KEY = ["chr", "start", "end", "strand"]
 KINDS = {"start_end": ("S", "E"), "start": ("S",), "end": ("E",)}
@@ -39,11 +39,13 @@ def splice_events(junctions: DataFrame, kind: str = "start_end") -> DataFrame:
 
 
 def number_events(events: DataFrame) -> DataFrame:
-    """Adds event_idx (S events in order of junction, then E events) and group_id (dense, by first appearance)."""
-    from ..functions import with_index
-
-    indexed = with_index(events, ["kind_order", "junction_idx"], "event_idx")
-    return first_seen_index(indexed, "group_key", "event_idx", "group_id")
+    """Adds event_idx (S events in order of junction, then E events) and group_id (dense, by first appearance): a group's
+    id is the number of groups whose first event comes before its own."""
+    order = ["kind_order", "junction_idx"]
+    by_group = Window.partitionBy("group_key")
+    opened = events.withColumn("_opens", (F.row_number().over(by_group.orderBy(*order)) == 1).cast("int"))
+    placed = with_index(opened, order, "event_idx", {"_groups": "_opens"})
+    return placed.withColumn("group_id", F.max(F.when(F.col("_opens") == 1, F.col("_groups"))).over(by_group)).drop("_opens", "_groups")
 
 
 def filter_min_counts(events: DataFrame, m1: DataFrame, min_counts: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import with_index
 from ..operators.grouping import number_events, splice_events
 
 
@@ -25,12 +26,10 @@ def junction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_and_counts(spark: SparkSession, sf_dir: str, kind: str = "start_end") -> tuple[DataFrame, DataFrame]:
     """Numbered events and their inclusion counts (event_idx, cell_idx, value)."""
-    from ..functions import staged, with_index
-
-    counts = staged(junction_counts(spark, sf_dir))
+    counts = junction_counts(spark, sf_dir)
     key = ["chr", "start", "end", "strand"]
-    junctions = with_index(counts.select(*key).distinct(), key, "junction_idx")
-    events = staged(number_events(splice_events(junctions, kind)))
+    junctions = with_index(junction_reads(spark, sf_dir).select(*key).distinct(), key, "junction_idx")
+    events = number_events(splice_events(junctions, kind))
     m1 = counts.join(events.select(*key, "event_idx"), key).select("event_idx", "cell_idx", "value")
     return events, m1
 
