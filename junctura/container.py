@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: The key of the settings, and the one that older files have.
-NAMESPACE, LEGACY = "junctura", "splikit"
+#: The key of the settings.
+NAMESPACE = "junctura"
 EVENT_COLUMNS = ("chr", "start", "end", "strand", "row_name", "group_kind", "group_count", "group_id")
 
 
@@ -68,11 +68,11 @@ class CountSet:
         return CountSet(spark.read.parquet(f"{path}/obs"), spark.read.parquet(f"{path}/var"), {n: spark.read.parquet(f"{path}/layers/{n}") for n in held["layers"]}, namespace(held))
 
 
-def namespace(held: dict[str, Any]) -> dict[str, Any]:
-    """The settings, moved from the older key with a warning where only that is there."""
-    if NAMESPACE not in held and LEGACY in held:
-        warnings.warn(f"settings under {LEGACY!r} are read as {NAMESPACE!r}", FutureWarning, stacklevel=3)
-        held[NAMESPACE] = held.pop(LEGACY)
+def namespace(held: dict[str, Any], older: str | None = None) -> dict[str, Any]:
+    """The settings, moved from an older key with a warning where only that is there."""
+    if NAMESPACE not in held and older is not None and older in held:
+        warnings.warn(f"settings under {older!r} are read as {NAMESPACE!r}", FutureWarning, stacklevel=3)
+        held[NAMESPACE] = held.pop(older)
     return held.setdefault(NAMESPACE, {})
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Largest declared entries and cells; the environment variables raise them.
 MOST_ENTRIES, MOST_CELLS = 5_000_000_000, 10**13
-ENTRIES_VARIABLE, CELLS_VARIABLE = "SPLIKIT_MAX_MTX_NNZ", "SPLIKIT_MAX_MTX_SHAPE"
+ENTRIES_VARIABLE, CELLS_VARIABLE = "JUNCTURA_MAX_MTX_NNZ", "JUNCTURA_MAX_MTX_SHAPE"
 
 
 def shape(spark: SparkSession, path: str, what: str = "matrix.mtx") -> tuple[int, int, int]:

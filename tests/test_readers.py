@@ -156,7 +156,7 @@ def test_matrix_details(spark, tmp_path, monkeypatch):
     write(path, "%%MatrixMarket\n% c\n3 2 3\n3 2 3\n1 1 2\n1 1 5\n")
     assert {(r.row, r.col): r.value for r in mtx.entries(spark, path).collect()} == {(2, 1): 3, (0, 0): 7}
     assert mtx.shape(spark, path) == (3, 2, 3)
-    monkeypatch.setenv("SPLIKIT_MAX_MTX_NNZ", "2")
+    monkeypatch.setenv("JUNCTURA_MAX_MTX_NNZ", "2")
     with pytest.raises(ValueError, match="nnz"):
         mtx.shape(spark, path)
     write(str(tmp_path / "l.txt"), "a\n\nb\nc\n")
@@ -183,4 +183,4 @@ def test_container(spark, tmp_path):
     with pytest.raises(KeyError):
         validate_pair(CountSet(got.obs, got.var, {"M1": got.layers["M1"]}))
     with pytest.warns(FutureWarning):
-        assert namespace({"splikit": {"m2_valid": True}}) == {"m2_valid": True}
+        assert namespace({"older": {"m2_valid": True}}, "older") == {"m2_valid": True}
