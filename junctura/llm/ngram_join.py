@@ -87,7 +87,8 @@ def ranks(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 def prefixes(docs: DataFrame, text: str, levels, k: int) -> DataFrame:
     """(cid, n, last, common, prefix) of each class: its first n - ceil(0.8 n) + 1 shingles in the global order. Two sets of
-    similarity 0.8 or more have a shingle of both prefixes in common. `common` is the mean level: how common its shingles are."""
+    similarity 0.8 or more have a shingle of both prefixes in common. `common` is the mean level: how common its shingles are.
+    Shingles are given by their ranks in the order."""
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
@@ -103,7 +104,7 @@ def prefixes(docs: DataFrame, text: str, levels, k: int) -> DataFrame:
                 n.append(len(s))
                 last.append(int(rank[order].max()))
                 common.append(float((rank >> 56).mean()))
-                prefix.append(s[order].view(np.int64))
+                prefix.append(rank[order])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefix], dtype=np.int64)]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(last, pa.int64()), pa.array(common, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["cid", "n", "last", "common", "prefix"])
@@ -141,11 +142,6 @@ def shared_only(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(spark), "h").sortWithinPartitions("h").mapInArrow(keep, "h long, cid long")
 
 
-def least_overlap(a: str, b: str):
-    """The overlap that sets of sizes a and b need: 100 o >= 80 (a + b - o)."""
-    return F.ceil((F.col(a) + F.col(b)) * 4 / F.lit(9) - 1e-9)
-
-
 def verified(pairs: DataFrame, docs: DataFrame, text: str, levels, k: int) -> DataFrame:
     """(a, b, overlap, na, nb) of pairs of classes (a, b): the sets are cut into fragments of the global order, overlaps are
     counted in each fragment apart and summed for each pair."""
@@ -195,30 +191,36 @@ def linked(pairs: DataFrame, docs: DataFrame, text: str, levels, k: int, similar
     return stage(found.where(F.col("overlap") * 100 >= similarity * (F.col("na") + F.col("nb") - F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "join-links")
 
 
+def _may_link(first, second, n, last, behind, after, comp):
+    """Of pairs of places in these vectors: whether they are of different components, of near sizes, and could have enough
+    in common if this bucket's shingle is the first that they share. Of the set whose prefix ends first, all that the other
+    can have is at this shingle or later in its prefix (`after`), or behind it. Also gives which of the two that is."""
+    ends = np.where(last[first] <= last[second], first, second)
+    need = np.ceil((n[first] + n[second]) * 4 / 9 - 1e-9)
+    near = 10 * np.minimum(n[first], n[second]) >= 8 * np.maximum(n[first], n[second])
+    return (comp[first] != comp[second]) & near & (after[ends] + behind[ends] >= need), ends, need
+
+
 def partnered(members: DataFrame) -> DataFrame:
-    """The rows (h, cid) that may link with a member of another component of their bucket, by sizes and by the room of the
-    set whose prefix ends first; from rows (h, cid, n, room, last, comp). All buckets of a batch are compared at once, at
-    one distance in order of size after the other, until sizes are too far apart."""
+    """The rows (h, cid) that may link with a member of their bucket; from rows (h, cid, n, last, behind, after, comp). All
+    buckets of a batch are compared at once, at one distance in order of size after the other, until sizes are too far apart."""
 
     def keep(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pick(rows: list[np.ndarray]) -> pa.RecordBatch:
-            h, cid, n, room, last, comp = rows
+            h, cid, n, last, behind, after, comp = rows
             use = np.zeros(len(h), bool)
             at, d = np.arange(len(h) - 1), 1
             while len(at):
-                to = at + d
-                near = (h[at] == h[to]) & (10 * n[at] >= 8 * n[to])
-                at, to = at[near], to[near]
-                first = np.where((last[at] < last[to]) | (last[at] == last[to]) & (room[at] > room[to]), at, to)
-                may = (comp[at] != comp[to]) & (room[first] >= np.ceil((n[at] + n[to]) * 4 / 9 - 1e-9))
-                use[at[may]] = use[to[may]] = True
+                at = at[(h[at] == h[at + d]) & (10 * n[at] >= 8 * n[at + d])]
+                may = _may_link(at, at + d, n, last, behind, after, comp)[0]
+                use[at[may]] = use[at[may] + d] = True
                 d += 1
                 at = at[at + d < len(h)]
             return pa.RecordBatch.from_arrays([pa.array(h[use]), pa.array(cid[use])], names=["h", "cid"])
 
         held: list[np.ndarray] | None = None
         for batch in found:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last bucket may go on
@@ -228,71 +230,73 @@ def partnered(members: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield pick(held)
 
-    dealt = members.select("h", "cid", "n", "room", "last", "comp").repartition(partitions(members.sparkSession), "h").sortWithinPartitions("h", "n")
+    dealt = members.select("h", "cid", "n", "last", "behind", "after", "comp").repartition(partitions(members.sparkSession), "h").sortWithinPartitions("h", "n")
     return dealt.mapInArrow(keep, "h long, cid long")
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) that may link and that no bucket's star has joined, from rows (h, cid, n, room, last, comp, shared).
+    """Pairs (a, b) that may link and that no bucket's star has joined, from rows (h, cid, n, last, behind, comp, shared).
 
-    In a bucket (one h), a member meets those of other components with a later end of prefix, in blocks of 256 members.
-    The number of shingles that both prefixes share bounds the overlap: of the set whose prefix ends first, all else that
-    the other can have lies behind its prefix. What passes is given once, in the first bucket that both are in.
+    In a bucket (one h), members of different components that _may_link() are compared by their lists of shared shingles:
+    the number in both lists bounds the overlap. What passes is given once, in the bucket of the first common shingle. In a
+    large bucket a member is compared with all others at once, by who has each of its shingles.
     """
 
     def meet(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        rows.sort(key=lambda r: (r[4], r[1]))  # by end of prefix
-        size = len(rows)
-        n, room, cid, comp = (np.array([r[i] for r in rows]) for i in (2, 3, 1, 5))
-        if len(set(comp.tolist())) < 2:
+        size, here = len(rows), rows[0][0]
+        cid, n, last, behind, comp = (np.array([r[i] for r in rows]) for i in range(1, 6))
+        lists = [r[6] for r in rows]
+        after = np.array([len(x) - np.searchsorted(x, here) for x in lists])
+        named = lambda x, y: (int(cid[x]), int(cid[y])) if cid[x] < cid[y] else (int(cid[y]), int(cid[x]))
+        if size <= 64:
+            i, j = np.triu_indices(size, 1)
+            may, ends, need = _may_link(i, j, n, last, behind, after, comp)
+            for x, y, e, least in zip(i[may].tolist(), j[may].tolist(), ends[may].tolist(), need[may].tolist()):
+                both = np.intersect1d(lists[x], lists[y], assume_unique=True)
+                if both[0] == here and len(both) + behind[e] >= least:
+                    yield named(x, y)
             return
-        flat = np.concatenate([r[6] for r in rows])
+        flat = np.concatenate(lists)
         tokens, column = np.unique(flat, return_inverse=True)
-        owner = np.repeat(np.arange(size), [len(r[6]) for r in rows])
-        here = rows[0][0]
+        owner = np.repeat(np.arange(size), [len(x) for x in lists])
         order = np.argsort(column, kind="stable")
-        lists = np.split(owner[order], np.flatnonzero(np.diff(column[order])) + 1)
-        before = tokens < here
-        mine: list[list[int]] = [[] for _ in rows]
-        for o, c in zip(owner.tolist(), column.tolist()):
-            mine[o].append(c)
+        owners = np.split(owner[order], np.flatnonzero(np.diff(column[order])) + 1)
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        earlier = tokens < here
         for x in range(size - 1):
             y = np.arange(x + 1, size)
-            need = np.ceil((n[x] + n[y]) * 4 / 9 - 1e-9)
-            y = y[(comp[y] != comp[x]) & (10 * np.minimum(n[x], n[y]) >= 8 * np.maximum(n[x], n[y])) & (room[x] >= need)]
-            if not len(y):
+            may, ends, need = _may_link(np.full(len(y), x), y, n, last, behind, after, comp)
+            if not may.any():
                 continue
-            both = np.zeros(size, np.int64)
-            early = np.zeros(size, bool)
-            for c in mine[x]:
-                both[lists[c]] += 1
-                if before[c]:
-                    early[lists[c]] = True
-            need = np.ceil((n[x] + n[y]) * 4 / 9 - 1e-9)
-            outside = room[x] - len(mine[x])  # of x, behind its prefix
-            for other in y[(both[y] + outside >= need) & ~early[y]].tolist():
-                yield (int(cid[x]), int(cid[other])) if cid[x] < cid[other] else (int(cid[other]), int(cid[x]))
+            y, ends, need = y[may], ends[may], need[may]
+            both, early = np.zeros(size, np.int64), np.zeros(size, bool)
+            for c in column[cuts[x] : cuts[x + 1]].tolist():
+                both[owners[c]] += 1
+                if earlier[c]:
+                    early[owners[c]] = True
+            for other in y[(both[y] + behind[ends] >= need) & ~early[y]].tolist():
+                yield named(x, other)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give = lambda out: pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
         held: list[tuple] = []
         out: list[tuple[int, int]] = []
         for batch in found:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for *row, shared in zip(*columns, batch.column(6)):
+            values, offsets = batch.column(6).values.to_numpy(), batch.column(6).offsets.to_numpy()
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
                 if held and held[0][0] != row[0]:
                     out.extend(meet(held))
                     held = []
-                held.append((*row, np.asarray(shared.values)))
+                held.append((*row, values[offsets[i] : offsets[i + 1]]))
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+                yield give(out)
                 out = []
         if held:
             out.extend(meet(held))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+            yield give(out)
 
-    spark = members.sparkSession
-    dealt = members.select("h", "cid", "n", "room", "last", "comp", "shared").repartition(partitions(spark), "h").sortWithinPartitions("h")
+    dealt = members.select("h", "cid", "n", "last", "behind", "comp", "shared").repartition(partitions(members.sparkSession), "h").sortWithinPartitions("h")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -319,28 +323,38 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     levels = spark.sparkContext.broadcast(counted)
     signed = stage(prefixes(docs, text, levels, k), "join-prefixes")
     shared = stage(shared_only(signed.select(F.explode("prefix").alias("h"), "cid")), "join-shared")
-    lists = shared.groupBy("cid").agg(F.collect_list("h").alias("shared"))  # at most a prefix each
+    lists = shared.groupBy("cid").agg(F.array_sort(F.collect_list("h")).alias("shared"))  # at most a prefix each
     behind = F.col("n") - (F.col("n") - F.ceil(F.col("n") * 8 / 10) + 1)
-    members = stage(
-        signed.drop("prefix").join(lists, "cid").withColumn("room", F.size("shared") + behind).select("cid", "n", "last", "common", "room", "shared"), "join-members"
-    )
-    spread = shared.join(members.select("cid", "n", "last", "common", "room"), "cid")
-    heads = spread.groupBy("h").agg(F.max(F.struct("common", "cid", "n", "last", "room")).alias("head"))
+    members = stage(signed.drop("prefix").join(lists, "cid").withColumn("behind", behind).select("cid", "n", "last", "common", "behind", "shared"), "join-members")
+
+    def spread(rows: DataFrame) -> DataFrame:
+        """A row per shared shingle, with how many of the list are at it or later."""
+        flat = rows.select(*[c for c in rows.columns if c != "shared"], F.size("shared").alias("_size"), F.posexplode("shared").alias("_at", "h"))
+        return flat.withColumn("after", (F.col("_size") - F.col("_at")).cast("long")).drop("_size", "_at")
+
+    bucketed = spread(members)
+    heads = bucketed.groupBy("h").agg(F.max(F.struct("common", "cid", "n", "last", "behind", "after")).alias("head"))
+    room = F.when(F.col("last") <= F.col("head.last"), F.col("after") + F.col("behind")).otherwise(F.col("head.after") + F.col("head.behind"))
     star = (
-        spread.join(heads, "h").where(F.col("head.cid") != F.col("cid"))
+        bucketed.join(heads, "h").where(F.col("head.cid") != F.col("cid"))
         .where(10 * F.least("n", "head.n") >= 8 * F.greatest("n", "head.n"))
-        .withColumn("first_room", F.when(F.col("last") < F.col("head.last"), F.col("room")).when(F.col("last") > F.col("head.last"), F.col("head.room")).otherwise(F.greatest("room", "head.room")))
-        .where(F.col("first_room") >= F.ceil((F.col("n") + F.col("head.n")) * 4 / F.lit(9) - 1e-9))
+        .where(room >= F.ceil((F.col("n") + F.col("head.n")) * 4 / F.lit(9) - 1e-9))
         .select(F.least("cid", "head.cid").alias("a"), F.greatest("cid", "head.cid").alias("b")).distinct()
     )
     links = linked(stage(star, "join-star"), docs, text, levels, k, similarity)
     joined = components(links)
     placed = members.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     placed = stage(placed, "join-placed")
-    met = partnered(shared.join(placed.select("cid", "n", "room", "last", "comp"), "cid")).join(placed, "cid")
+    met = partnered(spread(placed.drop("common"))).join(placed, "cid")
     more = stage(cross_pairs(met).distinct(), "join-cross")
-    links = links.unionByName(linked(more, docs, text, levels, k, similarity))
-    found = components(links)
+    found = joined
+    if more.limit(1).count():  # components that further links join
+        label = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        further = linked(more, docs, text, levels, k, similarity).join(label("u"), "u", "left").join(label("v"), "v", "left")
+        merged = components(further.select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v")))
+        deeper = merged.withColumnRenamed("component", "deep").withColumnRenamed("node", "component")
+        old = joined.join(deeper, "component", "left").select("node", F.coalesce("deep", "component").alias("component"))
+        found = old.unionByName(merged.join(joined.select("node"), "node", "left_anti"))
     named = rows.where("cid is not null").groupBy("cid").agg(F.min("key").alias("least"))
     groups = named.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     least = groups.groupBy("comp").agg(F.min("least").alias("component_id"))
