@@ -56,6 +56,27 @@ def contexts(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     return np.array([p[0] for p in parts], np.int64)[part], anchors[first].view(np.int64), span_hashes(sums, first, last + LENGTH).view(np.int64), first + shift, last + shift
 
 
+def once_each(doc: np.ndarray, h: np.ndarray, c: np.ndarray, s: np.ndarray, e: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One of each text's contexts of equal content, and `own` rows for what those that are there twice or more cover,
+    joined where they touch: so text that repeats a phrase over and over has few rows, and no anchor gathers them."""
+    order = np.lexsort((s, c, h, doc))
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
+    often = np.bincount(np.cumsum(fresh) - 1)
+    first = np.zeros(len(doc), bool)
+    first[order[fresh]] = True
+    many = np.zeros(len(doc), bool)
+    many[order] = np.repeat(often > 1, often)
+    d, a, b = doc[many], s[many], e[many] + LENGTH
+    starts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] > b[:-1])])) if len(d) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(d)) - 1 if len(d) else starts
+    spread = mixed(cid[d[starts]].view(np.uint64) + a[starts].astype(np.uint64)).view(np.int64)
+    own = np.concatenate([np.zeros(int(first.sum()), bool), np.ones(len(starts), bool)])
+    columns = [np.concatenate(x) for x in ((doc[first], d[starts]), (h[first], spread), (c[first], spread), (s[first], a[starts]), (e[first], b[ends] - LENGTH))] + [own]
+    by_doc = np.argsort(columns[0], kind="stable")
+    return tuple(x[by_doc] for x in columns)
+
+
 def _scan(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the contexts of each text, as lists."""
     for batch in found:
@@ -72,11 +93,10 @@ def _scan(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 weight += len(part)
         if held:
             got.append(contexts(held))
-        doc, h, c, s, e = (np.concatenate(x) for x in zip(*got)) if got else (np.empty(0, np.int64),) * 5
+        doc, h, c, s, e, own = once_each(*(np.concatenate(x) for x in zip(*got)), batch.column(0).to_numpy()) if got else (np.empty(0, np.int64),) * 6
         offsets = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((h, pa.int64()), (c, pa.int64()), (s.astype(np.int32), pa.int32()), (e.astype(np.int32), pa.int32())))], names=["cid", "h", "c", "s", "e"]
-        )
+        columns = ((h, pa.int64()), (c, pa.int64()), (s.astype(np.int32), pa.int32()), (e.astype(np.int32), pa.int32()), (own.astype(bool), pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in columns)], names=["cid", "h", "c", "s", "e", "own"])
 
 
 def _mark(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +120,9 @@ def _mark(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if before is not None:
             same_h[0], same_c[0] = before[0] == h[0], before[0] == h[0] and before[1] == c[0]
         size = n if final else n - 1  # the last row waits for its successor
-        shared = same_h[:size] | same_h[1 : size + 1]
-        whole = same_c[:size] | same_c[1 : size + 1]
+        own = rows[5][:size].astype(bool)
+        shared = same_h[:size] | same_h[1 : size + 1] | own
+        whole = same_c[:size] | same_c[1 : size + 1] | own
         change = same_h[:n] & ~same_c[:n]
         fetch = change[:size].copy()
         extra = []
@@ -115,9 +136,9 @@ def _mark(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif heads[g] < size:
                 fetch[heads[g]] = True
         if len(heads):
-            opening = None if len(group) and group[-1] == len(heads) - 1 else tuple(int(x[heads[-1]]) for x in rows)
+            opening = None if len(group) and group[-1] == len(heads) - 1 else tuple(int(x[heads[-1]]) for x in rows[:5])
         if shared.any():
-            yield give([x[:size][shared] for x in rows], whole[shared], fetch[shared])
+            yield give([x[:size][shared] for x in rows[:5]], whole[shared], fetch[shared])
         if extra:
             yield give([np.array([r[i] for r in extra]) for i in range(5)], np.zeros(len(extra), bool), np.ones(len(extra), bool))
 
@@ -125,7 +146,7 @@ def _mark(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in found:
         if not batch.num_rows:
             continue
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         if held is not None:
             rows = [np.concatenate([[a], b]) for a, b in zip(held, rows)]
         if len(rows[0]) > 1:
@@ -226,9 +247,9 @@ def removed_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     named = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("data")).withColumn("cid", F.xxhash64("data"))
     base = stage(named.select("key", F.length("data").cast("long").alias("n_bytes"), "cid", F.sha2("data", 256).alias("whole_sha256")), "dedup-base")
     classes = base.groupBy("cid").agg(F.count("*").alias("copies"), F.min("key").alias("least"))
-    lists = named.select("cid", "data").mapInArrow(_scan, "cid long, h array<long>, c array<long>, s array<int>, e array<int>").where("size(h) > 0")
-    once = lists.groupBy("cid").agg(*[F.first(c).alias(c) for c in "hcse"])
-    rows = once.select("cid", F.explode(F.arrays_zip("h", "c", "s", "e")).alias("x")).select("x.h", "x.c", "cid", F.col("x.s").cast("long").alias("s"), F.col("x.e").cast("long").alias("e"))
+    lists = named.select("cid", "data").mapInArrow(_scan, "cid long, h array<long>, c array<long>, s array<int>, e array<int>, own array<boolean>").where("size(h) > 0")
+    once = lists.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("h", "c", "s", "e", "own")])
+    rows = once.select("cid", F.explode(F.arrays_zip("h", "c", "s", "e", "own")).alias("x")).select("x.h", "x.c", "cid", F.col("x.s").cast("long").alias("s"), F.col("x.e").cast("long").alias("e"), "x.own")
     marked = stage(rows.repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(_mark, "h long, c long, cid long, s long, e long, whole boolean, fetch boolean"), "dedup-marked")
     wanted = marked.groupBy("cid").agg(F.collect_list(F.when(F.col("fetch"), F.struct("h", "c", "s", "e"))).alias("wanted")).join(classes, "cid")
     texts = stage(named.join(wanted, "cid").where(F.col("key").eqNullSafe(F.col("least"))).select("cid", "data", "wanted", "copies"), "dedup-texts")
