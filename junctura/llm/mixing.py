@@ -70,7 +70,7 @@ def schedule(targets: DataFrame, block: int = 1024, run: int = 4096) -> DataFram
     )
 
 
-def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int = 1024, key: str = "doc_id", text: str = "text", source: str = "source", rows_per_stretch: int = 50_000) -> dict[str, DataFrame]:
+def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int = 1024, key: str = "doc_id", text: str = "text", source: str = "source", rows_per_stretch: int = 4_096) -> dict[str, DataFrame]:
     """A mix of the sources by weight.
 
     Each source's documents are shuffled by a hash of key and seed and laid end to end; the line is cut into blocks of
