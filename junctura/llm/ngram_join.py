@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, stage, utf8
@@ -85,13 +85,28 @@ def ranks(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return (levels[_cells(found)].astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)).astype(np.int64)
 
 
-def prefixes(docs: DataFrame, text: str, levels, k: int) -> DataFrame:
+def class_map(cids: DataFrame):
+    """A broadcast map of 2^24 bits with the classes of column c; the driver gets at most 2^19 numbers."""
+    bits = cids.select(F.shiftrightunsigned("c", 64 - MAP_BITS).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
+    flags = np.zeros(1 << (MAP_BITS - 5), np.uint32)
+    for row in bits.toLocalIterator():
+        flags[row["word"]] = row["bits"]
+    return cids.sparkSession.sparkContext.broadcast(flags.tobytes())
+
+
+def in_map(flags: np.ndarray, cid: int) -> bool:
+    at = (cid & ((1 << 64) - 1)) >> (64 - MAP_BITS)
+    return bool(flags[at >> 5] >> np.uint32(at & 31) & np.uint32(1))
+
+
+def prefixes(docs: DataFrame, text: str, levels, copied, k: int) -> DataFrame:
     """(cid, n, last, common, prefix) of each class: its first n - ceil(0.8 n) + 1 shingles in the global order. Two sets of
     similarity 0.8 or more have a shingle of both prefixes in common. `common` is the mean level: how common its shingles are.
-    Shingles are given by their ranks in the order."""
+    Shingles are given by their ranks in the order. Only classes in the map `copied` can have several rows, so only those
+    are shuffled to keep one."""
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, np.uint8)
+        level, flags = np.frombuffer(levels.value, np.uint8), np.frombuffer(copied.value, np.uint32)
         for batch in found:
             cid, n, last, common, prefix = [], [], [], [], []
             for s in shingle_sets(batch.column(0), k):
@@ -107,10 +122,11 @@ def prefixes(docs: DataFrame, text: str, levels, k: int) -> DataFrame:
                 prefix.append(rank[order])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefix], dtype=np.int64)]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(last, pa.int64()), pa.array(common, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["cid", "n", "last", "common", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(last, pa.int64()), pa.array(common, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([in_map(flags, c) for c in cid], pa.bool_())], names=["cid", "n", "last", "common", "prefix", "copied"])
 
-    made = docs.select(utf8(text).alias("data")).mapInArrow(cut, "cid long, n long, last long, common double, prefix array<long>")
-    return made.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "last", "common", "prefix")])
+    made = stage(docs.select(utf8(text).alias("data")).mapInArrow(cut, "cid long, n long, last long, common double, prefix array<long>, copied boolean"), "join-prefixes")
+    one = made.where("copied").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "last", "common", "prefix")])
+    return made.where("not copied").drop("copied").unionByName(one)
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
@@ -145,13 +161,7 @@ def shared_only(rows: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, text: str, levels, k: int) -> DataFrame:
     """(a, b, overlap, na, nb) of pairs of classes (a, b): the sets are cut into fragments of the global order, overlaps are
     counted in each fragment apart and summed for each pair."""
-    spark: SparkSession = docs.sparkSession
-    bit = F.shiftrightunsigned("c", 64 - MAP_BITS)
-    words = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))
-    flags = np.zeros(1 << (MAP_BITS - 5), np.uint32)
-    for row in words.toLocalIterator():  # at most 2^19 numbers
-        flags[row["word"]] = row["bits"]
-    wanted = spark.sparkContext.broadcast(flags.tobytes())
+    wanted = class_map(pairs.select(F.explode(F.array("a", "b")).alias("c")))
     n_fragments = 4 + len(LEVEL_CUTS)
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +172,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, levels, k: int) -> Da
                 if not len(s):
                     continue
                 cid = class_id(s)
-                at = (cid & ((1 << 64) - 1)) >> (64 - MAP_BITS)
-                if not flags[at >> 5] >> np.uint32(at & 31) & np.uint32(1):
+                if not in_map(flags, cid):
                     continue
                 lv = level[_cells(s)]
                 f = np.where(lv < LEVEL_CUTS[0], (s >> np.uint64(62)).astype(np.int64), 3 + np.searchsorted(LEVEL_CUTS, lv, side="right"))
@@ -321,7 +330,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rows, counted = documents_and_counts(docs, key, text, k)
     levels = spark.sparkContext.broadcast(counted)
-    signed = stage(prefixes(docs, text, levels, k), "join-prefixes")
+    copied = class_map(rows.groupBy(F.col("cid").alias("c")).count().where("count > 1 and c is not null").select("c"))
+    signed = prefixes(docs, text, levels, copied, k)
     shared = stage(shared_only(signed.select(F.explode("prefix").alias("h"), "cid")), "join-shared")
     lists = shared.groupBy("cid").agg(F.array_sort(F.collect_list("h")).alias("shared"))  # at most a prefix each
     behind = F.col("n") - (F.col("n") - F.ceil(F.col("n") * 8 / 10) + 1)
