@@ -35,7 +35,8 @@ def shape(spark: SparkSession, path: str, what: str = "matrix.mtx") -> tuple[int
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """(row, col from 0, value double) of the file's entries; repeated places are added up. Files that aren't gzipped are
-    read in splits; the dimension line is told by its place, the first line of the first block that isn't a comment."""
+    read in splits; the dimension line is told by its place, the first line of the first block that isn't a comment (so
+    comments must be shorter than a block)."""
 
     def parse(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = False

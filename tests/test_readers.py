@@ -164,6 +164,8 @@ def test_matrix_details(spark, tmp_path, monkeypatch):
     spark.conf.set("spark.sql.files.openCostInBytes", "1b")
     try:
         assert [(r.line_idx, r.value) for r in lines(spark, str(tmp_path / "l.txt")).orderBy("line_idx").collect()] == [(0, "a"), (1, "b"), (2, "c")]
+        spark.conf.set("spark.sql.files.openCostInBytes", "20b")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20b")  # comments and dimension line begin in the first block
         assert {(r.row, r.col): r.value for r in mtx.entries(spark, path).collect()} == {(2, 1): 3, (0, 0): 7}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
