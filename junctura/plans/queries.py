@@ -277,6 +277,27 @@ def null_long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.null_long_table(A.null_summary(_draws(spark, sf_dir)))
 
 
+def _association(spark: SparkSession, sf_dir: str) -> A.AssociationResult:
+    """Association of all events with the predictor (7 cell + 3 start + end) % 2, with 100 permutations of the cells."""
+    from ..functions import staged
+
+    events, m1 = events_and_counts(spark, sf_dir)
+    pairs = staged(paired_counts(events, m1).withColumn("cell_idx", F.col("cell_idx") - 1))
+    n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0]
+    z = events.select("event_idx", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda c: ((7 * c + 3 * F.col("start") + F.col("end")) % 2).cast("double")).alias("z"))
+    return A.association(pairs, z, n, seed=0)
+
+
+@query(None)
+def association_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _association(spark, sf_dir).statistics.select("event_idx", F.round("observed", 5).alias("observed"), "n_valid", *[F.round(c, 6).alias(c) for c in ("null_mean", "null_sd", "p_value", "q_value")])
+
+
+@query(None)
+def association_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _association(spark, sf_dir).null_distribution.select("permutation", "event_idx", F.round("value", 5).alias("value"))
+
+
 @query("""SELECT s_suppkey AS cell_idx, CAST(coalesce(CASE WHEN s_acctbal > 0 THEN 1 END, -1) AS INT) AS in_tissue, CAST(coalesce(CASE WHEN s_acctbal > 0 THEN s_nationkey END, -1) AS INT) AS array_row,
 coalesce(CASE WHEN s_acctbal > 0 THEN s_acctbal END, -1.0) AS x FROM supplier""")
 def spatial_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
