@@ -242,6 +242,27 @@ def pseudo_corr_nagelkerke(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _correlations(spark, sf_dir, "Nagelkerke")
 
 
+def _all_correlations(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    """Observed values of all events for the predictor (7 cell + 3 start + end) % 2, null where there is none."""
+    from ..functions import staged
+
+    events, m1 = events_and_counts(spark, sf_dir)
+    n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] + 1
+    z = events.select("event_idx", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: ((7 * c + 3 * F.col("start") + F.col("end")) % 2).cast("double")).alias("z"))
+    found = A.event_correlations(staged(paired_counts(events, m1)), z, metric)
+    return events.select("event_idx").join(found, "event_idx", "left").select("event_idx", F.round("observed", 5).alias("observed"))
+
+
+@query(None)
+def pseudo_corr_coxsnell_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_correlations(spark, sf_dir, "CoxSnell")
+
+
+@query(None)
+def pseudo_corr_nagelkerke_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_correlations(spark, sf_dir, "Nagelkerke")
+
+
 #: A null table that SQL can make too: 20 draws per part, some of them missing.
 _DRAWS = """draws AS (SELECT p_partkey AS event_idx, k AS permutation, CASE WHEN (p_partkey + k) % 11 = 0 THEN NULL ELSE ((p_partkey * 7919 + k * 104729) % 1000 - 500) / 1000.0 END AS value,
   ((p_partkey * 31) % 1000 - 500) / 900.0 AS observed FROM part, range(1, 21) t(k) WHERE p_partkey % 13 <> 0),
