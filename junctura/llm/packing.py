@@ -19,6 +19,8 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at once.
 REMEMBERED = 600_000
+#: Rounds times lengths of the relaxations that packing may always take.
+WORK = 200_000
 
 PIECES = pa.schema([("key", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
@@ -177,12 +179,89 @@ def complete(counts: np.ndarray, capacity: int, turn: int = -1) -> list[Pattern]
     return out
 
 
-def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, branches: int = 8) -> list[Pattern]:
+def priced(counts: np.ndarray, lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The filling of a bin of the highest price, with no length more often than it is there, and its price."""
+    value, steps = np.zeros(capacity + 1), []
+    for i in np.flatnonzero(prices > 1e-12).tolist():
+        length, left, times = int(lengths[i]), int(min(counts[i], capacity // lengths[i])), 1
+        while left > 0:
+            times = min(times, left)
+            more = value[: capacity + 1 - times * length] + times * prices[i]
+            better = more > value[times * length :] + 1e-12
+            value[times * length :][better] = more[better]
+            steps.append((i, times, times * length, better))
+            left -= times
+            times *= 2
+    room, out = capacity, np.zeros(len(lengths), np.int64)
+    for i, times, size, better in reversed(steps):
+        if room >= size and better[room - size]:
+            out[i] += times
+            room -= size
+    return float(value[capacity]), out
+
+
+def relaxed(counts: np.ndarray, lengths: np.ndarray, capacity: int, enough: float, rounds: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The linear relaxation over all patterns, by the simplex method with patterns made as prices ask for them: patterns
+    as columns, how often each is taken, a lower bound of bins, and rounds used. It ends at the optimum, when the bound
+    reaches `enough`, or after `rounds`; what is taken adds up to the counts at any time."""
+    often = np.minimum(counts, capacity // lengths)
+    columns, inverse, taken, least = np.diag(often), np.diag(1.0 / often), counts / often, 0
+    for used in range(1, rounds + 1):
+        prices = inverse.sum(axis=0)
+        price, column = priced(counts, lengths, prices, capacity)
+        least = max(least, int(np.ceil(prices @ counts / max(price, 1.0) - 1e-6)))
+        if least >= enough or price <= 1 + 1e-9:
+            return columns, taken, least, used
+        change = inverse @ column
+        ratio = np.where(change > 1e-9, taken / np.where(change > 1e-9, change, 1), np.inf)
+        out = int(ratio.argmin())
+        taken = taken - ratio[out] * change
+        taken[out] = ratio[out]
+        row = inverse[out] / change[out]
+        inverse -= np.outer(change, row)
+        inverse[out] = row
+        columns[:, out] = column
+    return columns, taken, least, rounds
+
+
+def by_patterns(counts: np.ndarray, capacity: int, best: list[Pattern], least: int, rounds: int) -> tuple[list[Pattern], int]:
+    """The best packing found from relaxations, and the highest lower bound: whole parts of a relaxation are fixed (where
+    there are none, once each pattern that is taken half or more, or the one taken most), and the rest is packed by a
+    descent, which is compared with the best, and relaxed again."""
+    total = lambda patterns: sum(n for n, _ in patterns)
+    rest, fixed = counts.copy(), []
+    while rest.any() and rounds > 0 and total(best) > least and total(fixed) + bound(rest, capacity) < total(best):
+        lengths = np.flatnonzero(rest)
+        columns, taken, found, used = relaxed(rest[lengths], lengths, capacity, total(best) - total(fixed), rounds)
+        rounds -= used
+        if not fixed:
+            least = max(least, found)
+        if total(fixed) + found >= total(best):
+            break
+        whole = np.floor(taken + 1e-6).astype(np.int64)
+        if not whole.any():
+            whole = (taken >= min(0.5, taken.max())).astype(np.int64)
+        for j in np.argsort(-taken, kind="stable"):
+            there = rest[lengths]
+            column = np.minimum(columns[:, j], there)
+            if whole[j] and column.any():
+                n = min(int(whole[j]), int((there[column > 0] // column[column > 0]).min()))
+                rest[lengths] -= n * column
+                fixed.append((n, tuple((int(lengths[i]), int(column[i])) for i in np.flatnonzero(column)[::-1])))
+        other = fixed + complete(rest, capacity)
+        if total(other) < total(best):
+            best = other
+    return best, least
+
+
+def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, branches: int = 8, work: int = WORK) -> list[Pattern]:
     """Patterns (bins, ((length, times in a bin), ...)) that pack the histogram's items into few bins.
 
     The first descent takes best fillings throughout and is the incumbent. While it has more bins than the lower bound,
     up to `branches` further descents depart from it at one bin each, from the last backwards; better ones replace it.
-    The input has one entry per length, however many rows there are.
+    If it still has more, patterns are priced by linear relaxation (by_patterns), which also raises the lower bound.
+    Relaxations take at most `work` numbers, or as many as there are items, in rounds of a number per length; where these
+    are fewer than three rounds a length, there is none. The input has one entry per length, however many rows there are.
     """
     counts = np.array([histogram.get(length, 0) for length in range(capacity + 1)], np.int64)
     least, total = bound(counts, capacity), lambda patterns: sum(n for n, _ in patterns)
@@ -193,6 +272,10 @@ def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, branches
         other = complete(counts, capacity, turn)
         if total(other) < total(best):
             best = other
+    lengths = max(1, np.count_nonzero(counts))
+    rounds = max(work, int(counts.sum())) // lengths
+    if total(best) > least and rounds >= 3 * lengths:
+        best, _ = by_patterns(counts, capacity, best, least, rounds)
     return best
 
 

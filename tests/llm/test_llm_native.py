@@ -232,3 +232,24 @@ def test_png_details():
         media.decode(bytes(bad))
     with pytest.raises(ValueError):
         media.decode(b"GIF89a")
+
+
+def test_bin_completion_of_hot_lengths():
+    lengths = [717, 517, 814, 771, 617, 660, 715, 699, 634, 614, 686, 748]
+    for often in (1000, 100_000):
+        patterns = packing.bin_completion({x: often for x in lengths})
+        packed = defaultdict(int)
+        for bins, items in patterns:
+            assert bins > 0 and sum(length * times for length, times in items) <= 2048
+            for length, times in items:
+                packed[length] += bins * times
+        assert dict(packed) == {x: often for x in lengths} and sum(bins for bins, _ in patterns) == 4 * often
+    rng = np.random.default_rng(2)
+    for _ in range(3):  # near the relaxation's bound where bins can't be full
+        histogram = {int(x): int(n) for x, n in zip(rng.choice(np.arange(200, 1000), 20, replace=False), rng.integers(100, 3000, 20))}
+        counts = np.array([histogram.get(x, 0) for x in range(2049)])
+        patterns = packing.bin_completion(histogram)
+        assert np.array_equal(sum(n * np.bincount([x for x, t in items for _ in range(t)], minlength=2049) for n, items in patterns), counts)
+        there = np.flatnonzero(counts)
+        least = packing.relaxed(counts[there], there, 2048, np.inf, 10_000)[2]
+        assert least <= sum(n for n, _ in patterns) <= least + 1
