@@ -40,6 +40,10 @@ def marked(turns: list[Turn]) -> str:
     return "<s>" + "".join(f"<|turn|>{escape(role)}<|text|>{escape(text)}</s>\n" for role, text in turns)
 
 
+#: The output is the joined outputs of single turns, so what a turn adds doesn't depend on the turns before it.
+marked.appends = True
+
+
 def parse(piece: str) -> Turn:
     """Role and text, read back from what the standard template made of a turn."""
     found = _turn.fullmatch(piece)
@@ -52,9 +56,11 @@ def render(turns: Iterable[Turn], template: Template, history: int = 32) -> Iter
     """For each turn: what it adds to the output, where that starts, its code points before and after the text, and how
     many code points of the earlier output it rewrote (0 for a template that only appends).
 
-    The template sees the turn after its last `history` to 2 * `history` predecessors; so the work is linear in the number
-    of turns, and shorter conversations are rendered whole.
+    The template sees the turn after all of its predecessors, so the work is quadratic in the number of turns. Only one
+    that says of itself (`appends`) that its output is the joined outputs of single turns sees the last `history` to
+    2 * `history` of them, which is exact there, and linear.
     """
+    appends = getattr(template, "appends", False)
     window: list[Turn] = []
     before, start = template([]), 0
     fresh = True
@@ -73,7 +79,7 @@ def render(turns: Iterable[Turn], template: Template, history: int = 32) -> Iter
         fresh = False
         window.append((role, text))
         before = now
-        if len(window) >= 2 * history:
+        if appends and len(window) >= 2 * history:
             window = window[-history:]
             before = template(window)
 
@@ -87,8 +93,8 @@ def format_turns(conversations: DataFrame, template: Template = marked, learn: s
     is `learn`. `rewrote` counts the code points of earlier output that the turn changed; above 0, the template rewrites
     history and spans of earlier turns no longer hold.
 
-    Rows are hashed by conversation, sorted, and streamed through a task in batches: a conversation of any length takes
-    bounded memory, though one task (its output and digests are sequential). Turns are ordered by turn, nulls first, then
+    Rows are hashed by conversation, sorted, and streamed through a task in batches: a conversation is one task (its output
+    and digests are sequential), in bounded memory where the template `appends`, else held whole: see render(). Turns are ordered by turn, nulls first, then
     role and text. Null texts and roles count as empty; a null conv_id is a conversation of its own; repeated rows are
     turns of their own; an empty table gives no rows; other columns are ignored.
     The rows of a partition come out in order of conversation and turn.

@@ -49,6 +49,29 @@ def test_chat_escapes_and_spans():
     assert any(s[4] for s in chat.render(turns, last_only))
 
 
+TEMPLATES = {
+    "late rewrite": lambda turns: "".join(f"{r}:{'cut' if i == 0 and len(turns) > 80 else t}\n" for i, (r, t) in enumerate(turns)),
+    "numbered": lambda turns: "".join(f"{i} {r}:{t}\n" for i, (r, t) in enumerate(turns)),
+    "first again": lambda turns: "".join(f"({turns[0][1]}) {r}:{t}\n" for r, t in turns),
+}
+
+
+@pytest.mark.parametrize("template", sorted(TEMPLATES))
+def test_chat_of_long_conversations(spark, template):
+    name, template = template, TEMPLATES[template]
+    turns = [("user", f"text {i}") for i in range(150)]
+    frame = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn int, role string, text string")
+    got = sorted(chat.format_turns(frame, template).collect(), key=lambda r: r.seq)
+    out = ""
+    for i, r in enumerate(got):
+        now = template(turns[: i + 1])
+        kept = next((k for k, (a, b) in enumerate(zip(out, now)) if a != b), min(len(out), len(now)))
+        assert (r.start, r.piece, r.rewrote) == (kept, now[kept:], len(out) - kept)
+        out = out[: r.start] + r.piece
+    assert out == template(turns) and len(got) == 150
+    assert [r.seq for r in got if r.rewrote] == ([80] if name == "late rewrite" else [])
+
+
 # personal data
 
 TEXTS = ["mail a.b@c.de, x@y, _a@b.c_d@e.f.g. a@@b.c", "ip 1.2.3.4.5 and 300.1.1.1 0001.2.3.4", "card 4111 1111 1111 1111 or 4111-1111-1111-1112 or 5500005555555559", "call +1 (262) 555-3752! +12 or +49 30 1234567890123456", "tel 262-555-3752 ok", "", "é@é.com ü+1 234 567 8901", "user [at] host [dot] com"]
