@@ -10,9 +10,13 @@ from junctura.llm import mixing, ngram_join, packing, pii, toxicity
 from junctura.llm.common import stage, table
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """A key for each row: its id, or a hash of its text where it has none."""
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
+def _named(docs: DataFrame, *more: str) -> DataFrame:
+    """For each row its id, or a hash of its text where it has none, and a key: the id, or where several rows have it a
+    hash of it, the text and columns more."""
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    repeated = named.groupBy("_id").agg(F.count("*").alias("_rows")).where("_rows > 1")
+    key = F.when(F.col("_rows").isNull(), F.col("_id")).otherwise(F.xxhash64("_id", F.coalesce("text", F.lit("")), *more))
+    return named.join(repeated, "_id", "left").withColumn("_key", key).drop("_rows")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +28,9 @@ def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id; of repeated rows one."""
     named = _named(docs)
     groups = ngram_join.similar_documents(named.select("_key", "text"), key="_key")
-    kept = groups.where("_key = component_id").select("_key").distinct()
-    first = Window.partitionBy("_key").orderBy("text")
+    least = groups.join(named.select("_key", "_id").distinct(), "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key")).alias("least"))
+    kept = least.select("least._key")
+    first = Window.partitionBy("_key").orderBy(*docs.columns)
     return named.join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
 
 
@@ -36,10 +41,13 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, a part counting as a whole; so at most three times, or not at all."""
-    named = _named(docs)
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_id"))
+    named = _named(docs, "source")
     taken = mixing.mix(named.select("_key", "text", "source"), key="_key")["taken"].where("taken > 0")
     often = taken.select("_key", F.expr("cast((taken + size - 1) div size as int)").alias("_often"))
-    return named.join(often, "_key").withColumn("_nth", F.explode(F.sequence(F.lit(1), "_often"))).select(*docs.columns)
+    often = often.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_often")))
+    rows = named.withColumn("_nth", nth).join(often, ["_key", "_nth"])
+    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), "_often"))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

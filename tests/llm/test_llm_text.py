@@ -290,3 +290,14 @@ def test_pipeline(spark, sf):
     assert max(often.values()) <= 3
     pieces = Counter((r.doc_id, r.piece) for r in held["packing"].collect())
     assert {k for k, p in pieces if p == 0} == set(often) and all(n == often[k] for (k, _), n in pieces.items())
+
+
+def test_pipeline_of_repeated_ids(spark, sf):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    rows = [(1, text(1), "a"), (1, text(2), "a"), (1, text(2), "a"), (2, text(2), "b"), (3, text(3), "b"), (3, text(4), None), (None, text(5), "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.ngram_stage(spark, frame, sf).collect())
+    assert kept == [(0, text(5)), (1, text(1)), (1, text(2)), (3, text(3)), (3, text(4))]
+    got = Counter(corpus_pipeline.mixing_stage(spark, frame, sf).collect())
+    there = Counter(frame.collect())
+    assert got and all(there[r] and n <= 3 * there[r] for r, n in got.items())
