@@ -19,6 +19,8 @@ from .shingles import SHINGLE, shingle_sets
 CELL_BITS, SLOT_BITS = 21, 6
 #: Bits of the map of classes that are in candidate pairs; a chance hit costs work only.
 MAP_BITS = 24
+#: Classes of a bucket that are compared in one piece.
+BLOCK = 4096
 #: Fragments of the order: level 0 by the two top bits of the hash, then by level.
 LEVEL_CUTS = (1, 24, 48, 80)
 
@@ -99,16 +101,36 @@ def in_map(flags: np.ndarray, cid: int) -> bool:
     return bool(flags[at >> 5] >> np.uint32(at & 31) & np.uint32(1))
 
 
+def sketch(found: np.ndarray) -> bytes | None:
+    """How many shingles have each value of their top bits, two counts to a byte; there are more than half as many values as
+    shingles, and at most as many. None where a count is over 15."""
+    bits = max(3, len(found).bit_length() - 1)
+    counts = np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return None if counts.max() > 15 else (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def most_common(a: bytes | None, b: bytes | None) -> float:
+    """No more shingles than this are in both sets: the lesser counts of their sketches, added up."""
+    if a is None or b is None:
+        return np.inf
+    x, y = (np.stack([v & 15, v >> 4], axis=1).ravel().astype(np.int64) for v in (np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)))
+    while len(x) > len(y):
+        x = x.reshape(-1, 2).sum(axis=1)
+    while len(y) > len(x):
+        y = y.reshape(-1, 2).sum(axis=1)
+    return int(np.minimum(x, y).sum())
+
+
 def prefixes(docs: DataFrame, text: str, levels, copied, k: int) -> DataFrame:
-    """(cid, n, last, common, prefix) of each class: its first n - ceil(0.8 n) + 1 shingles in the global order. Two sets of
-    similarity 0.8 or more have a shingle of both prefixes in common. `common` is the mean level: how common its shingles are.
-    Shingles are given by their ranks in the order. Only classes in the map `copied` can have several rows, so only those
-    are shuffled to keep one."""
+    """(cid, n, last, common, prefix, sketch) of each class: its first n - ceil(0.8 n) + 1 shingles in the global order. Two
+    sets of similarity 0.8 or more have a shingle of both prefixes in common. `common` is the mean level: how common its
+    shingles are. Shingles are given by their ranks in the order. Only classes in the map `copied` can have several rows, so
+    only those are shuffled to keep one."""
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, flags = np.frombuffer(levels.value, np.uint8), np.frombuffer(copied.value, np.uint32)
         for batch in found:
-            cid, n, last, common, prefix = [], [], [], [], []
+            cid, n, last, common, prefix, sketches = [], [], [], [], [], []
             for s in shingle_sets(batch.column(0), k):
                 if not len(s):
                     continue
@@ -120,54 +142,79 @@ def prefixes(docs: DataFrame, text: str, levels, copied, k: int) -> DataFrame:
                 last.append(int(rank[order].max()))
                 common.append(float((rank >> 56).mean()))
                 prefix.append(rank[order])
+                sketches.append(sketch(s))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefix], dtype=np.int64)]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(last, pa.int64()), pa.array(common, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([in_map(flags, c) for c in cid], pa.bool_())], names=["cid", "n", "last", "common", "prefix", "copied"])
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(last, pa.int64()), pa.array(common, pa.float32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sketches, pa.binary()), pa.array([in_map(flags, c) for c in cid], pa.bool_())], names=["cid", "n", "last", "common", "prefix", "sketch", "copied"])
 
-    made = stage(docs.select(utf8(text).alias("data")).mapInArrow(cut, "cid long, n long, last long, common double, prefix array<long>, copied boolean"), "join-prefixes")
-    one = made.where("copied").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "last", "common", "prefix")])
+    made = stage(docs.select(utf8(text).alias("data")).mapInArrow(cut, "cid long, n long, last long, common float, prefix array<long>, sketch binary, copied boolean"), "join-prefixes")
+    one = stage(made.where("copied").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "last", "common", "prefix", "sketch")]), "join-copied")
     return made.where("not copied").drop("copied").unionByName(one)
 
 
-def shared_only(rows: DataFrame) -> DataFrame:
-    """The rows (h, cid) whose h more than one class has: one pass over sorted partitions, a bucket may span batches."""
+def shared_only(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (h, cid) whose h more than one class has, and (h, blocks) of each h that more than `block` classes have:
+    one pass over sorted partitions, in which a bucket may span batches and is never held."""
 
     def keep(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row and whether its h came before
+        give = lambda h, cid, m: pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(cid, pa.int64()), pa.array(m, pa.int64())], names=["h", "cid", "m"])
+        held = None  # the last row, and the rows of its bucket before it
         for batch in found:
             if not batch.num_rows:
                 continue
             h, cid = (batch.column(i).to_numpy() for i in range(2))
+            before = 0
             if held is not None:
-                h, cid = np.concatenate([[held[0]], h]), np.concatenate([[held[1]], cid])
-            same = h[1:] == h[:-1]
-            multiple = np.zeros(len(h), bool)
-            multiple[1:] |= same
-            multiple[:-1] |= same
-            if held is not None and held[2]:
-                multiple[0] = True
-            out = multiple.copy()
-            out[-1] = False
-            held = (h[-1], cid[-1], bool(multiple[-1]))
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(cid[out])], names=["h", "cid"])
+                h, cid, before = np.concatenate([[held[0]], h]), np.concatenate([[held[1]], cid]), held[2]
+            heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            sizes = np.diff(np.append(heads, len(h)))
+            sizes[0] += before
+            multiple = np.repeat(sizes > 1, np.diff(np.append(heads, len(h))))
+            held = (h[-1], cid[-1], int(sizes[-1]) - 1)
+            out = np.flatnonzero(multiple[:-1])
+            if len(out):
+                yield give(h[out], cid[out], pa.nulls(len(out), pa.int64()))
+            large = np.flatnonzero(sizes[:-1] > block)
+            if len(large):
+                yield give(h[heads[large]], pa.nulls(len(large), pa.int64()), sizes[large])
         if held is not None and held[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["h", "cid"])
+            yield give([held[0]], [held[1]], [None])
+            if held[2] >= block:
+                yield give([held[0]], [None], [held[2] + 1])
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h")
+    found = stage(dealt.mapInArrow(keep, "h long, cid long, m long"), "join-shared")
+    large = stage(found.where("m is not null").select("h", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "join-large")
+    return found.where("m is null").select("h", "cid"), large
+
+
+def possible(pairs: DataFrame, signed: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule the similarity out."""
+
+    def check(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            a, b, na, nb, sa, sb = (batch.column(i).to_pylist() for i in range(6))
+            keep = [100 * o >= similarity * (x + y - o) if (o := most_common(s, t)) < np.inf else True for x, y, s, t in zip(na, nb, sa, sb)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    spark = rows.sparkSession
-    return rows.repartition(partitions(spark), "h").sortWithinPartitions("h").mapInArrow(keep, "h long, cid long")
+    side = lambda c: signed.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return met.mapInArrow(check, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, levels, k: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, text: str, levels, copied, k: int, fan: int) -> DataFrame:
     """(a, b, overlap, na, nb) of pairs of classes (a, b): the sets are cut into fragments of the global order, overlaps are
-    counted in each fragment apart and summed for each pair."""
+    counted in each fragment apart and summed for each pair.
+
+    A class's fragments are sent to its pairs, and the two of a pair meet by pair and fragment. A class that has more than
+    `fan` pairs is first copied to as many lots of its pairs as that makes, so that no task serves them all."""
     wanted = class_map(pairs.select(F.explode(F.array("a", "b")).alias("c")))
     n_fragments = 4 + len(LEVEL_CUTS)
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, flags = np.frombuffer(levels.value, np.uint8), np.frombuffer(wanted.value, np.uint32)
+        level, flags, often = np.frombuffer(levels.value, np.uint8), np.frombuffer(wanted.value, np.uint32), np.frombuffer(copied.value, np.uint32)
         for batch in found:
-            cids, fragments, parts, sizes = [], [], [], []
+            cids, fragments, parts, sizes, repeats = [], [], [], [], []
             for s in shingle_sets(batch.column(0), k):
                 if not len(s):
                     continue
@@ -182,148 +229,145 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, levels, k: int) -> Da
                         cids.append(cid)
                         fragments.append(i)
                         sizes.append(len(s))
+                        repeats.append(in_map(often, cid))
                         parts.append(part.view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(fragments, pa.int32()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["cid", "fragment", "n", "part"])
-
-    made = docs.select(utf8(text).alias("data")).mapInArrow(cut, "cid long, fragment int, n long, part array<long>")
-    parts = stage(made.groupBy("cid", "fragment").agg(F.first("n").alias("n"), F.first("part").alias("part")), "join-parts")
-    left = parts.select(F.col("cid").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = parts.select(F.col("cid").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("pb"))
-    met = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
-    return met.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("pa", "pb"))).alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-
-
-def linked(pairs: DataFrame, docs: DataFrame, text: str, levels, k: int, similarity: int) -> DataFrame:
-    found = verified(pairs, docs, text, levels, k)
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(fragments, pa.int32()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(repeats, pa.bool_())], names=["cid", "fragment", "n", "part", "copied"])
+
+    made = stage(docs.select(utf8(text).alias("data")).mapInArrow(cut, "cid long, fragment int, n long, part array<long>, copied boolean"), "join-parts")
+    one = made.where("copied").groupBy("cid", "fragment").agg(F.first("n").alias("n"), F.first("part").alias("part"))
+    parts = made.where("not copied").drop("copied").unionByName(one)
+    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("cid"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cid"), F.lit(1).alias("side")))).alias("x")).select("a", "b", "x.cid", "x.side")
+    hubs = stage(sides.groupBy("cid").count().where(F.col("count") > fan).select("cid", F.expr(f"cast((count + {fan - 1}) div {fan} as int)").alias("lots")), "join-hubs")
+    lot = F.pmod(F.xxhash64("a", "b"), F.coalesce("lots", F.lit(1))).cast("int")
+    asked = sides.join(hubs, "cid", "left").withColumn("lot", lot).drop("lots")
+    given = parts.join(hubs, "cid", "left").withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
+    sent = asked.join(given, ["cid", "lot"]).select("a", "b", "fragment", "side", "n", "part")
+    of = lambda c, x: F.max(F.when(F.col("side") == x, F.col(c)))
+    met = sent.repartition(partitions(docs.sparkSession), "a", "b", "fragment").groupBy("a", "b", "fragment").agg(of("n", 0).alias("na"), of("n", 1).alias("nb"), F.collect_list("part").alias("parts"))
+    both = F.when(F.size("parts") == 2, F.size(F.array_intersect(F.get("parts", F.lit(0)), F.get("parts", F.lit(1))))).otherwise(0)
+    return met.groupBy("a", "b").agg(F.sum(both).alias("overlap"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+
+
+def linked(pairs: DataFrame, signed: DataFrame, docs: DataFrame, text: str, levels, copied, k: int, similarity: int, fan: int) -> DataFrame:
+    likely = stage(possible(pairs, signed, similarity), "join-likely")
+    found = verified(likely, docs, text, levels, copied, k, fan)
     return stage(found.where(F.col("overlap") * 100 >= similarity * (F.col("na") + F.col("nb") - F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "join-links")
 
 
-def _may_link(first, second, n, last, behind, after, comp):
-    """Of pairs of places in these vectors: whether they are of different components, of near sizes, and could have enough
-    in common if this bucket's shingle is the first that they share. Of the set whose prefix ends first, all that the other
-    can have is at this shingle or later in its prefix (`after`), or behind it. Also gives which of the two that is."""
+def _may_link(first, second, n, last, after):
+    """Of pairs of places in these vectors: whether they are of near sizes, and could have enough in common if this bucket's
+    shingle is the first that they share. Of the set whose prefix ends first, all that the other can have is at this shingle
+    or later in its prefix (`after`), or behind it."""
     ends = np.where(last[first] <= last[second], first, second)
     need = np.ceil((n[first] + n[second]) * 4 / 9 - 1e-9)
     near = 10 * np.minimum(n[first], n[second]) >= 8 * np.maximum(n[first], n[second])
-    return (comp[first] != comp[second]) & near & (after[ends] + behind[ends] >= need), ends, need
+    return near & (after[ends] + -(-8 * n[ends] // 10) - 1 >= need)
 
 
-def partnered(members: DataFrame) -> DataFrame:
-    """The rows (h, cid) that may link with a member of their bucket; from rows (h, cid, n, last, behind, after, comp). All
-    buckets of a batch are compared at once, at one distance in order of size after the other, until sizes are too far apart."""
+def star_pairs(members: DataFrame) -> DataFrame:
+    """In each bucket, pairs (a, b) of the class with the commonest shingles and all others that may link with it; from
+    rows (h, cid, n, last, after, common). Rows come sorted with this class first, and only its row is held."""
 
-    def keep(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pick(rows: list[np.ndarray]) -> pa.RecordBatch:
-            h, cid, n, last, behind, after, comp = rows
-            use = np.zeros(len(h), bool)
-            at, d = np.arange(len(h) - 1), 1
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: list | None = None
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if head is not None:
+                rows = [np.concatenate([[a], b]) for a, b in zip(head, rows)]
+            h, cid, n, last, after = rows
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), np.arange(len(h)), 0))
+            at = np.arange(len(h))
+            may = (first != at) & (cid[first] != cid) & _may_link(first, at, n, last, after)
+            head = [x[first[-1]] for x in rows]
+            a, b = np.minimum(cid[first], cid)[may], np.maximum(cid[first], cid)[may]
+            got = np.unique(np.stack([a, b], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    dealt = members.repartition(partitions(members.sparkSession), "h").sortWithinPartitions("h", F.desc("common"), "cid")
+    return dealt.select("h", "cid", "n", "last", "after").mapInArrow(run, "a long, b long")
+
+
+def large_stars(members: DataFrame) -> DataFrame:
+    """star_pairs() of the large buckets: their heads by aggregation, joined, so that a bucket is spread over tasks."""
+    heads = members.groupBy("h").agg(F.max(F.struct("common", F.expr("-cid").alias("order"), "cid", "n", "last", "after")).alias("head"))
+    behind = lambda n: F.ceil(n * 8 / 10) - 1
+    room = F.when(F.col("last") <= F.col("head.last"), F.col("after") + behind(F.col("n"))).otherwise(F.col("head.after") + behind(F.col("head.n")))
+    return (
+        members.join(heads, "h").where(F.col("head.cid") != F.col("cid"))
+        .where(10 * F.least("n", "head.n") >= 8 * F.greatest("n", "head.n"))
+        .where(room >= F.ceil((F.col("n") + F.col("head.n")) * 4 / F.lit(9) - 1e-9))
+        .select(F.least("cid", "head.cid").alias("a"), F.greatest("cid", "head.cid").alias("b"))
+    )
+
+
+def cross_pairs(members: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may link, from rows (h, cid, n, last, after, comp): all members of a bucket
+    are compared at one distance in order of size after the other, until sizes are too far apart. A large bucket is cut
+    into blocks by hash, and each pair of blocks is a bucket of its own, so that a task holds two blocks at most."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def meet(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, pair, block, cid, n, last, after, comp = rows
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
+            group = np.cumsum(fresh)
+            within = pair // (1 << 31) == pair % (1 << 31)
+            at, d, out, size = np.arange(len(key) - 1), 1, [], 0
             while len(at):
-                at = at[(h[at] == h[at + d]) & (10 * n[at] >= 8 * n[at + d])]
-                may = _may_link(at, at + d, n, last, behind, after, comp)[0]
-                use[at[may]] = use[at[may] + d] = True
+                at = at[(group[at] == group[at + d]) & (10 * n[at] >= 8 * n[at + d])]
+                use = at[(comp[at] != comp[at + d]) & (within[at] | (block[at] != block[at + d]))]
+                use = use[_may_link(use, use + d, n, last, after)]
+                if len(use):
+                    out.append(np.stack([np.minimum(cid[use], cid[use + d]), np.maximum(cid[use], cid[use + d])], axis=1))
+                    size += len(use)
                 d += 1
-                at = at[at + d < len(h)]
-            return pa.RecordBatch.from_arrays([pa.array(h[use]), pa.array(cid[use])], names=["h", "cid"])
+                at = at[at + d < len(key)]
+                if out and (size > 200_000 or not len(at)):
+                    got = np.unique(np.concatenate(out), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+                    out, size = [], 0
 
         held: list[np.ndarray] | None = None
         for batch in found:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last bucket may go on
+            cut = len(rows[0])
+            if cut:  # the last bucket may go on
+                other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield pick([x[:cut] for x in rows])
+                yield from meet([x[:cut] for x in rows])
             held = [x[cut:] for x in rows]
         if held is not None and len(held[0]):
-            yield pick(held)
+            yield from meet(held)
 
-    dealt = members.select("h", "cid", "n", "last", "behind", "after", "comp").repartition(partitions(members.sparkSession), "h").sortWithinPartitions("h", "n")
-    return dealt.mapInArrow(keep, "h long, cid long")
+    blocks = F.coalesce("blocks", F.lit(1))
+    cut = members.join(large, "h", "left").withColumn("block", F.pmod(F.xxhash64("cid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    pair = (F.shiftleft(F.least("block", "other").cast("long"), 31) + F.greatest("block", "other")).alias("pair")
+    rows = cut.select("h", pair, F.col("block").cast("int").alias("block"), "cid", "n", "last", "after", "comp")
+    return rows.repartition(partitions(members.sparkSession), "h", "pair").sortWithinPartitions("h", "pair", "n").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) that may link and that no bucket's star has joined, from rows (h, cid, n, last, behind, comp, shared).
-
-    In a bucket (one h), members of different components that _may_link() are compared by their lists of shared shingles:
-    the number in both lists bounds the overlap. What passes is given once, in the bucket of the first common shingle. In a
-    large bucket a member is compared with all others at once, by who has each of its shingles.
-    """
-
-    def meet(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        size, here = len(rows), rows[0][0]
-        cid, n, last, behind, comp = (np.array([r[i] for r in rows]) for i in range(1, 6))
-        lists = [r[6] for r in rows]
-        after = np.array([len(x) - np.searchsorted(x, here) for x in lists])
-        named = lambda x, y: (int(cid[x]), int(cid[y])) if cid[x] < cid[y] else (int(cid[y]), int(cid[x]))
-        if size <= 64:
-            i, j = np.triu_indices(size, 1)
-            may, ends, need = _may_link(i, j, n, last, behind, after, comp)
-            for x, y, e, least in zip(i[may].tolist(), j[may].tolist(), ends[may].tolist(), need[may].tolist()):
-                both = np.intersect1d(lists[x], lists[y], assume_unique=True)
-                if both[0] == here and len(both) + behind[e] >= least:
-                    yield named(x, y)
-            return
-        flat = np.concatenate(lists)
-        tokens, column = np.unique(flat, return_inverse=True)
-        owner = np.repeat(np.arange(size), [len(x) for x in lists])
-        order = np.argsort(column, kind="stable")
-        owners = np.split(owner[order], np.flatnonzero(np.diff(column[order])) + 1)
-        cuts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-        earlier = tokens < here
-        for x in range(size - 1):
-            y = np.arange(x + 1, size)
-            may, ends, need = _may_link(np.full(len(y), x), y, n, last, behind, after, comp)
-            if not may.any():
-                continue
-            y, ends, need = y[may], ends[may], need[may]
-            both, early = np.zeros(size, np.int64), np.zeros(size, bool)
-            for c in column[cuts[x] : cuts[x + 1]].tolist():
-                both[owners[c]] += 1
-                if earlier[c]:
-                    early[owners[c]] = True
-            for other in y[(both[y] + behind[ends] >= need) & ~early[y]].tolist():
-                yield named(x, other)
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give = lambda out: pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        held: list[tuple] = []
-        out: list[tuple[int, int]] = []
-        for batch in found:
-            values, offsets = batch.column(6).values.to_numpy(), batch.column(6).offsets.to_numpy()
-            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
-                if held and held[0][0] != row[0]:
-                    out.extend(meet(held))
-                    held = []
-                held.append((*row, values[offsets[i] : offsets[i + 1]]))
-            if len(out) > 10_000:
-                yield give(out)
-                out = []
-        if held:
-            out.extend(meet(held))
-        if out:
-            yield give(out)
-
-    dealt = members.select("h", "cid", "n", "last", "behind", "comp", "shared").repartition(partitions(members.sparkSession), "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: int = 80) -> DataFrame:
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: int = 80, block: int = BLOCK) -> DataFrame:
     """(key, n_shingles, component_id) of every row: sets of distinct k-word shingles link at a Jaccard similarity of
     `similarity` percent (80 or more), and a component is named by its smallest key.
 
     Steps: (1) each distinct set is a class, so copies cost nothing further. (2) Shingles are ordered, rare ones first, by
     counts in a table of fixed size. (3) Classes that share a shingle of their prefixes are candidates. In each such bucket
-    the class with the commonest shingles is tried with all others (a star: as many pairs as rows). (4) Stars are verified
-    by fragments of the order and joined to components. (5) Pairs in different components are met in their buckets, those
-    that bounds rule out are dropped, and the rest are verified too. So every pair that could link is either verified, ruled
-    out by a bound, or already in one component: components are exact, and no group emits all its pairs.
+    the class with the commonest shingles is tried with all others (a star: as many pairs as rows). (4) Pairs that their
+    sketches don't rule out are verified by fragments of the order, and links joined to components. (5) In each bucket,
+    pairs of different components that may still link are tried in the same way. So every pair that could link is either
+    verified, ruled out by a bound, or already in one component: components are exact, and no group emits all its pairs.
+    Buckets of more than `block` classes are cut into pairs of blocks, and classes of many pairs are copied to lots of them.
 
     Sets are compared as 64-bit hashes of shingles. A text of fewer than k words has one shingle, all of its words; null
     and empty texts have none, are linked with nothing, and are components of their own. A null key stays null and never
     names a component that has another key. Repeated rows get the same component; an empty table gives no rows; other
-    columns are ignored.
+    columns are ignored. A very long text is hashed alone, and its shingles travel as rows of their own or in fragments.
     """
     if similarity != 80:
         raise ValueError("prefixes and bounds are cut for a similarity of 80 percent")
@@ -332,35 +376,25 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     levels = spark.sparkContext.broadcast(counted)
     copied = class_map(rows.groupBy(F.col("cid").alias("c")).count().where("count > 1 and c is not null").select("c"))
     signed = prefixes(docs, text, levels, copied, k)
-    shared = stage(shared_only(signed.select(F.explode("prefix").alias("h"), "cid")), "join-shared")
+    shared, large = shared_only(signed.select(F.explode("prefix").alias("h"), "cid"), block)
     lists = shared.groupBy("cid").agg(F.array_sort(F.collect_list("h")).alias("shared"))  # at most a prefix each
-    behind = F.col("n") - (F.col("n") - F.ceil(F.col("n") * 8 / 10) + 1)
-    members = stage(signed.drop("prefix").join(lists, "cid").withColumn("behind", behind).select("cid", "n", "last", "common", "behind", "shared"), "join-members")
+    members = stage(signed.select("cid", "n", "last", "common").join(lists, "cid"), "join-members")
 
     def spread(rows: DataFrame) -> DataFrame:
         """A row per shared shingle, with how many of the list are at it or later."""
         flat = rows.select(*[c for c in rows.columns if c != "shared"], F.size("shared").alias("_size"), F.posexplode("shared").alias("_at", "h"))
-        return flat.withColumn("after", (F.col("_size") - F.col("_at")).cast("long")).drop("_size", "_at")
+        return flat.withColumn("after", F.col("_size") - F.col("_at")).drop("_size", "_at")
 
     bucketed = spread(members)
-    heads = bucketed.groupBy("h").agg(F.max(F.struct("common", "cid", "n", "last", "behind", "after")).alias("head"))
-    room = F.when(F.col("last") <= F.col("head.last"), F.col("after") + F.col("behind")).otherwise(F.col("head.after") + F.col("head.behind"))
-    star = (
-        bucketed.join(heads, "h").where(F.col("head.cid") != F.col("cid"))
-        .where(10 * F.least("n", "head.n") >= 8 * F.greatest("n", "head.n"))
-        .where(room >= F.ceil((F.col("n") + F.col("head.n")) * 4 / F.lit(9) - 1e-9))
-        .select(F.least("cid", "head.cid").alias("a"), F.greatest("cid", "head.cid").alias("b")).distinct()
-    )
-    links = linked(stage(star, "join-star"), docs, text, levels, k, similarity)
+    stars = star_pairs(bucketed.join(large, "h", "left_anti")).unionByName(large_stars(bucketed.join(large, "h", "left_semi")))
+    links = linked(stage(stars.distinct(), "join-star"), signed, docs, text, levels, copied, k, similarity, 4 * block)
     joined = components(links)
-    placed = members.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
-    placed = stage(placed, "join-placed")
-    met = partnered(spread(placed.drop("common"))).join(placed, "cid")
-    more = stage(cross_pairs(met).distinct(), "join-cross")
+    placed = members.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component", "common")
+    more = stage(cross_pairs(spread(placed), large).distinct(), "join-cross")
     found = joined
     if more.limit(1).count():  # components that further links join
         label = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-        further = linked(more, docs, text, levels, k, similarity).join(label("u"), "u", "left").join(label("v"), "v", "left")
+        further = linked(more, signed, docs, text, levels, copied, k, similarity, 4 * block).join(label("u"), "u", "left").join(label("v"), "v", "left")
         merged = components(further.select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v")))
         deeper = merged.withColumnRenamed("component", "deep").withColumnRenamed("node", "component")
         old = joined.join(deeper, "component", "left").select("node", F.coalesce("deep", "component").alias("component"))

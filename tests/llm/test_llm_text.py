@@ -164,10 +164,22 @@ def test_join(spark, sf):
     rows = near_copies(1, 240)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(documents(spark, rows)).collect()}
     assert got == brute_components(rows)
+    cut = ngram_join.similar_documents(documents(spark, rows), block=3)  # large buckets, and classes of many pairs
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in cut.collect()} == brute_components(rows)
     table = [(r.doc_id, r.text) for r in common.table(spark, sf, "documents").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op7_ngram_join(spark, sf).collect()} == brute_components(table)
 
 
+def test_sketches_bound_overlaps():
+    rng = np.random.default_rng(12)
+    for n in (1, 5, 9, 100, 700):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        for kept in (0, n // 2, n):
+            b = np.unique(np.concatenate([a[:kept], rng.integers(0, 1 << 63, int(n * 0.7) + 1).astype(np.uint64)]))
+            assert ngram_join.most_common(ngram_join.sketch(a), ngram_join.sketch(b)) >= len(np.intersect1d(a, b))
+    assert ngram_join.sketch(np.arange(40, dtype=np.uint64)) is None and ngram_join.most_common(None, b"") == np.inf
+
+
 def test_join_edges(spark):
     rows = [(None, "p q r s t u v"), (3, "p q r s t u v"), (3, "p q r s t u v"), (5, None)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.similar_documents(documents(spark, rows)).collect())
