@@ -271,7 +271,26 @@ def test_toxicity_held_out(spark, sf):
     assert kept == {k for k, r in got.items() if r.predicted == 0}
 
 
+def test_toxicity_of_misspelt_and_quoted_terms(spark):
+    rng = np.random.default_rng(21)
+    plain = ["".join(rng.choice(list("abcdeilnorst"), int(rng.integers(2, 9)))) for _ in range(400)] + ["loner", "moral"]
+    terms = ["moron", "loser", "disgusting", "trash"]
+    text = lambda some: " ".join(rng.permutation([*rng.choice(plain, 40), *some]))
+    rows = [(i, text(rng.choice(terms, 3)) if i % 3 == 0 else text(["loner", "moral"] if i % 3 == 1 else [])) for i in range(600)]
+    docs, labels = documents(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    lexicon, ordinary, weights = toxicity.train(docs, labels)
+    assert {t for t, stem, _ in lexicon if not stem} >= {"moron", "loser"} and "loner" in ordinary
+    assert all(w >= 0 for i, w in enumerate(weights[:-1]) if i != toxicity.QUOTED)
+    ask = {1: "you m0ron and l0ser, disgust1ng tr@sh", 2: 'they wrote "moron" and "loser" and the word trash', 3: "you moron, loser", 4: "the loner has a moral", 5: "moron " * 300_000}
+    got = {r.doc_id: r.predicted for r in toxicity.toxic_scores(documents(spark, [*ask.items(), *((1000 + i, t) for i, t in rows)]), spark.createDataFrame([(1000 + i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")).collect()}
+    assert [got[i] for i in range(1, 6)] == [1, 0, 1, 0, 1]
+    scorer = toxicity.Scorer(lexicon, ordinary)
+    assert scorer.features(ask[1])[2] > 0 and scorer.features(ask[2])[toxicity.QUOTED] > 0 and not any(scorer.features(ask[2])[:4])
+    assert scorer.misspell("a Moron") != "a moron" and scorer.features(scorer.misspell("a Moron"))[2] > 0
+
+
 def test_toxicity_edges(spark):
+    assert toxicity.reject(documents(spark, [(1, None), (None, "x"), (None, "x")]), spark.createDataFrame([], "doc_id long, toxic int")).count() == 3
     rows = documents(spark, [(1, None), (2, ""), (None, "x"), (2, "")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxic_scores(rows, none).collect()
