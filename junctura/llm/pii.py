@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import batches, stage
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of spans; the first BASE of them have strict rules whose spans stay whatever is learnt.
+KINDS = ("email", "ip", "card", "phone", "secret", "person", "address")
+BASE = 4
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _host = re.compile(r"@[A-Za-z0-9-]{2,}")
@@ -21,8 +23,13 @@ _host = re.compile(r"@[A-Za-z0-9-]{2,}")
 _ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_local_phone = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
-_written_at = re.compile(r"[A-Za-z0-9._%+-]{2,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{2,63} ?[\[(] ?(?:dot|punkt|point|punto) ?[\])] ?[A-Za-z]{2,24}")
+# Looser patterns. Each repetition is bounded, or ends at the first character that doesn't fit and isn't tried again.
+_one_card = re.compile(r"(?<![0-9-])(?:[0-9]{14,16}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9-])")
+_one_phone = re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
+_written_at = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{2,63} ?[\[(] ?(?:dot|punkt|point|punto) ?[\])] ?[A-Za-z]{2,24}")
+_secret = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+")
+_person = re.compile(r"(?<!\w)[A-ZÄÖÜÉÑ][a-zäöüßéèñáíóç]{1,20} [A-ZÄÖÜÉÑ][a-zäöüßéèñáíóç]{1,20}(?!\w)")
+_address = re.compile(r"(?<!\w)(?:[0-9]{1,5} [A-Z][a-z]{2,20} (?:Street|Road|Avenue|Lane|Drive)|[A-ZÄÖÜ][a-zäöü]{2,20}(?:straße|strasse|weg|platz) [0-9]{1,4}|(?:rue|calle|avenue|avenida) [A-ZÉÁÑ][a-zéáñ]{2,20},? [0-9]{1,4})(?!\w)")
 _digit = re.compile(r"[0-9]")
 _before = re.compile(r"[^\W_]+")
 
@@ -32,11 +39,22 @@ CUES = {
     "ip": frozenset("ip host server client from addr address adresse login logged".split()),
     "card": frozenset("card visa mastercard amex karte carte tarjeta credit kreditkarte payment cc".split()),
     "phone": frozenset("phone tel telefon telephone téléphone teléfono call mobile cell fax handy sms whatsapp".split()),
+    "secret": frozenset("password passwd pwd passwort clave token secret key apikey bearer auth authorization credential credentials".split()),
+    "person": frozenset("name named called mr mrs ms dr herr frau monsieur madame señor señora signed dear sincerely regards nombre nom".split()),
+    "address": frozenset("address adresse dirección lives live home at street wohnt habite vive".split()),
 }
 AGAINST = frozenset("version v ver section chapter isbn issn order invoice sha hash commit build release figure table id ref".split())
+#: Gazetteers: top-level domains, country codes, prefixes of access keys, given names, places.
 TOP_LEVEL = frozenset("com org net edu gov io de fr es uk eu info biz co us ca ch at be nl it example".split())
 COUNTRY = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 358 420".split())
+KEYS = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk-", "sk_live_", "AIza", "eyJ")
+GIVEN = frozenset("James Mary John Linda Robert Susan Michael Karen David Sarah Thomas Peter Paul Anna Emma Hans Klaus Jürgen Ursula Sabine Stefan Pierre Jean Marie Claire Sophie Luc Antoine José María Juan Carmen Carlos Lucía Miguel Pablo".split())
+PLACES = frozenset("London Paris Berlin Madrid Rome Vienna Zurich Hamburg Munich München Köln Lyon Marseille Barcelona Sevilla Valencia Boston Chicago Seattle Dallas Denver Toronto Dublin Brussels Amsterdam".split())
 LABELERS = 5
+#: Classes of a span's length and of its characters, which the classifier sees beside the votes.
+LENGTHS, CHARACTERS = 3, 3
+#: Chances that a true and a false span pass what can be checked in them.
+CHECKED = (0.995, 0.1)
 
 
 def luhn(digits: str) -> bool:
@@ -62,14 +80,14 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def matches(text: str) -> Iterator[tuple[str, int, int, bool]]:
-    """(kind, start, end, valid): all that look like personal data; `valid` for those that the strict rules keep."""
+    """(kind, start, end, valid): all that look like personal data; `valid` for those that the strict rules keep. Looser
+    matches of a kind that a strict one of it overlaps are left out, as they are the same mention."""
     if "@" in text:
         strict = list(emails(text))
         for s, e in strict:
             yield "email", s, e, True
-        taken = {i for s, e in strict for i in range(s, e)} if strict else set()
-        for m in _host.finditer(text):
-            if m.start() not in taken and m.start() and text[m.start() - 1] in _local:
+        for m in apart(_host.finditer(text), strict):
+            if m.start() and text[m.start() - 1] in _local:
                 s = m.start()
                 while s > max(0, m.start() - 64) and text[s - 1] in _local:
                     s -= 1
@@ -80,39 +98,91 @@ def matches(text: str) -> Iterator[tuple[str, int, int, bool]]:
     if _digit.search(text):
         for m in _ip.finditer(text):
             yield "ip", m.start(), m.end(), all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))
+        strict, failed = [], False
         for m in _card.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = re.sub("[ -]", "", m[0])
                 if len(digits) >= 13:
-                    yield "card", m.start(), m.end(), 14 <= len(digits) <= 19 and luhn(digits)
+                    valid = 14 <= len(digits) <= 19 and luhn(digits)
+                    yield "card", m.start(), m.end(), valid
+                    strict += [m.span()] * valid
+                    failed |= not valid
+        if failed:
+            for m in apart(_one_card.finditer(text), strict):
+                if luhn(re.sub("[ -]", "", m[0])):
+                    yield "card", m.start(), m.end(), False
+        strict = []
         if "+" in text:
             for m in _phone.finditer(text):
-                yield "phone", m.start(), m.end(), 10 <= sum(c.isdigit() for c in m[0]) <= 15
-        for m in _local_phone.finditer(text):
+                valid = 10 <= sum(c.isdigit() for c in m[0]) <= 15
+                yield "phone", m.start(), m.end(), valid
+                strict += [m.span()] * valid
+        for m in apart(_one_phone.finditer(text), strict):
             yield "phone", m.start(), m.end(), False
-
-
-def votes(text: str, kind: str, start: int, end: int, valid: bool) -> tuple[int, ...]:
-    """Of each labeler 1 for personal data, -1 against, 0 for no opinion: strict rules, structure, gazetteer, context,
-    and what stands next to the span."""
+        for m in _secret.finditer(text):
+            if _digit.search(m[0]) and not m[0].isdigit() and "//" not in m[0]:
+                yield "secret", m.start(), m.end(), False
+        for m in _address.finditer(text):
+            yield "address", m.start(), m.end(), False
+    for m in _person.finditer(text):
+        if text[m.start() : m.end()].split(" ")[0] in GIVEN or said_before(text, m.start())[-1:] and said_before(text, m.start())[-1] in CUES["person"]:
+            yield "person", m.start(), m.end(), False
+
+
+def apart(found: Iterator[re.Match], spans: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """The matches, in order, that overlap none of the spans, which are in order too."""
+    at = 0
+    for m in found:
+        while at < len(spans) and spans[at][1] <= m.start():
+            at += 1
+        if at == len(spans) or spans[at][0] >= m.end():
+            yield m
+
+
+def said_before(text: str, start: int) -> list[str]:
+    return [w.lower() for w in _before.findall(text[max(0, start - 32) : start])][-4:]
+
+
+def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
+    """Of each labeler 1 for personal data, -1 against, 0 for no opinion: the shape of the span, what can be checked in it,
+    a gazetteer, the words before it, and what stands next to it. None of them is right always, so strict and looser spans
+    are judged alike."""
     span = text[start:end]
     digits = re.sub("[^0-9]", "", span)
     if kind == "email":
         last = re.split(r"[.\])@]", span.lower().rstrip(")] "))[-1].strip()
-        structure, listed = (1 if 2 <= len(last) <= 24 and last.isalpha() else -1), (1 if last in TOP_LEVEL else 0)
+        shape = 1 if len(span) <= 80 and ("." in span.split("@")[-1] or "@" not in span) else -1
+        checked, listed = (1 if 2 <= len(last) <= 24 and last.isalpha() else -1), (1 if last in TOP_LEVEL else 0)
     elif kind == "ip":
         parts = span.split(".")
-        structure, listed = (1 if valid else -1), (1 if valid and not any(len(p) > 1 and p[0] == "0" for p in parts) and parts[0] != "0" else 0)
+        shape = 1 if len(span) <= 15 and not any(len(p) > 1 and p[0] == "0" for p in parts) else -1
+        checked = 1 if all(len(p) <= 3 and int(p) <= 255 for p in parts) else -1
+        listed = -1 if parts[0] in ("0", "127", "255") else 1 if checked == 1 else 0
     elif kind == "card":
-        structure, listed = (1 if luhn(digits) else -1), (1 if digits[0] in "3456" and len(digits) in (14, 15, 16) else -1 if digits[0] == "0" or len(digits) > 19 else 0)
-    else:
-        structure = 1 if 10 <= len(digits) <= 15 else -1
+        shape = 1 if _one_card.fullmatch(span) else -1 if len(digits) > 19 else 0
+        checked, listed = (1 if luhn(digits) else -1), (1 if digits[0] in "3456" and len(digits) in (14, 15, 16) else -1 if digits[0] == "0" or len(digits) > 19 else 0)
+    elif kind == "phone":
+        shape = 1 if _one_phone.fullmatch(span) else -1 if len(digits) > 15 else 0
+        checked = 1 if 10 <= len(digits) <= 15 else -1
         listed = (1 if span[0] == "+" and any(digits[:n] in COUNTRY for n in (1, 2, 3)) else -1 if digits[0] == "0" and span[0] == "+" else 0)
-    said = [w.lower() for w in _before.findall(text[max(0, start - 32) : start])][-4:]
+    elif kind == "secret":
+        known = span.startswith(KEYS)
+        shape = 1 if known or text[max(0, start - 1) : start] in ("=", ":", '"', "'") and start else 0
+        checked = 1 if len(set(span)) >= 8 and sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:])) >= (2 if known else 4) else -1
+        listed = 1 if known else 0
+    elif kind == "person":
+        first, _, last = span.partition(" ")
+        shape, checked = (1 if 3 <= len(last) <= 14 else 0), (-1 if text[start - 2 : start] in (". ", "! ", "? ") or start == 0 else 0)
+        listed = 1 if first in GIVEN else -1 if first in PLACES or last in PLACES else 0
+    else:
+        shape, checked = 1, (1 if digits and digits[0] != "0" else -1)
+        listed = 1 if any(w in PLACES for w in _before.findall(text[end : end + 40])) else 0
+    said = said_before(text, start)
     context = 1 if any(w in CUES[kind] for w in said) else -1 if said and said[-1] in AGAINST else 0
-    left, right = text[start - 1 : start], text[end : end + 1]
-    beside = -1 if left.isalnum() or right.isalnum() or left in ("#", "/", "=") and left else 1 if (not left or left.isspace() or left in "(<[:,;\"'") and (not right or right.isspace() or right in ".,;:)>]\"'!?") else 0
-    return (1 if valid else -1, structure, listed, context, beside)
+    left, right = text[start - 1 : start] if start else "", text[end : end + 1]
+    opens = (not left or left.isspace() or left in "(<[:,;\"'=") and (not right or right.isspace() or right in ".,;:)>]\"'!?")
+    beside = -1 if left.isalnum() or right.isalnum() or left in ("#", "/") and left else 1 if opens else 0
+    return (shape, checked, listed, context, beside)
 
 
 FOUND = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("kind", pa.list_(pa.int32())), ("start", pa.list_(pa.int64())), ("end", pa.list_(pa.int64())), ("valid", pa.list_(pa.bool_())), ("pattern", pa.list_(pa.int32()))])
@@ -120,17 +190,22 @@ FOUND_DDL = "key long, row long, kind array<int>, start array<long>, end array<l
 
 
 def candidate(text: str) -> list[tuple[int, int, int, bool, int]]:
-    """(kind, start, end, valid, pattern): the pattern has the votes and the kind in base 3."""
+    """(kind, start, end, valid, pattern): the pattern has the kind and the votes in base 3, and the classes of the span."""
     out = []
     for kind, s, e, valid in matches(text):
         pattern = KINDS.index(kind)
-        for v in votes(text, kind, s, e, valid):
+        for v in votes(text, kind, s, e):
             pattern = 3 * pattern + v + 1
+        share = sum(c.isdigit() for c in text[s:e]) / (e - s)
+        pattern = LENGTHS * pattern + (e - s > 15) + (e - s > 23)
+        pattern = CHARACTERS * pattern + (share > 0.2) + (share > 0.8)
         out.append((KINDS.index(kind), s, e, valid, pattern))
     return out
 
 
 def ballots(pattern: int) -> tuple[int, list[int]]:
+    """The kind and the votes of a pattern."""
+    pattern //= LENGTHS * CHARACTERS
     out = []
     for _ in range(LABELERS):
         pattern, v = divmod(pattern, 3)
@@ -141,37 +216,44 @@ def ballots(pattern: int) -> tuple[int, list[int]]:
 def reliabilities(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
     """The probability of each pattern's spans to be personal data, by expectation-maximisation over the vote counts.
 
-    For each kind: a prior and, for each labeler, the chances of its votes for true and for false spans, which are
-    independent given the truth. Starts from the share of the votes in favour.
+    For each kind: a prior and, for each labeler, its chances to vote for and against true and false spans, where it votes;
+    votes are independent given the truth. No labeler is worse than chance: where its votes would speak for the other side,
+    they say nothing. The chances of what is checked in a span (CHECKED) are known and not learnt: few true spans fail
+    a check, and few false ones pass it. Starts from the share of the votes in favour.
     """
     out: dict[int, float] = {}
     for k in range(len(KINDS)):
-        own = [(p, n, np.array(v) + 1) for p, n in sorted(counts.items()) for kind, v in [ballots(p)] if kind == k]
+        own = [(p, n, np.array(v)) for p, n in sorted(counts.items()) for kind, v in [ballots(p)] if kind == k]
         if not own:
             continue
         n = np.array([x[1] for x in own], float)
         v = np.array([x[2] for x in own])
-        q = np.clip((v - 1).mean(axis=1) / 2 + 0.5, 0.02, 0.98)
+        q = np.clip(v.mean(axis=1) / 2 + 0.5, 0.02, 0.98)
         for _ in range(rounds):
             prior = (n @ q + 1) / (n.sum() + 2)
-            like = np.log([np.full(len(own), prior), np.full(len(own), 1 - prior)])
+            odds = np.full(len(own), np.log(prior / (1 - prior)))
             for j in range(LABELERS):
-                for side, weight in enumerate((q, 1 - q)):
-                    chance = np.array([(n * weight)[v[:, j] == x].sum() for x in range(3)]) + np.array([[0.5, 0.5, 2.0], [2.0, 0.5, 0.5]][side])
-                    like[side] += np.log(chance / chance.sum())[v[:, j]]
-            q = 1 / (1 + np.exp(np.clip(like[1] - like[0], -500, 500)))
+                if j == 1:
+                    true, false = CHECKED
+                else:  # chances to vote in favour, with two votes of its own for each side
+                    true, false = (((n * w)[v[:, j] == 1].sum() + own_votes) / ((n * w)[v[:, j] != 0].sum() + 2) for w, own_votes in ((q, 1.6), (1 - q, 0.4)))
+                if true > false:
+                    odds += np.where(v[:, j] == 1, np.log(true / false), np.where(v[:, j] == -1, np.log((1 - true) / (1 - false)), 0.0))
+            q = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         out |= {x[0]: float(p) for x, p in zip(own, q)}
     return out
 
 
 def features(pattern: int) -> list[float]:
+    """Of a span: its kind, the votes on it, and the classes of its length and characters within its kind."""
     kind, v = ballots(pattern)
-    return [float(kind == k) for k in range(len(KINDS))] + [float(x == s) for x in v for s in (-1, 1)] + [1.0]
+    within = [float(kind == k and pattern // step % n == c) for k in range(len(KINDS)) for step, n in ((1, CHARACTERS), (CHARACTERS, LENGTHS)) for c in range(1, n)]
+    return [float(kind == k) for k in range(len(KINDS))] + [float(x == s) for x in v for s in (-1, 1)] + within + [1.0]
 
 
 def span_classifier(counts: dict[int, int], ridge: float = 1.0) -> dict[int, float]:
-    """Scores of all patterns by logistic regression on the labelers' votes and the kind, trained on the probabilities that
-    expectation-maximisation gives, each pattern weighted by its spans. The input has at most 4 * 3^5 entries."""
+    """Scores of all patterns by logistic regression on the kind, the votes and the span's classes, trained on the probabilities that
+    expectation-maximisation gives, each pattern weighted by its spans. The input has at most 7 * 3^7 entries."""
     truth = reliabilities(counts)
     if not truth:
         return {}
@@ -221,17 +303,18 @@ def decide(spans: list[tuple[int, int, int, bool, int]], scores: dict[int, float
     return strict, sorted(taken)
 
 
-RESULT = pa.schema([("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+RESULT = pa.schema([("key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:BASE]), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
 def personal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row: the strict spans by kind, a digest of them,
     and all spans as kind:start:end in code points, in order of start and kind.
 
-    Strict spans stay whatever the classifier says; it adds spans of looser patterns (local telephone numbers, written-out
-    addresses, hosts without a domain, numbers that fail a check) where the labelers' votes make them likely. Null and
-    empty texts have no spans; null and repeated keys and repeated rows are kept; other columns are ignored; an empty
-    table gives no rows. Texts are read once, without a shuffle.
+    Strict spans stay whatever the classifier says; it adds spans of looser patterns (numbers that run into others, local
+    telephone numbers, written-out addresses, hosts without a domain, passwords and access keys, persons, streets) where
+    the labelers' votes make them likely and no other span overlaps. Null and empty texts have no spans; very long texts
+    are read whole, one at a time, in linear time; null and repeated keys and repeated rows are kept; other columns, also
+    of clashing names, are ignored; an empty table gives no rows. Texts are read once, without a shuffle.
     """
     found = candidates(docs, key, text)
     scores = learn(found)
@@ -242,18 +325,18 @@ def personal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", thr
             for batch in batches_found:
                 for k, *lists in zip(*(batch.column(i).to_pylist() for i in range(6))):
                     strict, every = decide(list(zip(*lists)), scores, threshold)
-                    counts = [sum(x[1] == i for x in strict) for i in range(len(KINDS))]
+                    counts = [sum(x[1] == i for x in strict) for i in range(BASE)]
                     yield 120 + 20 * len(every), (k, *counts, hashlib.sha256(show(strict).encode()).hexdigest(), show(every))
 
         yield from batches(rows(), RESULT)
 
-    ddl = "key long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    ddl = "key long, " + ", ".join(f"n_{k} long" for k in KINDS[:BASE]) + ", base_sha256 string, spans string"
     return found.select("key", "kind", "start", "end", "valid", "pattern").mapInArrow(tell, ddl).withColumnRenamed("key", key)
 
 
 def mask(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """The rows with each span of personal data replaced by its kind in brackets, and n_chars, if there, counted again.
-    All rows and columns stay; null texts stay null."""
+    All rows and columns stay; null texts stay null; very long and repeated texts and empty tables as in personal_spans()."""
     scores = learn(candidates(docs, key, text))
 
     def redact(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
