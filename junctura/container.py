@@ -117,6 +117,11 @@ def make_exclusion(counts: CountSet) -> CountSet:
     return counts.with_layer("M2", m2, m2_valid=True)
 
 
+def common_cells(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The cells (cell_idx) that two modalities have in common, once each."""
+    return a.select("cell_idx").intersect(b.select("cell_idx"))
+
+
 def event_pairs(counts: CountSet, sample_key: str | None = None) -> DataFrame:
     """(event_idx, cell_idx, m1, m2) of a valid set, with the cells' library where a key is given."""
     from .operators.exclusion import pair_layers

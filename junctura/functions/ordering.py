@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="junctura-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,8 +28,9 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def _ranged(df: DataFrame, order: list) -> DataFrame:
+    """df in order by range partitions, as a table. It is staged first, as ranges are sampled from it before it is dealt."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return staged(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    return staged(staged(df).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
 
 
 def with_index(df: DataFrame, order: list, name: str, sums: dict[str, str] | None = None) -> DataFrame:
@@ -52,13 +56,15 @@ def first_seen_index(df: DataFrame, key: str, order: str, name: str) -> DataFram
     return df.join(codes, key)
 
 
-def adjusted(df: DataFrame, p: str, name: str) -> DataFrame:
+def adjusted(df: DataFrame, p: str, name: str, block: int = 100_000) -> DataFrame:
     """Adds p values adjusted by the step-up rule of false discovery: the least p * n / rank of all with as high a rank.
-    Null p values stay out and get null."""
-    known = with_index(df.where(F.col(p).isNotNull()), [p], "_rank")
-    ranked = known.withColumn("_n", F.lit(known.count())).withColumn("_q", F.col(p) * F.col("_n") / (F.col("_rank") + 1)).withColumn("_block", F.expr("_rank div 100000"))
-    after = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
-    later = ranked.groupBy("_block").agg(F.min("_q").alias("_least")).select("_block", F.min("_least").over(after).alias("_later"))
-    upward = Window.partitionBy("_block").orderBy("_rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    done = ranked.join(F.broadcast(later), "_block").withColumn(name, F.least(F.lit(1.0), F.min("_q").over(upward), F.col("_later"))).drop("_rank", "_n", "_q", "_block", "_later")
-    return done.unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
+    Null p values stay out and get null. Ranks are cut into blocks; within a block the least value so far is taken from the
+    highest rank down, and a row per block tells the least of the blocks above."""
+    placed = staged(with_index(df, [F.col(p).asc_nulls_last()], "_rank"))
+    n = placed.agg(F.count(p).alias("n")).first()["n"]
+    ranked = placed.withColumn("_q", F.col(p) * n / (F.col("_rank") + 1)).withColumn("_block", F.expr(f"_rank div {block}"))
+    above = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    later = ranked.groupBy("_block").agg(F.min("_q").alias("_least")).select("_block", F.min("_least").over(above).alias("_later"))
+    down = Window.partitionBy("_block").orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_q").over(down), F.col("_later")))
+    return ranked.join(later, "_block").withColumn(name, least).drop("_rank", "_q", "_block", "_later")

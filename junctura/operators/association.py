@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import adjusted
+from ..functions import adjusted, staged
 
 METRICS = ("CoxSnell", "Nagelkerke")
 LOW = 1e-8
@@ -74,21 +74,22 @@ def permutations(n_cells: int, n: int, seed: int | None) -> np.ndarray:
     return np.array([rng.permutation(n_cells) for _ in range(n)], np.int32).reshape(n, n_cells)
 
 
-def event_correlations(pairs: DataFrame, z: DataFrame, metric: str = "CoxSnell", draws: np.ndarray | None = None, chunk: int = 2_000_000) -> DataFrame:
+def event_correlations(pairs: DataFrame, z: DataFrame, metric: str = "CoxSnell", draws: np.ndarray | tuple[int, int, int] | None = None, chunk: int = 2_000_000) -> DataFrame:
     """(event_idx, observed, null array<double>) for events with cells in pairs (event_idx, cell_idx, m1, m2).
 
     z: (event_idx, z array<double>), the predictor of the event in every cell. Cells of an event are gathered in arrays (at
     most one entry per cell) and joined with its predictor; events are fitted together in numpy, as many at a time as
-    `chunk` numbers hold. An absent event of z is left out.
+    `chunk` numbers hold. An absent event of z is left out. Permutations of the cells are given as an array, or as the
+    numbers of cells and of permutations and a seed, from which each task makes them.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
     cells = pairs.where("m1 + m2 > 0").groupBy("event_idx").agg(F.array_sort(F.collect_list(F.struct("cell_idx", "m1", "m2"))).alias("cells"))
     rows = cells.join(z.select("event_idx", "z"), "event_idx").select("event_idx", F.col("cells.cell_idx").alias("c"), F.col("cells.m1").alias("a"), F.col("cells.m2").alias("b"), "z")
-    shared = pairs.sparkSession.sparkContext.broadcast(draws) if draws is not None and len(draws) else None
 
     def fit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = None if shared is None else shared.value
+        orders = permutations(*draws) if isinstance(draws, tuple) else draws
+        orders = None if orders is None or not len(orders) else orders
         n_draws = 1 + (0 if orders is None else len(orders))
 
         def solve(held: list) -> pa.RecordBatch:
@@ -151,7 +152,8 @@ def association(pairs: DataFrame, z: DataFrame, n_cells: int, metric: str = "Cox
     q_value, the p value adjusted over retained events; without permutations they are empty."""
     if n_permutations < 0:
         raise ValueError("n_permutations must be non-negative")
-    found = event_correlations(pairs, z, metric, permutations(n_cells, n_permutations, seed))
+    drawn = int(np.random.SeedSequence().entropy % 2**63) if seed is None else seed
+    found = staged(event_correlations(pairs, z, metric, (n_cells, n_permutations, drawn)))  # fitted once for both tables
     summary = null_summary(found)
     kept = summary.where("observed is not null and null_mean is not null").drop("null")
     statistics = adjusted(kept, "p_value", "q_value")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import staged
+
 
 def library_deviance(pairs: DataFrame) -> DataFrame:
     """(event_idx, library, deviance) from (event_idx, cell_idx, library, m1, m2).
@@ -12,13 +14,21 @@ def library_deviance(pairs: DataFrame) -> DataFrame:
     With p the library's share of m1: twice the sum of y ln(y / n p) + (n - y) ln((n - y) / n (1 - p)) over cells; 0 where p
     is 0 or 1. The logarithms of p come out of the sums, so one aggregation gives all.
     """
+    return _deviance(library_sums(pairs)).select("event_idx", "library", "deviance")
+
+
+def library_sums(pairs: DataFrame) -> DataFrame:
+    """(event_idx, library, y, n, own): the sums that deviances are made of."""
     n = F.col("m1") + F.col("m2")
     term = lambda x: F.when(x > 0, x * F.ln(x / F.when(n > 0, n))).otherwise(0.0)
-    sums = pairs.where(n > 0).groupBy("event_idx", "library").agg(F.sum("m1").alias("y"), F.sum(n).alias("n"), F.sum(term(F.col("m1")) + term(F.col("m2"))).alias("own"))
+    return pairs.where(n > 0).groupBy("event_idx", "library").agg(F.sum("m1").alias("y"), F.sum(n).alias("n"), F.sum(term(F.col("m1")) + term(F.col("m2"))).alias("own"))
+
+
+def _deviance(sums: DataFrame) -> DataFrame:
     p = F.col("y") / F.col("n")
     inner = (F.col("y") > 0) & (F.col("y") < F.col("n"))
     value = 2 * (F.col("own") - F.col("y") * F.ln(F.when(inner, p)) - (F.col("n") - F.col("y")) * F.ln(F.when(inner, 1 - p)))
-    return sums.select("event_idx", "library", F.when(inner, value).otherwise(0.0).alias("deviance"))
+    return sums.withColumn("deviance", F.when(inner, F.greatest(F.lit(0.0), value)).otherwise(0.0))
 
 
 def passing_events(pairs: DataFrame, min_row_sum: float = 50.0) -> DataFrame:
@@ -27,9 +37,10 @@ def passing_events(pairs: DataFrame, min_row_sum: float = 50.0) -> DataFrame:
 
 
 def event_deviance(pairs: DataFrame, min_row_sum: float = 50.0) -> DataFrame:
-    """(event_idx, deviance): the sum over libraries, for events that pass."""
-    kept = pairs.join(passing_events(pairs, min_row_sum), "event_idx", "left_semi")
-    return library_deviance(kept).groupBy("event_idx").agg(F.sum("deviance").alias("deviance"))
+    """(event_idx, deviance): the sum over libraries, for events that pass. The pairs are aggregated once, by library; what
+    an event counts in all comes from its few rows there."""
+    counted = _deviance(library_sums(pairs)).groupBy("event_idx").agg(F.sum("deviance").alias("deviance"), F.sum("y").alias("_a"), F.sum(F.col("n") - F.col("y")).alias("_b"))
+    return counted.where((F.col("_a") > min_row_sum) & (F.col("_b") > min_row_sum)).select("event_idx", "deviance")
 
 
 def mark_top(scores: DataFrame, score: str, idx: str, n_top: int | None, name: str = "highly_variable") -> DataFrame:
@@ -47,7 +58,7 @@ def highly_variable_events(events: DataFrame, pairs: DataFrame, min_row_sum: flo
 
     pairs: (event_idx, cell_idx, library, m1, m2).
     """
-    if not passing_events(pairs, min_row_sum).limit(1).count():
-        raise ValueError(f"no events pass min_row_sum={min_row_sum}")
-    scored = events.join(event_deviance(pairs, min_row_sum).withColumnRenamed("deviance", "sum_deviance"), "event_idx", "left")
-    return mark_top(scored, "sum_deviance", "event_idx", n_top, key_added)
+    scores = staged(event_deviance(pairs, min_row_sum).withColumnRenamed("deviance", "sum_deviance"))  # a row per event
+    if not scores.limit(1).count():
+        raise ValueError(f"no event has more than min_row_sum={min_row_sum} of both counts")
+    return mark_top(events.join(scores, "event_idx", "left"), "sum_deviance", "event_idx", n_top, key_added)

@@ -11,21 +11,22 @@ from ..functions import excluded
 def paired_counts(events: DataFrame, m1: DataFrame) -> DataFrame:
     """(event_idx, cell_idx, m1, m2) for each event of a group and each cell in which the group has counts.
 
-    Counts are first added up by group and cell; the sums, not the counts, are joined with the members, so the rows are as
-    many as the result. A pair with neither count is left out.
+    Counts are gathered by group and cell, as a sum and a list of the members that have some (a group is a splice site, so
+    lists are short), and joined with the list of all members: the result, which is larger, is made in place and never
+    shuffled. A pair with neither count is left out. Negative ids of groups are an error.
     """
-    members = events.select("event_idx", "group_id")
-    sums = m1.join(members, "event_idx").groupBy("group_id", "cell_idx").agg(F.sum("value").alias("total")).where("total <> 0")
-    spread = sums.join(members, "group_id")
-    own = m1.select("event_idx", "cell_idx", F.col("value").alias("m1"))
-    both = spread.join(own, ["event_idx", "cell_idx"], "left")
-    return both.select("event_idx", "cell_idx", F.coalesce("m1", F.lit(0.0)).alias("m1"), F.coalesce(excluded("total", "m1"), F.lit(0.0)).alias("m2")).where("m1 <> 0 or m2 <> 0")
+    group = F.when(F.col("group_id") >= 0, F.col("group_id")).otherwise(F.raise_error(F.lit("group_id must not be negative")))
+    numbered = events.select("event_idx", group.alias("group_id"))
+    members = numbered.groupBy("group_id").agg(F.collect_list("event_idx").alias("members"))
+    sums = m1.join(numbered, "event_idx").groupBy("group_id", "cell_idx").agg(F.sum("value").alias("total"), F.collect_list(F.struct("event_idx", "value")).alias("own")).where("total <> 0")
+    spread = sums.join(members, "group_id").select("cell_idx", "total", "own", F.explode("members").alias("event_idx"))
+    m1_value = F.aggregate(F.filter("own", lambda x: x.event_idx == F.col("event_idx")), F.lit(0.0), lambda t, x: t + x.value)
+    both = spread.withColumn("m1", m1_value)
+    return both.select("event_idx", "cell_idx", "m1", F.coalesce(excluded("total", "m1"), F.lit(0.0)).alias("m2")).where("m1 <> 0 or m2 <> 0")
 
 
 def exclusion_counts(events: DataFrame, m1: DataFrame) -> DataFrame:
     """(event_idx, cell_idx, value): the exclusion counts that aren't zero. Groups of one member have none."""
-    if events.where("group_id < 0").limit(1).count():
-        raise ValueError("var['group_id'] must be non-negative")
     return paired_counts(events, m1).where("m2 <> 0").select("event_idx", "cell_idx", F.col("m2").alias("value"))
 
 

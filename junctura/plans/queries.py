@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import adjusted, cell_name, inclusion_ratio, strand_sign
+from ..container import common_cells
+from ..functions import adjusted, cell_name, inclusion_ratio, staged, strand_sign
 from ..operators import association as A
 from ..operators import deviance as D
 from ..operators import variance as V
 from ..operators.exclusion import exclusion_counts, paired_counts
-from ..operators.grouping import filter_min_counts, splice_events, union_junctions
+from ..operators.grouping import events_in_samples, filter_min_counts, splice_events, union_junctions
+from ..sources.spatial import listed_only
+from ..sources.velocity import join_layers
 from .proxy import events_and_counts, gene_counts, junction_counts, junction_reads, libraries, table
 
 KEY = ["chr", "start", "end", "strand"]
@@ -59,8 +62,6 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import staged
-
     return staged(_pairs(spark, sf_dir).join(libraries(spark, sf_dir), "cell_idx"))
 
 
@@ -86,7 +87,7 @@ def cell_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {COUNTS} SELECT * FROM counts WHERE cell_idx IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)""")
 def whitelist_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("cell_idx"))
-    return junction_counts(spark, sf_dir).join(listed, "cell_idx", "left_semi").select(*KEY, "cell_idx", "value")
+    return listed_only(junction_counts(spark, sf_dir), listed, "cell_idx")
 
 
 @query(f"""WITH {EVENTS} SELECT kind AS group_kind, n AS group_count, count(*) AS n_events FROM events GROUP BY ALL""")
@@ -154,8 +155,6 @@ def hve_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LIBRARY}, ranked AS (SELECT event_idx, row_number() OVER (ORDER BY deviance DESC, event_idx) AS r FROM scores)
 SELECT n.event_idx, r IS NOT NULL AND r <= 500 AS highly_variable FROM numbered n LEFT JOIN ranked USING (event_idx)""")
 def hve_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import staged
-
     events, m1 = events_and_counts(spark, sf_dir)
     placed = staged(paired_counts(events, m1).join(libraries(spark, sf_dir), "cell_idx"))
     return D.highly_variable_events(events, placed, 50.0, 500).select("event_idx", "highly_variable")
@@ -192,9 +191,8 @@ _LAYER = "CASE l_returnflag WHEN 'A' THEN 'spliced' WHEN 'N' THEN 'unspliced' EL
 
 @query(f"SELECT {_LAYER} AS layer, l_partkey AS feature_idx, l_suppkey AS cell_idx, sum(l_quantity) AS value FROM lineitem GROUP BY ALL")
 def velocity_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layers = [table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(F.lit(name).alias("layer"), F.col("l_partkey").alias("feature_idx"), F.col("l_suppkey").alias("cell_idx"), "l_quantity") for flag, name in (("A", "spliced"), ("N", "unspliced"), ("R", "ambiguous"))]
-    rows = layers[0].unionByName(layers[1]).unionByName(layers[2])
-    return rows.groupBy("layer", "feature_idx", "cell_idx").agg(F.sum("l_quantity").alias("value"))
+    of = lambda flag: table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("feature_idx"), F.col("l_suppkey").alias("cell_idx"), "l_quantity")
+    return join_layers({"spliced": of("A"), "unspliced": of("N"), "ambiguous": of("R")}).groupBy("layer", "feature_idx", "cell_idx").agg(F.sum("l_quantity").alias("value"))
 
 
 @query(f"SELECT {_LAYER} AS layer, l_partkey AS feature_idx, sum(l_quantity) AS value FROM lineitem GROUP BY ALL")
@@ -208,73 +206,66 @@ def stacked_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _correlations(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
-    """Observed values for the predictor (7 cell + 3 start + end) % 2 where each of its levels has both counts."""
-    from ..functions import staged
-
+    """Observed values of all events for the predictor (7 cell + 3 start + end) % 2; null where cells, counts or levels are too
+    few for a fit, and 0 where the fit explains nothing."""
     events, m1 = events_and_counts(spark, sf_dir)
     pairs = staged(paired_counts(events, m1))
     n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] + 1
     z = events.select("event_idx", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: ((7 * c + 3 * F.col("start") + F.col("end")) % 2).cast("double")).alias("z"))
-    levels = pairs.join(events.select("event_idx", "start", "end"), "event_idx").groupBy("event_idx", ((7 * F.col("cell_idx") + 3 * F.col("start") + F.col("end")) % 2).alias("level")).agg(F.sum("m1").alias("a"), F.sum("m2").alias("b"))
-    usable = levels.where("a > 0 and b > 0").groupBy("event_idx").count().where("count = 2").select("event_idx")
-    found = A.event_correlations(pairs.join(usable, "event_idx", "left_semi"), z, metric)
-    return found.where("abs(observed) > 0.0001").select("event_idx", F.round("observed", 5).alias("observed"))
-
-
-_CORRELATION = PAIRS + """, leveled AS (SELECT p.*, (7 * cell_idx + 3 * "start" + "end") % 2 AS level FROM pairs p JOIN numbered USING (event_idx) WHERE m1 + m2 > 0),
-groups AS (SELECT event_idx, level, sum(m1) AS a, sum(m2) AS b FROM leveled GROUP BY ALL),
-wide AS (SELECT event_idx, max(CASE WHEN level = 0 THEN a / (a + b) END) AS p0, max(CASE WHEN level = 1 THEN a / (a + b) END) AS p1, sum(a) / sum(a + b) AS p FROM groups WHERE a > 0 AND b > 0 GROUP BY event_idx HAVING count(*) = 2),
-fits AS (SELECT event_idx, count(*) AS n, any_value(p1 >= p0) AS up,
-  sum(2 * ((CASE WHEN m1 > 0 THEN m1 * ln(m1 / ((m1 + m2) * (CASE level WHEN 0 THEN p0 ELSE p1 END))) ELSE 0 END) + (CASE WHEN m2 > 0 THEN m2 * ln(m2 / ((m1 + m2) * (1 - (CASE level WHEN 0 THEN p0 ELSE p1 END)))) ELSE 0 END))) AS full_d,
-  sum(2 * ((CASE WHEN m1 > 0 THEN m1 * ln(m1 / ((m1 + m2) * p)) ELSE 0 END) + (CASE WHEN m2 > 0 THEN m2 * ln(m2 / ((m1 + m2) * (1 - p))) ELSE 0 END))) AS null_d
-  FROM leveled JOIN wide USING (event_idx) GROUP BY event_idx),
-values_ AS (SELECT event_idx, sqrt(greatest(0, {r2})) * CASE WHEN up THEN 1 ELSE -1 END AS observed FROM fits)
-SELECT event_idx, round(observed, 5) AS observed FROM values_ WHERE abs(observed) > 0.0001"""
-
-
-@query(f"WITH {_CORRELATION.replace('{r2}', '1 - exp((full_d - null_d) / n)')}")
+    level = ((7 * F.col("cell_idx") + 3 * F.col("start") + F.col("end")) % 2).alias("level")
+    seen = pairs.where("m1 + m2 > 0").join(events.select("event_idx", "start", "end"), "event_idx").groupBy("event_idx").agg(F.sum("m1").alias("a"), F.sum("m2").alias("b"), F.countDistinct(level).alias("levels"))
+    fitted = seen.select("event_idx", ((F.col("a") > 0) & (F.col("b") > 0) & (F.col("levels") > 1)).alias("fitted"))
+    found = events.select("event_idx").join(fitted, "event_idx", "left").join(A.event_correlations(pairs, z, metric), "event_idx", "left")
+    return found.select("event_idx", F.when(F.col("fitted"), F.round(F.coalesce("observed", F.lit(0.0)), 4) + 0.0).alias("observed"))
+
+
+#: The same steps in SQL: a row per event and step, while it goes on.
+_CORRELATION = PAIRS.replace("WITH ", "", 1) + """, leveled AS (SELECT p.event_idx, p.m1 AS y, p.m1 + p.m2 AS n, CAST((7 * cell_idx + 3 * "start" + "end") % 2 AS DOUBLE) AS z FROM pairs p JOIN numbered USING (event_idx) WHERE p.m1 + p.m2 > 0),
+totals AS (SELECT event_idx, count(*) AS cells, sum(y) AS sy, sum(n) AS sn FROM leveled GROUP BY event_idx HAVING sum(y) > 0 AND sum(n - y) > 0 AND count(DISTINCT z) > 1),
+steps AS (SELECT 0 AS step, event_idx, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, true AS going FROM totals
+  UNION ALL SELECT step + 1, event_idx, c0, c1, greatest(abs(c0 - b0), abs(c1 - b1)) >= 1e-6 FROM (
+    SELECT step, event_idx, b0, b1, (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) AS c0, (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) AS c1 FROM (
+      SELECT step, event_idx, b0, b1, sum(w) AS s0, sum(w * z) AS s1, sum(w * z * z) AS s2, sum(w * k) AS t0, sum(w * z * k) AS t1 FROM (
+        SELECT step, event_idx, b0, b1, z, n * p * (1 - p) AS w, e + (y - n * p) / (n * p * (1 - p) + 1e-8) AS k FROM (
+          SELECT step, event_idx, b0, b1, z, y, n, b0 + b1 * z AS e, least(greatest(1 / (1 + exp(-(b0 + b1 * z))), 1e-8), 1 - 1e-8) AS p FROM steps JOIN leveled USING (event_idx) WHERE going AND step < 100))
+      GROUP BY step, event_idx, b0, b1))),
+fits AS (SELECT event_idx, arg_max(b0, step) AS b0, arg_max(b1, step) AS b1 FROM steps GROUP BY event_idx),
+deviances AS (SELECT event_idx, any_value(b1) AS b1, any_value(cells) AS cells,
+  sum(2 * ((CASE WHEN y > 0 THEN y * ln(y / (n * p)) ELSE 0 END) + (CASE WHEN n > y THEN (n - y) * ln((n - y) / (n * (1 - p))) ELSE 0 END))) AS full_d,
+  sum(2 * ((CASE WHEN y > 0 THEN y * ln(y / (n * q)) ELSE 0 END) + (CASE WHEN n > y THEN (n - y) * ln((n - y) / (n * (1 - q))) ELSE 0 END))) AS null_d
+  FROM (SELECT event_idx, y, n, b1, cells, least(greatest(1 / (1 + exp(-(b0 + b1 * z))), 1e-8), 1 - 1e-8) AS p, least(greatest(sy / sn, 1e-8), 1 - 1e-8) AS q FROM leveled JOIN fits USING (event_idx) JOIN totals USING (event_idx)) GROUP BY event_idx)
+SELECT event_idx, round(sqrt(greatest(0, {r2})) * CASE WHEN b1 >= 0 THEN 1 ELSE -1 END, 4) + 0.0 AS observed FROM numbered LEFT JOIN deviances USING (event_idx)"""
+_COX_SNELL = f"WITH RECURSIVE {_CORRELATION.replace('{r2}', '1 - exp((full_d - null_d) / cells)')}"
+_NAGELKERKE = f"WITH RECURSIVE {_CORRELATION.replace('{r2}', '(1 - exp((full_d - null_d) / cells)) / (1 - exp(-null_d / cells))')}"
+
+
+@query(_COX_SNELL)
 def pseudo_corr_coxsnell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _correlations(spark, sf_dir, "CoxSnell")
 
 
-@query(f"WITH {_CORRELATION.replace('{r2}', '(1 - exp((full_d - null_d) / n)) / (1 - exp(-null_d / n))')}")
+@query(_NAGELKERKE)
 def pseudo_corr_nagelkerke(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _correlations(spark, sf_dir, "Nagelkerke")
 
 
-def _all_correlations(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
-    """Observed values of all events for the predictor (7 cell + 3 start + end) % 2, null where there is none."""
-    from ..functions import staged
-
-    events, m1 = events_and_counts(spark, sf_dir)
-    n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] + 1
-    z = events.select("event_idx", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: ((7 * c + 3 * F.col("start") + F.col("end")) % 2).cast("double")).alias("z"))
-    found = A.event_correlations(staged(paired_counts(events, m1)), z, metric)
-    return events.select("event_idx").join(found, "event_idx", "left").select("event_idx", F.round("observed", 5).alias("observed"))
-
-
-@query(None)
-def pseudo_corr_coxsnell_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_correlations(spark, sf_dir, "CoxSnell")
+#: Names of round 1 for the queries of all events, which the two above are now.
+for _name in ("coxsnell", "nagelkerke"):
+    QUERIES[f"pseudo_corr_{_name}_all"], SQL[f"pseudo_corr_{_name}_all"] = QUERIES[f"pseudo_corr_{_name}"], SQL[f"pseudo_corr_{_name}"]
 
 
-@query(None)
-def pseudo_corr_nagelkerke_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_correlations(spark, sf_dir, "Nagelkerke")
-
-
-#: A null table that SQL can make too: 20 draws per part, some of them missing.
+#: A null table that SQL can make too: 20 draws per part, some of them missing; each 13th part has no observed value.
 _DRAWS = """draws AS (SELECT p_partkey AS event_idx, k AS permutation, CASE WHEN (p_partkey + k) % 11 = 0 THEN NULL ELSE ((p_partkey * 7919 + k * 104729) % 1000 - 500) / 1000.0 END AS value,
-  ((p_partkey * 31) % 1000 - 500) / 900.0 AS observed FROM part, range(1, 21) t(k) WHERE p_partkey % 13 <> 0),
+  CASE WHEN p_partkey % 13 <> 0 THEN ((p_partkey * 31) % 1000 - 500) / 900.0 END AS observed FROM part, range(1, 21) t(k)),
 summary AS (SELECT event_idx, any_value(observed) AS observed, count(value) AS n_valid, avg(value) AS null_mean, stddev_samp(value) AS null_sd,
-  (sum(CASE WHEN abs(value) >= abs(observed) THEN 1 ELSE 0 END) + 1) / (count(value) + 1.0) AS p_value FROM draws GROUP BY event_idx)"""
+  CASE WHEN any_value(observed) IS NOT NULL THEN (sum(CASE WHEN abs(value) >= abs(observed) THEN 1 ELSE 0 END) + 1) / (count(value) + 1.0) END AS p_value FROM draws GROUP BY event_idx)"""
 
 
 def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.sequence(F.lit(1), F.lit(20))
     draw = lambda i: F.when((F.col("p_partkey") + i) % 11 != 0, ((F.col("p_partkey") * 7919 + i * 104729) % 1000 - 500) / F.lit(1000.0))
-    parts = table(spark, sf_dir, "part").where("p_partkey % 13 <> 0")
-    return parts.select(F.col("p_partkey").alias("event_idx"), (((F.col("p_partkey") * 31) % 1000 - 500) / F.lit(900.0)).alias("observed"), F.transform(k, draw).alias("null"))
+    observed = F.when(F.col("p_partkey") % 13 != 0, ((F.col("p_partkey") * 31) % 1000 - 500) / F.lit(900.0))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("event_idx"), observed.alias("observed"), F.transform(k, draw).alias("null"))
 
 
 @query(f"WITH {_DRAWS} SELECT event_idx, CAST(n_valid AS INT) AS n_valid, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd FROM summary")
@@ -287,21 +278,20 @@ def empirical_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.null_summary(_draws(spark, sf_dir)).select("event_idx", F.round("p_value", 6).alias("p_value"))
 
 
-@query(f"""WITH {_DRAWS}, ranked AS (SELECT event_idx, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, event_idx) AS q, row_number() OVER (ORDER BY p_value, event_idx) AS r FROM summary)
-SELECT event_idx, round(least(1.0, min(q) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value FROM ranked""")
+@query(f"""WITH {_DRAWS}, ranked AS (SELECT event_idx, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, event_idx) AS q, row_number() OVER (ORDER BY p_value, event_idx) AS r FROM summary WHERE p_value IS NOT NULL),
+adjusted AS (SELECT event_idx, least(1.0, min(q) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM ranked)
+SELECT event_idx, round(q_value, 6) AS q_value FROM summary LEFT JOIN adjusted USING (event_idx)""")
 def bh_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjusted(A.null_summary(_draws(spark, sf_dir)), "p_value", "q_value").select("event_idx", F.round("q_value", 6).alias("q_value"))
 
 
-@query(f"WITH {_DRAWS} SELECT CAST(permutation AS INT) AS permutation, event_idx, CAST(value AS DOUBLE) AS value FROM draws")
+@query(f"WITH {_DRAWS} SELECT CAST(permutation AS INT) AS permutation, event_idx, CAST(value AS DOUBLE) AS value FROM draws WHERE observed IS NOT NULL")
 def null_long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.null_long_table(A.null_summary(_draws(spark, sf_dir)))
 
 
 def _association(spark: SparkSession, sf_dir: str) -> A.AssociationResult:
     """Association of all events with the predictor (7 cell + 3 start + end) % 2, with 100 permutations of the cells."""
-    from ..functions import staged
-
     events, m1 = events_and_counts(spark, sf_dir)
     pairs = staged(paired_counts(events, m1).withColumn("cell_idx", F.col("cell_idx") - 1))
     n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0]
@@ -332,13 +322,13 @@ def spatial_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EVENTS} SELECT event_idx, count(DISTINCT s_nationkey % 4) AS n_samples FROM m1 JOIN supplier ON s_suppkey = cell_idx WHERE value <> 0 GROUP BY event_idx HAVING count(DISTINCT s_nationkey % 4) >= 3""")
 def events_in_k_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     m1 = events_and_counts(spark, sf_dir)[1]
-    return m1.where("value <> 0").join(libraries(spark, sf_dir), "cell_idx").groupBy("event_idx").agg(F.countDistinct("library").alias("n_samples")).where("n_samples >= 3")
+    return events_in_samples(m1, libraries(spark, sf_dir).withColumnRenamed("library", "sample_id"), 3)
 
 
 @query(f"""WITH {COUNTS} SELECT cell_idx FROM counts WHERE value > 60 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45""")
 def modality_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = junction_counts(spark, sf_dir).where("value > 60").select("cell_idx")
-    return a.intersect(table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_quantity > 45").select(F.col("l_suppkey").alias("cell_idx")))
+    return common_cells(a, table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_quantity > 45").select(F.col("l_suppkey").alias("cell_idx")))
 
 
 @query("""WITH named AS (SELECT p_partkey, p_type AS symbol, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS k FROM part)

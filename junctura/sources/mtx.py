@@ -33,10 +33,21 @@ def shape(spark: SparkSession, path: str, what: str = "matrix.mtx") -> tuple[int
     return rows, cols, entries
 
 
+def stored(spark: SparkSession, path: str) -> int:
+    """Lines of the file after the dimension line that are neither comments nor blank."""
+    return spark.read.text(path).where("value not like '\\%%' and trim(value) <> ''").count() - 1
+
+
+def symmetric(spark: SparkSession, path: str) -> bool:
+    """Whether the file's banner says that entries stand for their mirror images too."""
+    banner = spark.read.text(path).where("_metadata.file_block_start = 0 and value like '\\%\\%MatrixMarket%'").first()
+    return banner is not None and "symmetric" in banner["value"].lower().split()
+
+
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """(row, col from 0, value double) of the file's entries; repeated places are added up. Files that aren't gzipped are
     read in splits; the dimension line is told by its place, the first line of the first block that isn't a comment (so
-    comments must be shorter than a block)."""
+    comments must be shorter than a block). The entries of a symmetric file off the diagonal are mirrored."""
 
     def parse(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = False
@@ -54,4 +65,7 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cells[0].to_numpy(np.int64) - 1), pa.array(cells[1].to_numpy(np.int64) - 1), pa.array(x)], names=["row", "col", "value"])
 
     read = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"))
-    return read.mapInArrow(parse, "row long, col long, value double").groupBy("row", "col").agg(F.sum("value").alias("value"))
+    found = read.mapInArrow(parse, "row long, col long, value double")
+    if symmetric(spark, path):
+        found = found.unionByName(found.where("row <> col").select(F.col("col").alias("row"), F.col("row").alias("col"), "value"))
+    return found.groupBy("row", "col").agg(F.sum("value").alias("value"))

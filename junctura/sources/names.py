@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 
 def make_unique(df: DataFrame, symbol: str, order: str, name: str) -> DataFrame:
-    """Adds the symbol with -k after its k-th repetition in order. Suffixes that meet another symbol are told by validation."""
-    k = F.row_number().over(Window.partitionBy(symbol).orderBy(order)) - 1
-    return df.withColumn(name, F.when(k == 0, F.col(symbol)).otherwise(F.concat(symbol, F.lit("-"), k.cast("string"))))
+    """Adds the symbol with -k after its repetitions in order: k counts up from 1, passing over names that are symbols
+    themselves. As no two symbols differ in the suffix alone, names are unique."""
+    nth = F.row_number().over(Window.partitionBy(symbol).orderBy(order)) - 1
+    taken = df.select(F.col(symbol).alias("_s")).distinct().withColumn("_k", F.regexp_extract("_s", "-([1-9][0-9]{0,8})$", 1)).where("_k <> ''")
+    taken = taken.select(F.expr("substring(_s, 1, length(_s) - length(_k) - 1)").alias("_of"), F.col("_k").cast("int").alias("_k")).groupBy("_of").agg(F.array_sort(F.collect_list("_k")).alias("_taken"))
+    placed = df.withColumn("_nth", nth).join(taken, F.col(symbol) == F.col("_of"), "left")
+    k = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_nth"), lambda x, t: F.when(t <= x, x + 1).otherwise(x))
+    return placed.withColumn(name, F.when(F.col("_nth") == 0, F.col(symbol)).otherwise(F.concat(symbol, F.lit("-"), k.cast("string")))).drop("_nth", "_of", "_taken")
