@@ -39,6 +39,8 @@ class CountSet:
     var: DataFrame
     layers: dict[str, DataFrame] = field(default_factory=dict)
     meta: dict[str, Any] = field(default_factory=dict)
+    #: Tables of associations by key, which belong to these features and cells.
+    results: dict[str, Any] = field(default_factory=dict)
 
     def with_layer(self, name: str, rows: DataFrame, **meta: Any) -> CountSet:
         return replace(self, layers=self.layers | {name: rows}, meta=self.meta | meta)
@@ -46,12 +48,12 @@ class CountSet:
     def select_cells(self, cells: DataFrame) -> CountSet:
         """Cells of the given cell_idx. Exclusion counts stay valid: they are made cell by cell."""
         keep = cells.select("cell_idx").distinct()
-        return replace(self, obs=self.obs.join(keep, "cell_idx", "left_semi"), layers={n: x.join(keep, "cell_idx", "left_semi") for n, x in self.layers.items()})
+        return replace(self, obs=self.obs.join(keep, "cell_idx", "left_semi"), layers={n: x.join(keep, "cell_idx", "left_semi") for n, x in self.layers.items()}, results={})
 
     def select_features(self, features: DataFrame) -> CountSet:
         """Features of the given feature_idx. Exclusion counts aren't valid any more: groups have changed."""
         keep = features.select("feature_idx").distinct()
-        return replace(self, var=self.var.join(keep, "feature_idx", "left_semi"), layers={n: x.join(keep, "feature_idx", "left_semi") for n, x in self.layers.items()}, meta=self.meta | {"m2_valid": False})
+        return replace(self, var=self.var.join(keep, "feature_idx", "left_semi"), layers={n: x.join(keep, "feature_idx", "left_semi") for n, x in self.layers.items()}, meta=self.meta | {"m2_valid": False}, results={})
 
     def save(self, path: str) -> None:
         """Parquet folders obs, var and layers/<name>, and the settings as JSON."""
@@ -63,9 +65,10 @@ class CountSet:
         spark.createDataFrame([(json.dumps({NAMESPACE: self.meta, "layers": list(self.layers)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> CountSet:
+    def load(spark: SparkSession, path: str, older: str | None = None) -> CountSet:
+        """`older` is a key under which an earlier program left its settings."""
         held = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-        return CountSet(spark.read.parquet(f"{path}/obs"), spark.read.parquet(f"{path}/var"), {n: spark.read.parquet(f"{path}/layers/{n}") for n in held["layers"]}, namespace(held))
+        return CountSet(spark.read.parquet(f"{path}/obs"), spark.read.parquet(f"{path}/var"), {n: spark.read.parquet(f"{path}/layers/{n}") for n in held["layers"]}, namespace(held, older))
 
 
 def namespace(held: dict[str, Any], older: str | None = None) -> dict[str, Any]:

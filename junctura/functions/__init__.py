@@ -1,6 +1,6 @@
 """Column functions and checks that the operators share."""
 
 from .columns import cell_name, event_name, excluded, inclusion_ratio, row_name, splice_key, strand_sign
-from .ordering import adjusted, first_seen_index, staged, with_index
+from .ordering import adjusted, first_seen_index, shared_folder, staged, with_index
 
-__all__ = ["adjusted", "cell_name", "event_name", "excluded", "first_seen_index", "inclusion_ratio", "row_name", "splice_key", "staged", "strand_sign", "with_index"]
+__all__ = ["adjusted", "cell_name", "event_name", "excluded", "first_seen_index", "inclusion_ratio", "row_name", "shared_folder", "splice_key", "staged", "strand_sign", "with_index"]

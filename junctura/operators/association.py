@@ -134,8 +134,10 @@ def null_summary(draws: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class AssociationResult:
-    """Tables of an association: statistics (retained events), the null draws in long form, and the call's settings."""
+    """Tables of an association: (event_idx, observed) of all events, statistics (retained events), the null draws in long
+    form, and the call's settings."""
 
+    observed: DataFrame
     statistics: DataFrame
     null_distribution: DataFrame
     metadata: dict[str, Any]
@@ -157,4 +159,4 @@ def association(pairs: DataFrame, z: DataFrame, n_cells: int, metric: str = "Cox
     summary = null_summary(found)
     kept = summary.where("observed is not null and null_mean is not null").drop("null")
     statistics = adjusted(kept, "p_value", "q_value")
-    return AssociationResult(statistics, null_long_table(summary), {"metric": metric, "n_permutations": n_permutations, "seed": seed})
+    return AssociationResult(found.select("event_idx", "observed"), statistics, null_long_table(summary), {"metric": metric, "n_permutations": n_permutations, "seed": seed})

@@ -216,7 +216,7 @@ def _correlations(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
     seen = pairs.where("m1 + m2 > 0").join(events.select("event_idx", "start", "end"), "event_idx").groupBy("event_idx").agg(F.sum("m1").alias("a"), F.sum("m2").alias("b"), F.countDistinct(level).alias("levels"))
     fitted = seen.select("event_idx", ((F.col("a") > 0) & (F.col("b") > 0) & (F.col("levels") > 1)).alias("fitted"))
     found = events.select("event_idx").join(fitted, "event_idx", "left").join(A.event_correlations(pairs, z, metric), "event_idx", "left")
-    return found.select("event_idx", F.when(F.col("fitted"), F.round(F.coalesce("observed", F.lit(0.0)), 4) + 0.0).alias("observed"))
+    return found.select("event_idx", F.when(F.col("fitted"), F.round(F.coalesce("observed", F.lit(0.0)), 5) + 0.0).alias("observed"))
 
 
 #: The same steps in SQL: a row per event and step, while it goes on.
@@ -234,7 +234,7 @@ deviances AS (SELECT event_idx, any_value(b1) AS b1, any_value(cells) AS cells,
   sum(2 * ((CASE WHEN y > 0 THEN y * ln(y / (n * p)) ELSE 0 END) + (CASE WHEN n > y THEN (n - y) * ln((n - y) / (n * (1 - p))) ELSE 0 END))) AS full_d,
   sum(2 * ((CASE WHEN y > 0 THEN y * ln(y / (n * q)) ELSE 0 END) + (CASE WHEN n > y THEN (n - y) * ln((n - y) / (n * (1 - q))) ELSE 0 END))) AS null_d
   FROM (SELECT event_idx, y, n, b1, cells, least(greatest(1 / (1 + exp(-(b0 + b1 * z))), 1e-8), 1 - 1e-8) AS p, least(greatest(sy / sn, 1e-8), 1 - 1e-8) AS q FROM leveled JOIN fits USING (event_idx) JOIN totals USING (event_idx)) GROUP BY event_idx)
-SELECT event_idx, round(sqrt(greatest(0, {r2})) * CASE WHEN b1 >= 0 THEN 1 ELSE -1 END, 4) + 0.0 AS observed FROM numbered LEFT JOIN deviances USING (event_idx)"""
+SELECT event_idx, round(sqrt(greatest(0, {r2})) * CASE WHEN b1 >= 0 THEN 1 ELSE -1 END, 5) + 0.0 AS observed FROM numbered LEFT JOIN deviances USING (event_idx)"""
 _COX_SNELL = f"WITH RECURSIVE {_CORRELATION.replace('{r2}', '1 - exp((full_d - null_d) / cells)')}"
 _NAGELKERKE = f"WITH RECURSIVE {_CORRELATION.replace('{r2}', '(1 - exp((full_d - null_d) / cells)) / (1 - exp(-null_d / cells))')}"
 
