@@ -1,6 +1,7 @@
 """Mixing, sharding, packing, media and Merkle trees against plain versions."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -109,6 +110,20 @@ def test_shards(docs, empty, spark, sf):
     assert set(shards) == set(range(8)) and all(abs(n - total / 8) <= max(map(len, text.values())) + 1 for n in shards.values())
 
 
+def paragraphs(text):
+    return re.findall(r"[^\n.!?]{0,95}[\n.!?]+|[^\n.!?]{1,96}", text)
+
+
+def plain_fingerprint(text):
+    sections, tree = [""], ""
+    for h in (hashlib.sha256(p.encode()).hexdigest() for p in paragraphs(text)):
+        end = int(h, 16) % 8 == 0
+        sections[-1] += h if end else h + ","
+        sections += [""] * end
+        tree += h[:12] + (",", "|")[end]
+    return hashlib.sha256("|".join(hashlib.sha256(x.encode()).hexdigest() for x in sections).encode()).hexdigest() + ":" + tree
+
+
 def test_merkle(docs, empty, spark, sf):
     ordered = sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0))
     got = merkle.edited_fingerprints(docs).collect()
@@ -118,8 +133,16 @@ def test_merkle(docs, empty, spark, sf):
     assert sorted(r.edited_sha256 for r in got) == sorted(digest(a, texts[(i + 1) % len(texts)]) for i, a in enumerate(texts))
     same = {r.doc_id: r.fingerprint for r in got}
     assert same[7] == same[8] and same[1] == same[2] and len({same[0], same[1], same[3], same[4], same[7], same[9]}) == 6
+    table = sorted((r.doc_id, r.text or "") for r in common.table(spark, sf, "documents").collect())
+    follow = {k: (t, table[(i + 1) % len(table)][1]) for i, (k, t) in enumerate(table)}
     for r in queries.op5_merkle(spark, sf).collect():
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+        a, b = follow[r.doc_id]
+        edited = a[: len(a) - len(a) // 4] + b[: len(a) // 4]
+        assert (r.n_chars, r.edited_sha256) == (len(a), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_fingerprint(a), plain_fingerprint(edited))
+        for got, other in ((r.near_edited, edited), (r.near_next, b)):
+            x, y = set(paragraphs(a)), set(paragraphs(other))
+            assert got == pytest.approx(2 * len(x & y) / (len(x) + len(y)) if x or y else 1)
     one = merkle.fingerprints(docs.where("doc_id = 9")).first().fingerprint
     other = merkle.fingerprints(spark.createDataFrame([(9, DOCS[-1][1] + "More. ")], "doc_id long, text string")).first().fingerprint
     pair = spark.createDataFrame([(one, other, one)], "a string, b string, c string").select(merkle.edits(merkle.F.col("a"), merkle.F.col("b")).alias("e"), merkle.edits(merkle.F.col("a"), merkle.F.col("c")).alias("n")).first()
@@ -132,6 +155,19 @@ def test_merkle_blocks(spark):
     assert got == {i * i: f"text {(i + 1) % 500}" for i in range(500)}
 
 
+def test_merkle_of_one_key(spark):
+    """A key that most rows have is cut by hashes of texts: each row still has one successor, in one circle."""
+    rows = spark.range(2000).selectExpr("if(id % 4 = 0, id, null) as doc_id", "concat('text ', id) as text")
+    got = {r.text: r.next_text for r in merkle.with_next(rows).collect()}
+    at, seen = "text 0", set()
+    while at not in seen:
+        seen.add(at)
+        at = got[at]
+    assert len(got) == len(seen) == 2000
+    named = [r.doc_id for r in rows.where("doc_id is not null").orderBy("doc_id").collect()]
+    assert all(got[f"text {a}"] == f"text {b}" for a, b in zip(named, named[1:]))
+
+
 def tokenizer():
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
