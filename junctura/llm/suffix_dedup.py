@@ -15,8 +15,10 @@ from .suffix_array import common_prefixes, mixed, powers, prefix_sums, span_hash
 
 #: Length of the strings, and of the grams whose least hash deals a string to its shard.
 LENGTH, GRAM = 200, 32
-#: Bytes that are hashed together, and bytes of a shard's suffix array (more only where the contexts of one anchor have more).
+#: Bytes that are hashed together, and bytes of a shard's suffix array (more only by the contexts of one anchor).
 CHUNK, SHARD = 1 << 20, 1 << 21
+#: An anchor with more different contexts than this isn't one shard: its strings are dealt one by one.
+HOT = 1024
 
 
 def least(h: np.ndarray, width: int) -> np.ndarray:
@@ -175,6 +177,20 @@ def _fetch(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches(rows(), CONTEXTS)
 
 
+STRINGS = pa.schema([("c", pa.int64()), ("cid", pa.int64()), ("s", pa.int64())])
+
+
+def _strings(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash and the start of each string of the wanted contexts of each text."""
+    for batch in found:
+        for cid, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            data = np.frombuffer(data.as_py(), np.uint8)
+            for w in wanted:
+                part = data[w["s"] : w["e"] + LENGTH]
+                at = np.arange(len(part) - LENGTH + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(span_hashes(prefix_sums(part), at, at + LENGTH).view(np.int64)), pa.array(np.full(len(at), cid)), pa.array(at + w["s"])], schema=STRINGS)
+
+
 def repeated(parts: list[bytes]) -> list[np.ndarray]:
     """For each context, which of its starts have a string that also starts elsewhere in the contexts."""
     sizes = np.array([len(p) for p in parts], np.int64)
@@ -228,7 +244,7 @@ def _match(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 KEPT = pa.schema([("cid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def removed_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
+def removed_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row: each byte of the texts' UTF-8 that a string of 200
     bytes covers which also starts anywhere else, in the same text or another, is removed; strings never cross texts.
     With keep_bytes, `kept` has the remaining bytes where some but not all were removed.
@@ -236,12 +252,13 @@ def removed_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     Equal texts of 200 bytes or more are removed whole, and one of each takes part in the rest. Strings are dealt out by
     their anchors, which equal strings share: contexts of an anchor no one else has are done, contexts of equal content
     are covered whole, and where an anchor has contexts of different content, their bytes are fetched and ordered in
-    suffix arrays by shard; neighbours with 200 bytes in common repeat. Contents are compared by 64-bit hashes but for
-    the suffix arrays, which compare bytes.
+    suffix arrays by shard; neighbours with 200 bytes in common repeat. Where an anchor has more than `hot` different
+    contexts, as at the edges of a passage that very many texts have, these don't go to one shard: each of their strings is
+    counted by its hash instead. Contents are compared by 64-bit hashes but for the suffix arrays, which compare bytes.
 
     Null and empty texts have 0 bytes; texts under 200 bytes lose none; null keys and repeated rows count as texts of
-    their own; an empty table gives no rows; other columns are ignored. What a task holds is a batch, or the contexts of
-    one anchor (their distinct contents) if these are more than a shard.
+    their own; an empty table gives no rows; other columns are ignored. A very long text is read in overlapping stretches.
+    What a task holds is a batch, or a shard.
     """
     n = partitions(docs.sparkSession)
     named = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("data")).withColumn("cid", F.xxhash64("data"))
@@ -251,11 +268,18 @@ def removed_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     once = lists.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("h", "c", "s", "e", "own")])
     rows = once.select("cid", F.explode(F.arrays_zip("h", "c", "s", "e", "own")).alias("x")).select("x.h", "x.c", "cid", F.col("x.s").cast("long").alias("s"), F.col("x.e").cast("long").alias("e"), "x.own")
     marked = stage(rows.repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(_mark, "h long, c long, cid long, s long, e long, whole boolean, fetch boolean"), "dedup-marked")
-    wanted = marked.groupBy("cid").agg(F.collect_list(F.when(F.col("fetch"), F.struct("h", "c", "s", "e"))).alias("wanted")).join(classes, "cid")
-    texts = stage(named.join(wanted, "cid").where(F.col("key").eqNullSafe(F.col("least"))).select("cid", "data", "wanted", "copies"), "dedup-texts")
+    many = stage(marked.where("fetch").groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("hot")), "dedup-hot")
+    place = F.struct("h", "c", "s", "e")
+    lots = [F.collect_list(F.when(F.col("fetch") & (F.col("hot").isNotNull() == is_hot), place)).alias(name) for name, is_hot in (("wanted", False), ("counted", True))]
+    wanted = marked.join(many, "h", "left").groupBy("cid").agg(*lots).join(classes, "cid")
+    texts = stage(named.join(wanted, "cid").where(F.col("key").eqNullSafe(F.col("least"))).select("cid", "data", "wanted", "counted", "copies"), "dedup-texts")
     fetched = texts.where("size(wanted) > 0").select("cid", "data", "wanted").mapInArrow(_fetch, "h long, c long, cid long, s long, data binary")
     matched = fetched.repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(_match, "cid long, start long, until long")
     spans = matched.unionByName(marked.where("whole").select("cid", F.col("s").alias("start"), (F.col("e") + LENGTH).alias("until")))
+    if many.limit(1).count():
+        strings = stage(texts.where("size(counted) > 0").select("cid", "data", "counted").mapInArrow(_strings, "c long, cid long, s long").distinct(), "dedup-strings")
+        twice = strings.groupBy("c").count().where("count > 1").select("c")
+        spans = spans.unionByName(strings.join(twice, "c").select("cid", F.col("s").alias("start"), (F.col("s") + LENGTH).alias("until")))
     cover = spans.groupBy("cid").agg(F.collect_list(F.struct("start", "until")).alias("spans"))
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
