@@ -19,8 +19,8 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at once.
 REMEMBERED = 600_000
-#: Rounds times lengths of the relaxations that packing may always take.
-WORK = 200_000
+#: Branches of bin completion, and rounds times lengths of the relaxations that packing may always take.
+NODES, WORK = 6_000, 200_000
 
 PIECES = pa.schema([("key", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
@@ -155,28 +155,86 @@ def bound(counts: np.ndarray, capacity: int) -> int:
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
 
 
-def complete(counts: np.ndarray, capacity: int, turn: int = -1) -> list[Pattern]:
-    """One descent of bin completion: the largest item left gets its best filling, in as many bins as the counts allow.
-    At bin pattern `turn`, the second best filling is taken."""
-    counts, out = counts.copy(), []
-    for largest in range(capacity, 0, -1):
-        while counts[largest]:
-            counts[largest] -= 1
-            options = fillings(counts, capacity - largest)
-            best = next(options)
-            if len(out) == turn:
-                best = next(options, best)
-            counts[largest] += 1
-            whole: dict[int, int] = {largest: 1}
-            for length, times in best:
-                whole[length] = whole.get(length, 0) + times
-            often = int(min(counts[length] // times for length, times in whole.items()))
-            if len(out) == turn:
-                often = 1
-            for length, times in whole.items():
-                counts[length] -= often * times
-            out.append((often, tuple(sorted(whole.items(), reverse=True))))
-    return out
+def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """Best fit of items from the largest down: each goes to the fullest bin that has room, many bins at a time."""
+    bins: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {capacity: []}
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[length])
+        while left:
+            room = min((f for f, held in bins.items() if f >= length and held), default=capacity)
+            n, items = bins[room].pop() if room < capacity else (left, ())
+            times = min(room // length, left)
+            use = min(n, left // times)
+            if n > use and room < capacity:
+                bins[room].append((n - use, items))
+            bins.setdefault(room - times * length, []).append((use, (*items, (length, times))))
+            left -= use * times
+    return [held for rows in bins.values() for held in rows]
+
+
+def complete(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """One descent of bin completion: the largest item left gets its best filling, in as many bins as the counts allow."""
+    return branch(counts, capacity, None, 0, 0)
+
+
+def branch(counts: np.ndarray, capacity: int, best: list[Pattern] | None, least: int, nodes: int) -> list[Pattern]:
+    """Branch-and-bound of bin completion from the incumbent `best`; without one, the first descent alone.
+
+    A node takes the largest item left and tries its undominated fillings, the least waste first, each in as many bins as
+    the counts allow. What is left of the incumbent's waste, less a bin, bounds the waste of a branch: a filling over it ends
+    its node, as those after it waste more, and a branch whose bins and bound of the rest are no better than the incumbent
+    isn't entered. A better packing is the new incumbent. The search ends at `least` bins, when all branches are pruned,
+    or after `nodes` of them.
+    """
+    total = lambda patterns: sum(n for n, _ in patterns)
+    volume, only = int(counts @ np.arange(len(counts))), best is None
+    bins = np.inf if only else total(best)
+    chosen: list[Pattern] = []
+    stack: list = []
+    rest, used, waste = counts.copy(), 0, 0
+
+    def enter():
+        there = np.flatnonzero(rest)
+        largest = int(there[-1])
+        rest[largest] -= 1
+        stack.append((largest, fillings(rest.copy(), capacity - largest), used, waste))
+        rest[largest] += 1
+
+    if not rest.any():
+        return []
+    enter()
+    while stack:
+        largest, options, used, waste = stack[-1]
+        if len(chosen) == len(stack):  # back from a branch
+            often, items = chosen.pop()
+            for length, times in items:
+                rest[length] += often * times
+        found = next(options, None)
+        nodes -= 1
+        if found is None or not only and nodes < 0:
+            stack.pop()
+            continue
+        whole = {largest: 1}
+        for length, times in found:
+            whole[length] = whole.get(length, 0) + times
+        often = min(int(rest[length]) // times for length, times in whole.items())
+        lost = capacity - sum(length * times for length, times in whole.items())
+        if waste + lost > (bins - 1) * capacity - volume:
+            stack.pop()
+            continue
+        for length, times in whole.items():
+            rest[length] -= often * times
+        chosen.append((often, tuple(sorted(whole.items(), reverse=True))))
+        used, waste = used + often, waste + often * lost
+        if not rest.any():
+            if used < bins:
+                best, bins = list(chosen), used
+            if only or bins <= least:
+                return best
+            continue
+        if used + bound(rest, capacity) < bins and waste <= (bins - 1) * capacity - volume:
+            enter()
+    return best
 
 
 def priced(counts: np.ndarray, lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -254,24 +312,20 @@ def by_patterns(counts: np.ndarray, capacity: int, best: list[Pattern], least: i
     return best, least
 
 
-def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, branches: int = 8, work: int = WORK) -> list[Pattern]:
+def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, work: int = WORK) -> list[Pattern]:
     """Patterns (bins, ((length, times in a bin), ...)) that pack the histogram's items into few bins.
 
-    The first descent takes best fillings throughout and is the incumbent. While it has more bins than the lower bound,
-    up to `branches` further descents depart from it at one bin each, from the last backwards; better ones replace it.
-    If it still has more, patterns are priced by linear relaxation (by_patterns), which also raises the lower bound.
-    Relaxations take at most `work` numbers, or as many as there are items, in rounds of a number per length; where these
-    are fewer than three rounds a length, there is none. The input has one entry per length, however many rows there are.
+    Best fit from the largest item down gives the first incumbent, and branch-and-bound over undominated fillings of the bin
+    of the largest item improves it, in at most `nodes` branches. If it still has more bins than the lower bound, patterns
+    are priced by linear relaxation (by_patterns), which also raises the lower bound. Relaxations take at most `work`
+    numbers, or as many as there are items, in rounds of a number per length; where these are fewer than three rounds a
+    length, there is none. The input has one entry per length, however many rows there are.
     """
     counts = np.array([histogram.get(length, 0) for length in range(capacity + 1)], np.int64)
     least, total = bound(counts, capacity), lambda patterns: sum(n for n, _ in patterns)
-    best = complete(counts, capacity)
-    for turn in range(len(best) - 1, max(-1, len(best) - 1 - branches), -1):
-        if total(best) <= least:
-            break
-        other = complete(counts, capacity, turn)
-        if total(other) < total(best):
-            best = other
+    best = best_fit(counts, capacity)
+    if total(best) > least:
+        best = branch(counts, capacity, best, least, nodes)
     lengths = max(1, np.count_nonzero(counts))
     rounds = max(work, int(counts.sum())) // lengths
     if total(best) > least and rounds >= 3 * lengths:
@@ -294,7 +348,7 @@ def places(patterns: list[Pattern]) -> np.ndarray:
     return np.asarray(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, branches: int = 8, rows_per_part: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, rows_per_part: int = 50_000) -> DataFrame:
     """Adds sequence_id and offset to pieces with a `length` of 1 to capacity; all rows are packed.
 
     The driver packs the histogram of lengths (at most `capacity` numbers) by bin completion. Rows get a rank among those
@@ -306,7 +360,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, branches: int = 8, rows_pe
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     parts = max(1, partitions(spark), sum(histogram.values()) // rows_per_part)
-    table = places(bin_completion(histogram, capacity, branches))
+    table = places(bin_completion(histogram, capacity, nodes))
     tied = pieces.withColumn("_part", F.pmod(F.xxhash64(*[c for c in pieces.columns if c in ("doc_id", "piece", "ids_crc32", "tie")]), F.lit(parts)))
     counts = tied.groupBy("length", "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).drop("_n")
     order = Window.partitionBy("length", "_part").orderBy(*[c for c in pieces.columns if c in ("doc_id", "piece", "ids_crc32", "tie")])

@@ -209,6 +209,24 @@ def test_word_ids_equal_whole_texts():
         assert np.frombuffer(w.encode(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_branch_and_bound_finds_the_least():
+    rng = np.random.default_rng(15)
+    better = 0
+    for _ in range(150):
+        sizes = rng.integers(4, 21, 9).tolist()
+        counts = np.bincount(sizes, minlength=31)
+        fits = [m for m in range(1, 1 << 9) if sum(x for i, x in enumerate(sizes) if m >> i & 1) <= 30]
+        least = [0] + [99] * 511
+        for m in range(1, 512):
+            least[m] = 1 + min(least[m & ~f] for f in fits if f & m == f and f & (m & -m))
+        first = packing.best_fit(counts, 30)
+        assert sum(n * np.bincount([x for x, t in items for _ in range(t)], minlength=31) for n, items in first).tolist() == counts.tolist()
+        found = packing.branch(counts, 30, first, 0, 10_000)
+        assert sum(n for n, _ in found) == least[511] <= sum(n for n, _ in first)
+        better += sum(n for n, _ in found) < sum(n for n, _ in first)
+    assert better
+
+
 def test_bin_completion():
     rng = np.random.default_rng(5)
     for _ in range(30):
