@@ -191,6 +191,26 @@ def _strings(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(span_hashes(prefix_sums(part), at, at + LENGTH).view(np.int64)), pa.array(np.full(len(at), cid)), pa.array(at + w["s"])], schema=STRINGS)
 
 
+def _twice(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the strings whose hash the row before or after has too, from rows in order of hash: one row is held."""
+    give = lambda cid, s: pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(s, pa.int64()), pa.array(np.asarray(s) + LENGTH, pa.int64())], schema=SPANS)
+    held = None  # the last row, and whether the row before has its hash
+    for batch in found:
+        if not batch.num_rows:
+            continue
+        c, cid, s = (batch.column(i).to_numpy() for i in range(3))
+        if held is not None:
+            c, cid, s = (np.concatenate([[a], b]) for a, b in zip(held, (c, cid, s)))
+        same = c[1:] == c[:-1]
+        use = np.concatenate([[held is not None and held[3]], same])
+        use[:-1] |= same
+        held = (c[-1], cid[-1], s[-1], bool(use[-1]))
+        if use[:-1].any():
+            yield give(cid[:-1][use[:-1]], s[:-1][use[:-1]])
+    if held is not None and held[3]:
+        yield give([held[1]], [held[2]])
+
+
 def repeated(parts: list[bytes]) -> list[np.ndarray]:
     """For each context, which of its starts have a string that also starts elsewhere in the contexts."""
     sizes = np.array([len(p) for p in parts], np.int64)
@@ -277,9 +297,8 @@ def removed_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     matched = fetched.repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(_match, "cid long, start long, until long")
     spans = matched.unionByName(marked.where("whole").select("cid", F.col("s").alias("start"), (F.col("e") + LENGTH).alias("until")))
     if many.limit(1).count():
-        strings = stage(texts.where("size(counted) > 0").select("cid", "data", "counted").mapInArrow(_strings, "c long, cid long, s long").distinct(), "dedup-strings")
-        twice = strings.groupBy("c").count().where("count > 1").select("c")
-        spans = spans.unionByName(strings.join(twice, "c").select("cid", F.col("s").alias("start"), (F.col("s") + LENGTH).alias("until")))
+        strings = texts.where("size(counted) > 0").select("cid", "data", "counted").mapInArrow(_strings, "c long, cid long, s long").distinct()
+        spans = spans.unionByName(strings.repartition(n, "c").sortWithinPartitions("c").mapInArrow(_twice, "cid long, start long, until long"))
     cover = spans.groupBy("cid").agg(F.collect_list(F.struct("start", "until")).alias("spans"))
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
