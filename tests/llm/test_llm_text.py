@@ -251,7 +251,6 @@ def test_removed(spark, sf):
     rows += [(40, "ab" * 400), (41, "a" * 900), (42, "a" * 150), (43, None), (44, ""), (45, shared + text(50) + shared), (46, rows[0][1]), (46, rows[0][1]), (None, text(50)), (47, "é" * 99), (48, "é" * 99)]
     cut = lambda got: sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect())
     assert cut(suffix_dedup.removed_repeats(documents(spark, rows))) == brute_removed(rows)
-    assert cut(suffix_dedup.removed_repeats(documents(spark, rows), hot=2)) == brute_removed(rows)
     table = [(r.doc_id, r.text) for r in common.table(spark, sf, "documents").collect()]
     assert cut(queries.op8_suffix_dedup(spark, sf)) == brute_removed(table)
     assert suffix_dedup.removed_repeats(documents(spark, rows).where("false")).count() == 0
@@ -263,7 +262,7 @@ def test_removed_from_very_long_texts(spark):
     long = "".join(rng.choice(list("abcdefghijkl "), 1_200_000))
     passage = "".join(rng.choice(list("abcdefghijkl "), 600))
     rows = [(1, long), (2, long[1_048_000:1_049_500] + " end"), (3, long[:250] + passage)] + [(i, f"{i} " * 40 + passage + f" {i * i}" * 40) for i in range(10, 40)]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.removed_repeats(documents(spark, rows), hot=4).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.removed_repeats(documents(spark, rows)).collect()}
     assert got[1] == (1_200_000, 1750, 2) and got[2][1] == 1500 and got[3][1] == 850
     expect = {int(k): (n, gone, runs) for k, n, gone, runs, _ in brute_removed(rows[3:] + [(3, rows[2][1])])}
     assert all(got[i] == expect[i] for i in range(10, 40))
