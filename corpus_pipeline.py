@@ -11,12 +11,11 @@ from junctura.llm.common import stage, table
 
 
 def _named(docs: DataFrame, *more: str) -> DataFrame:
-    """For each row its id, or a hash of its text where it has none, and a key: the id, or where several rows have it a
-    hash of it, the text and columns more."""
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
-    repeated = named.groupBy("_id").agg(F.count("*").alias("_rows")).where("_rows > 1")
-    key = F.when(F.col("_rows").isNull(), F.col("_id")).otherwise(F.xxhash64("_id", F.coalesce("text", F.lit("")), *more))
-    return named.join(repeated, "_id", "left").withColumn("_key", key).drop("_rows")
+    """For each row its id, or a hash of its text where it has none, and a key: a hash of the id, the text and columns more,
+    so that rows of one id and unlike texts are told apart without a join. `_sum` is a second hash for where keys coincide."""
+    text = F.coalesce("text", F.lit(""))
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)))
+    return named.withColumn("_key", F.xxhash64("_id", text, *more)).withColumn("_sum", F.xxhash64(text, "_id", *more))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.similar_documents(named.select("_key", "text"), key="_key")
     least = groups.join(named.select("_key", "_id").distinct(), "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key")).alias("least"))
     kept = least.select("least._key")
-    first = Window.partitionBy("_key").orderBy(*docs.columns)
+    first = Window.partitionBy("_key", "_id", "_sum").orderBy(*docs.columns)
     return named.join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
 
 
@@ -41,13 +40,14 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, a part counting as a whole; so at most three times, or not at all."""
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_id"))
     named = _named(docs, "source")
     taken = mixing.mix(named.select("_key", "text", "source"), key="_key")["taken"].where("taken > 0")
-    often = taken.select("_key", F.expr("cast((taken + size - 1) div size as int)").alias("_often"))
-    often = often.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_often")))
-    rows = named.withColumn("_nth", nth).join(often, ["_key", "_nth"])
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), "_often"))).select(*docs.columns)
+    often = taken.groupBy("_key").agg(F.sum(F.expr("(taken + size - 1) div size")).alias("_often"), F.max(F.expr("(taken + size - 1) div size")).alias("_most"))
+    # Rows of one key are equal: they take the key's times in turn, each at most as many as one row took.
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_id", "_sum"))
+    rows = named.join(often, "_key").withColumn("_nth", nth)
+    times = F.least("_most", F.col("_often") - (F.col("_nth") - 1) * F.col("_most"))
+    return rows.withColumn("_times", times).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
