@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,13 @@ from .suffix_array import common_prefixes, mixed, powers, prefix_sums, span_hash
 
 #: Length of the strings, and of the grams whose least hash deals a string to its shard.
 LENGTH, GRAM = 200, 32
-#: Bytes that are hashed together, and bytes of a shard's suffix array (more only where the contexts of one anchor have more).
+#: Bytes that are hashed together, and bytes of a shard's suffix array (at most twice as many are held).
 CHUNK, SHARD = 1 << 20, 1 << 21
+#: How many neighbouring places of the anchor in a string share a key, round by round, where an anchor's contexts exceed a
+#: shard. In the last round a key is a whole string, so that what shares it is equal.
+WIDTHS = (64, 16, 4, 1)
+#: Tasks that the parts of one content are dealt to.
+SALTS = 16
 
 
 def least(h: np.ndarray, width: int) -> np.ndarray:
@@ -196,9 +202,9 @@ def repeated(parts: list[bytes]) -> list[np.ndarray]:
     return [twice[b : e - LENGTH + 1] for b, e in zip(begins.tolist(), ends.tolist())]
 
 
-def _match(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def matched(shard: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Spans that strings found elsewhere cover, from contexts in order of anchor: whole anchors are put together until
-    their bytes make a shard, and each shard gets its suffix array."""
+    their bytes make a shard, and each shard gets its suffix array. Anchors with one content are passed over."""
 
     def solve(held: list[tuple]):
         for (_, _, cid, s, _), hit in zip(held, repeated([r[4] for r in held])):
@@ -206,29 +212,84 @@ def _match(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()):
                 yield 24, (cid, s + a, s + b - 1 + LENGTH)
 
-    def rows():
+    def rows(found: Iterator[pa.RecordBatch]):
         held: list[tuple] = []
-        weight, key = 0, None
+        opened, weight = 0, 0  # where the last anchor begins, and the bytes of those before it
         for batch in found:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if row[0] != key and weight >= SHARD:
-                    yield from solve(held)
-                    held, weight = [], 0
-                if held and held[-1][:2] == row[:2]:
+                if held and row[0] != held[-1][0]:
+                    if len(held) == opened + 1:
+                        held.pop()
+                    weight += sum(len(r[4]) for r in held[opened:])
+                    if weight >= shard:
+                        yield from solve(held)
+                        held, weight = [], 0
+                    opened = len(held)
+                if len(held) > opened and held[-1][:2] == row[:2]:
                     continue  # a repeated row of the same document
-                key = row[0]
                 held.append(row)
-                weight += len(row[4])
+        if len(held) == opened + 1:
+            held.pop()
         if held:
             yield from solve(held)
 
-    yield from batches(rows(), SPANS)
+    return lambda found: batches(rows(found), SPANS)
+
+
+PARTS = pa.schema([*CONTEXTS, ("at", pa.int64())])
+
+
+def narrowed(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Contexts cut by where in their strings the anchor lies, `width` neighbouring places in one part. All strings of a
+    part have the bytes around the anchor that its first and last place share: their hash is the part's key. `at` is the
+    place of the anchor in the context, null where it is yet to be found."""
+
+    def rows(found: Iterator[pa.RecordBatch]):
+        for batch in found:
+            for h, _, cid, s, data, at in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if at is None:
+                    sums = prefix_sums(np.frombuffer(data, np.uint8))
+                    grams = mixed((sums[GRAM:] - sums[:-GRAM]) * powers(len(sums))[1][: len(data) - GRAM + 1])
+                    at = int(np.argmax(grams.view(np.int64) == h))
+                low, high = at - (len(data) - LENGTH), at
+                for k in range(low // width, high // width + 1):
+                    first, last = k * width, min((k + 1) * width - 1, LENGTH - GRAM)
+                    a, b = max(first, low), min(last, high)
+                    part, shared = data[at - b : at - a + LENGTH], data[at - first : at - last + LENGTH]
+                    key = hashlib.blake2b(b"%d:%d:%d:" % (h, width, k) + shared, digest_size=8).digest()
+                    content = hashlib.blake2b(part, digest_size=8).digest()
+                    yield len(part) + 48, (int.from_bytes(key, "big", signed=True), int.from_bytes(content, "big", signed=True), cid, s + at - b, part, b)
+
+    return lambda found: batches(rows(found), PARTS)
+
+
+def thinned(fetched: DataFrame, heavy: DataFrame, shard: int) -> tuple[DataFrame, list[DataFrame]]:
+    """fetched with the anchors of `heavy`, whose contexts exceed a shard, dealt anew: parts that keep no key to themselves
+    meet in smaller groups, round by round, and those of equal content are whole. Contexts, and spans of whole parts.
+
+    A context has at most four parts a round, of which those stay whose strings have the neighbours of many others."""
+    light, spans = fetched.join(heavy, "h", "left_anti"), []
+    held = fetched.join(heavy, "h", "left_semi").withColumn("at", F.lit(None).cast("long"))
+    for width in WIDTHS:
+        parts = stage(held.mapInArrow(narrowed(width), "h long, c long, cid long, s long, data binary, at long"), "dedup-parts")
+        contents = parts.groupBy("h", "c").agg(F.count("*").alias("n"), F.first(F.struct("cid", "s", "data", "at")).alias("x"))
+        contents = stage(contents.select("h", "c", "x.cid", "x.s", "x.data", "x.at", "n"), "dedup-contents")
+        salted = contents.where("n > 1").select("h", "c", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        whole = parts.withColumn("salt", F.pmod(F.xxhash64("cid", "s"), F.lit(SALTS)).cast("int")).join(salted, ["h", "c", "salt"], "left_semi")
+        spans.append(whole.select("cid", F.col("s").alias("start"), (F.col("s") + F.length("data")).alias("until")))
+        contents = contents.drop("n")
+        heavy = stage(contents.groupBy("h").agg(F.sum(F.length("data")).alias("size"), F.count("*").alias("n")).where(f"size > {shard} and n > 1").select("h"), "dedup-heavy")
+        light = light.unionByName(contents.join(heavy, "h", "left_anti").drop("at"))
+        if heavy.isEmpty():
+            break
+        held = contents.join(heavy, "h", "left_semi")
+    return light, spans
 
 
 KEPT = pa.schema([("cid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def removed_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:
+def removed_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_bytes: bool = False, shard: int = SHARD) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row: each byte of the texts' UTF-8 that a string of 200
     bytes covers which also starts anywhere else, in the same text or another, is removed; strings never cross texts.
     With keep_bytes, `kept` has the remaining bytes where some but not all were removed.
@@ -236,12 +297,12 @@ def removed_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     Equal texts of 200 bytes or more are removed whole, and one of each takes part in the rest. Strings are dealt out by
     their anchors, which equal strings share: contexts of an anchor no one else has are done, contexts of equal content
     are covered whole, and where an anchor has contexts of different content, their bytes are fetched and ordered in
-    suffix arrays by shard; neighbours with 200 bytes in common repeat. Contents are compared by 64-bit hashes but for
-    the suffix arrays, which compare bytes.
+    suffix arrays by shard; neighbours with 200 bytes in common repeat. An anchor whose contexts exceed a shard is dealt
+    anew by the bytes around it (thinned()). Contents are compared by 64-bit hashes but for the suffix arrays, which
+    compare bytes.
 
     Null and empty texts have 0 bytes; texts under 200 bytes lose none; null keys and repeated rows count as texts of
-    their own; an empty table gives no rows; other columns are ignored. What a task holds is a batch, or the contexts of
-    one anchor (their distinct contents) if these are more than a shard.
+    their own; an empty table gives no rows; other columns are ignored. What a task holds is a batch, or two shards.
     """
     n = partitions(docs.sparkSession)
     named = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("data")).withColumn("cid", F.xxhash64("data"))
@@ -254,8 +315,14 @@ def removed_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     wanted = marked.groupBy("cid").agg(F.collect_list(F.when(F.col("fetch"), F.struct("h", "c", "s", "e"))).alias("wanted")).join(classes, "cid")
     texts = stage(named.join(wanted, "cid").where(F.col("key").eqNullSafe(F.col("least"))).select("cid", "data", "wanted", "copies"), "dedup-texts")
     fetched = texts.where("size(wanted) > 0").select("cid", "data", "wanted").mapInArrow(_fetch, "h long, c long, cid long, s long, data binary")
-    matched = fetched.repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(_match, "cid long, start long, until long")
-    spans = matched.unionByName(marked.where("whole").select("cid", F.col("s").alias("start"), (F.col("e") + LENGTH).alias("until")))
+    sizes = marked.where("fetch").groupBy("h").agg(F.sum(F.col("e") - F.col("s") + LENGTH).alias("size"))
+    heavy = stage(sizes.where(f"size > {shard}").select("h"), "dedup-heavy")
+    spans = [marked.where("whole").select("cid", F.col("s").alias("start"), (F.col("e") + LENGTH).alias("until"))]
+    if not heavy.isEmpty():
+        fetched, more = thinned(fetched, heavy, shard)
+        spans += more
+    spans.append(fetched.repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(matched(shard), "cid long, start long, until long"))
+    spans = reduce(DataFrame.unionByName, spans)
     cover = spans.groupBy("cid").agg(F.collect_list(F.struct("start", "until")).alias("spans"))
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

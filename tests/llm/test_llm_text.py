@@ -268,6 +268,19 @@ def test_removed_from_very_long_texts(spark):
     assert all(got[i] == expect[i] for i in range(10, 40))
 
 
+@pytest.mark.parametrize("shard", [300, 2_000, 20_000])
+def test_removed_where_anchors_exceed_a_shard(spark, shard):
+    """A passage that many texts have among words of their own, some of which are shared by a few, and one text twice."""
+    rng = np.random.default_rng(10)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage, few = text(260), text(40)
+    rows = [(i, text(int(rng.integers(30, 250))) + (few if i % 7 == 0 else "") + passage[: 260 - i % 3 * 20] + (few[: i % 30] if i % 5 == 0 else "") + text(int(rng.integers(0, 250)))) for i in range(150)]
+    rows += [(200, passage + text(60) + passage), (201, "ab" * 300), (202, "ab" * 200 + text(20)), (203, rows[0][1]), (203, rows[0][1]), (None, None), (204, "")]
+    rows += [(i, text(60) + rows[i][1][100:]) for i in range(20, 40)]
+    cut = lambda got: sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect())
+    assert cut(suffix_dedup.removed_repeats(documents(spark, rows), shard=shard)) == brute_removed(rows)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(4)
     for _ in range(200):
