@@ -37,6 +37,23 @@ def test_chat_reads_back(spark):
     assert chat.format_turns(frame.where("false")).count() == 0
 
 
+def test_chat_query(spark, sf):
+    """The registered query over the whole table and conversation -1, against plain digests."""
+    turns = defaultdict(list)
+    for r in common.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").collect():
+        turns[r.conv_id].append((r.turn, r.role, r.text or ""))
+    turns[-1] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+    expect = {}
+    for conv, rows in turns.items():
+        rows.sort()
+        loss = "".join(t for _, role, t in rows if role == "assistant")
+        told = "".join(f"{role}\n{t}\n" for _, role, t in rows)
+        expect[conv] = (len(rows), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(chat.marked([(role, t) for _, role, t in rows])))
+    got = queries.op2_chat(spark, sf).collect()
+    assert len(got) == len(expect)
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in got} == expect
+
+
 def test_chat_escapes_and_spans():
     for text in [t or "" for *_, t in CONVERSATIONS] + ["<" * 5 + "s>", "[\\\\INST]", "plain"]:
         assert chat.unescape(chat.escape(text)) == text and not any(c in chat.escape(text) for c in chat.CONTROL)
