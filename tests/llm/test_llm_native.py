@@ -265,6 +265,34 @@ def test_media(docs, empty, spark, sf):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def plain_coefficients(payload):
+    """The 64 lowest cosine coefficients, from means of pixels taken cell by cell."""
+    grey = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3).sum(axis=2).astype(float)
+    n = len(grey)
+    edges = [i * n // 32 for i in range(33)]
+    cells = np.array([[grey[a : max(b, a + 1), 2 * x : 2 * x + 2].mean() for x in range(32)] for a, b in zip(edges, edges[1:])])
+    wave = np.array([[np.cos(np.pi * (2 * i + 1) * k / 64) for i in range(32)] for k in range(8)])
+    low = np.einsum("ki,ij,lj->kl", wave, cells, wave)
+    low[0, 0] = 0
+    return low.ravel()
+
+
+def test_media_features_of_the_table(spark, sf):
+    """Features against plain sums, but for coefficients that rounding could put on either side of the median."""
+    text = {r.doc_id: (r.text or "").encode() for r in common.table(spark, sf, "documents").collect()}
+    told = 0
+    for r in queries.op10_media(spark, sf).collect():
+        payload = text[r.doc_id] + b" " * (-len(text[r.doc_id]) % 192 if text[r.doc_id] else 192)
+        stored = media.encode(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        low = plain_coefficients(payload)
+        apart = np.abs(low - np.median(low)) > 0.05
+        bits = np.unpackbits(np.frombuffer(bytes.fromhex(r.feature), np.uint8)).astype(bool)
+        assert (bits == (low > np.median(low)))[apart].all()
+        told += int(apart.sum())
+    assert told > 50 * len(text)  # images of one row have 56 zeros, which tell nothing
+
+
 def test_png_details():
     rng = np.random.default_rng(2)
     image = rng.integers(0, 256, (9, 12), np.uint8)
