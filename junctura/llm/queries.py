@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_turns, read_back
+from .codebooks import coded_vectors
 from .common import table
+from .hard_negatives import hard_negatives
 from .media import media_columns
 from .merkle import edited_fingerprints
 from .mixing import mix
+from .near_vectors import linked_vectors
 from .ngram_join import similar_documents
 from .packing import pack_documents
 from .pii import personal_spans
@@ -69,6 +72,19 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", noisy))
+
+
+def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat": op2_chat,
@@ -80,6 +96,43 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
+    "op11_near_vectors": op11_near_vectors,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_codebooks": op13_codebooks,
 }
 
-SQL: dict[str, str] = {}
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+#: All pairs of a label: for small tables only.
+_NEAR_SQL = f"""WITH RECURSIVE fit AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a), least AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(l.b, vec_id)) AS component_id, vec_id <= coalesce(l.b, vec_id) AS kept
+FROM embeddings LEFT JOIN counts c ON c.a = vec_id LEFT JOIN least l ON l.a = vec_id"""
+
+_NEGATIVES_SQL = f"""WITH fit AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM fit a JOIN fit b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INT) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 10"""
+
+
+def _codebooks_sql(rounds: int = 6) -> str:
+    """A table of assignments and one of entries for each round."""
+    steps = [f"""fit AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_FINITE}),
+pieces AS (SELECT vec_id, label, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM fit, range(8) t(p)),
+books0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM pieces QUALIFY e < 16)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS (SELECT vec_id, label, a.p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM pieces a JOIN books{i} b ON a.p = b.p QUALIFY row_number() OVER (PARTITION BY vec_id, a.p ORDER BY d, e) = 1)""")
+        if i < rounds:
+            steps.append(f"""means{i} AS (SELECT p, e, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY j) AS c FROM (SELECT p, e, j, sum(x[j]) AS s, count(*) AS n FROM near{i}, unnest(range(1, len(x) + 1)) u(j) GROUP BY p, e, j) GROUP BY p, e),
+books{i + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM books{i} b LEFT JOIN means{i} m ON m.p = b.p AND m.e = b.e)""")
+    return "WITH " + ",\n".join(steps) + f""",
+codes AS (SELECT vec_id, any_value(label) AS label, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM books{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM codes, digest"""
+
+
+SQL: dict[str, str] = {"op11_near_vectors": _NEAR_SQL, "op12_hard_negatives": _NEGATIVES_SQL, "op13_codebooks": _codebooks_sql()}
