@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import adjusted, staged
 
 METRICS = ("CoxSnell", "Nagelkerke")
 LOW = 1e-8
+#: An R2 this near to zero is zero: it is what rounding leaves of it.
+TIE = 1e-12
+STEPS, CLOSE = 100, 1e-6
+#: Draws that are fitted at a time, and rows of a null table have at most so many.
+BLOCK = 32
+#: Cells above which an event is fitted by sums over tasks, and how many fits of such events move together.
+SPLIT, LOT = 100_000, 8448
 
 
 def _chance(eta: np.ndarray) -> np.ndarray:
@@ -22,11 +30,52 @@ def _chance(eta: np.ndarray) -> np.ndarray:
     return np.clip(np.where(eta >= 0, 1 / (1 + e), e / (1 + e)), LOW, 1 - LOW)
 
 
+def _weighted(y: np.ndarray, n: np.ndarray, z: np.ndarray, eta: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What the five sums of a Newton step add up."""
+    p = _chance(eta)
+    w = n * p * (1 - p)
+    work = eta + (y - n * p) / (w + LOW)
+    return w, w * z, w * z * z, w * work, w * z * work
+
+
+def _deviance_terms(y: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    term = lambda a, b: np.where(a > 0, a * np.log(np.where(a > 0, a, 1) / b), 0.0)
+    return 2 * (term(y, n * p) + term(n - y, n * (1 - p)))
+
+
+def _signed_root(full, null, sizes, slope, failed, metric: str) -> np.ndarray:
+    """The root of pseudo-R2 with the slope's sign; NaN for fits that failed and where R2 is below zero."""
+    r2 = 1 - np.exp((full - null) / sizes)
+    if metric == "Nagelkerke":
+        most = 1 - np.exp(-null / sizes)
+        r2 = np.where(most == 0, np.nan, r2 / most)
+    r2 = np.where(np.abs(r2) < TIE, 0.0, r2)
+    return np.where(failed | ~(r2 >= 0), np.nan, np.sqrt(np.abs(r2)) * np.where(slope >= 0, 1.0, -1.0))
+
+
+class _Newton:
+    """Coefficients of many fits at once, moved by their sums until they stand still."""
+
+    def __init__(self, valid: np.ndarray):
+        self.b0, self.b1 = np.zeros(valid.shape), np.zeros(valid.shape)
+        self.going, self.failed = valid.copy(), ~valid
+
+    def move(self, s0, s1, s2, t0, t1) -> None:
+        det = s0 * s2 - s1 * s1
+        c0, c1 = (s2 * t0 - s1 * t1) / det, (s0 * t1 - s1 * t0) / det
+        bad = self.going & (~np.isfinite(det) | (det == 0) | ~np.isfinite(c0) | ~np.isfinite(c1))
+        self.failed |= bad
+        self.going &= ~bad
+        step = np.maximum(np.abs(c0 - self.b0), np.abs(c1 - self.b1))
+        self.b0, self.b1 = np.where(self.going, c0, self.b0), np.where(self.going, c1, self.b1)
+        self.going &= step >= CLOSE
+
+
 def fit_events(starts: np.ndarray, y: np.ndarray, n: np.ndarray, z: np.ndarray, metric: str) -> np.ndarray:
     """Signed root of pseudo-R2 of a binomial regression of y out of n on z, for many events at once.
 
     Events are stretches that begin at `starts` of the vectors y and n and of the last axis of z (draws by cells). All
-    events and draws take Newton steps together, at most 100; one that has converged keeps its last step. NaN where there
+    events and draws take Newton steps together, at most STEPS; one that has converged keeps its last step. NaN where there
     are fewer than two cells, one of the counts has no sum, the equations are singular, or R2 is negative.
     """
     sizes = np.diff(np.append(starts, len(y)))
@@ -34,101 +83,223 @@ def fit_events(starts: np.ndarray, y: np.ndarray, n: np.ndarray, z: np.ndarray,
     spread = lambda v: np.repeat(v, sizes, axis=-1)
     sum_y, sum_n = total(y), total(n)
     valid = (sizes >= 2) & (sum_y > 0) & (sum_n - sum_y > 0)
-    draws, events = z.shape[0], len(starts)
-    b0, b1 = np.zeros((draws, events)), np.zeros((draws, events))
-    going = np.broadcast_to(valid, (draws, events)).copy()
-    failed = ~going
     with np.errstate(all="ignore"):
-        for _ in range(100):
-            if not going.any():
+        fit = _Newton(np.broadcast_to(valid, (z.shape[0], len(starts))))
+        for _ in range(STEPS):
+            if not fit.going.any():
                 break
-            eta = spread(b0) + spread(b1) * z
-            p = _chance(eta)
-            w = n * p * (1 - p)
-            work = eta + (y - n * p) / (w + LOW)
-            s0, s1, s2, t0, t1 = total(w), total(w * z), total(w * z * z), total(w * work), total(w * z * work)
-            det = s0 * s2 - s1 * s1
-            c0, c1 = (s2 * t0 - s1 * t1) / det, (s0 * t1 - s1 * t0) / det
-            bad = going & (~np.isfinite(det) | (det == 0) | ~np.isfinite(c0) | ~np.isfinite(c1))
-            failed |= bad
-            going &= ~bad
-            step = np.maximum(np.abs(c0 - b0), np.abs(c1 - b1))
-            b0, b1 = np.where(going, c0, b0), np.where(going, c1, b1)
-            going &= step >= 1e-6
-        term = lambda a, b: np.where(a > 0, a * np.log(np.where(a > 0, a, 1) / b), 0.0)
-        p = _chance(spread(b0) + spread(b1) * z)
-        full = 2 * total(term(y, n * p) + term(n - y, n * (1 - p)))
-        q = spread(np.clip(sum_y / sum_n, LOW, 1 - LOW))
-        null = 2 * total(term(y, n * q) + term(n - y, n * (1 - q)))
-        r2 = 1 - np.exp((full - null) / sizes)
-        if metric == "Nagelkerke":
-            most = 1 - np.exp(-null / sizes)
-            r2 = np.where(most == 0, np.nan, r2 / most)
-        out = np.where(failed | ~(r2 >= 0), np.nan, np.sqrt(np.abs(r2)) * np.where(b1 >= 0, 1.0, -1.0))
-    return out
+            fit.move(*map(total, _weighted(y, n, z, spread(fit.b0) + spread(fit.b1) * z)))
+        full = total(_deviance_terms(y, n, _chance(spread(fit.b0) + spread(fit.b1) * z)))
+        null = total(_deviance_terms(y, n, spread(np.clip(sum_y / sum_n, LOW, 1 - LOW))))
+        return _signed_root(full, null, sizes, fit.b1, fit.failed, metric)
 
 
 def permutations(n_cells: int, n: int, seed: int | None) -> np.ndarray:
     """One permutation of the cells per draw, shared by all events."""
+    return np.concatenate([np.empty((0, n_cells), np.int32), *(orders for _, orders in order_blocks(n_cells, n, seed))])
+
+
+def order_blocks(n_cells: int, draws: int | np.ndarray, seed: int | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(first draw from 1, permutations of the cells) in blocks of at most BLOCK draws, of which one is held at a time. A seed
+    gives the same draws, however they are cut."""
     rng = np.random.default_rng(seed)
-    return np.array([rng.permutation(n_cells) for _ in range(n)], np.int32).reshape(n, n_cells)
+    for at in range(0, draws if isinstance(draws, int) else len(draws), BLOCK):
+        if isinstance(draws, int):
+            yield at + 1, np.array([rng.permutation(n_cells) for _ in range(min(BLOCK, draws - at))], np.int32).reshape(-1, n_cells)
+        else:
+            yield at + 1, draws[at : at + BLOCK]
 
 
-def event_correlations(pairs: DataFrame, z: DataFrame, metric: str = "CoxSnell", draws: np.ndarray | tuple[int, int, int] | None = None, chunk: int = 2_000_000) -> DataFrame:
-    """(event_idx, observed, null array<double>) for events with cells in pairs (event_idx, cell_idx, m1, m2).
+BLOCKS = "event_idx long, first int, observed double, n_valid int, mean double, m2 double, exceed long, null array<double>"
+_KINDS = [pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+_NAMES = ["event_idx", "first", "observed", "n_valid", "mean", "m2", "exceed", "null"]
 
-    z: (event_idx, z array<double>), the predictor of the event in every cell. Cells of an event are gathered in arrays (at
-    most one entry per cell) and joined with its predictor; events are fitted together in numpy, as many at a time as
-    `chunk` numbers hold. An absent event of z is left out. Permutations of the cells are given as an array, or as the
-    numbers of cells and of permutations and a seed, from which each task makes them.
-    """
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
-    cells = pairs.where("m1 + m2 > 0").groupBy("event_idx").agg(F.array_sort(F.collect_list(F.struct("cell_idx", "m1", "m2"))).alias("cells"))
-    rows = cells.join(z.select("event_idx", "z"), "event_idx").select("event_idx", F.col("cells.cell_idx").alias("c"), F.col("cells.m1").alias("a"), F.col("cells.m2").alias("b"), "z")
 
-    def fit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = permutations(*draws) if isinstance(draws, tuple) else draws
-        orders = None if orders is None or not len(orders) else orders
-        n_draws = 1 + (0 if orders is None else len(orders))
+def _told(events: list[int], observed: np.ndarray, first: int, draws: np.ndarray, keep: bool) -> pa.RecordBatch:
+    """A row per event for a block of draws (draws by events): how many are valid, their mean, squares about it, and how many
+    reach the observed value."""
+    known = ~np.isnan(draws)
+    n = known.sum(0)
+    with np.errstate(all="ignore"):
+        mean = np.where(n > 0, np.nansum(draws, 0) / np.maximum(n, 1), 0.0)
+        m2 = np.nansum((draws - mean) ** 2, 0)
+        exceed = (np.abs(draws) >= np.abs(observed)).sum(0)
+    clean = lambda v: [None if np.isnan(x) else float(x) for x in v]
+    null = [clean(draws[:, i]) for i in range(len(events))] if keep else [None] * len(events)
+    columns = [events, [first] * len(events), clean(observed), n, mean, m2, exceed, null]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=_NAMES)
+
+
+def _gathered(cells: DataFrame, z: DataFrame, metric: str, n_cells: int, draws: int | np.ndarray, seed: int, chunk: int, keep: bool) -> DataFrame:
+    """Blocks of events whose cells fit into a row: an event's cells are gathered and joined with its predictor, and events
+    are fitted together in numpy, as many at a time as `chunk` numbers hold, a block of draws after the other."""
+    own = cells.groupBy("event_idx").agg(F.array_sort(F.collect_list(F.struct("cell_idx", "m1", "m2"))).alias("cells"))
+    if "cell_idx" in z.columns:
+        z = z.groupBy("event_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_idx", "z"))), lambda x: x.z).alias("z"))
+    rows = own.join(z.select("event_idx", "z"), "event_idx").select("event_idx", F.col("cells.cell_idx").alias("c"), F.col("cells.m1").alias("a"), F.col("cells.m2").alias("b"), "z")
+    n_draws = draws if isinstance(draws, int) else len(draws)
+    width = 1 + min(n_draws, BLOCK)
 
-        def solve(held: list) -> pa.RecordBatch:
+    def fit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(held: list) -> Iterator[pa.RecordBatch]:
             starts = np.concatenate([[0], np.cumsum([len(h[1]) for h in held])[:-1]])
             a, b = (np.concatenate([h[i] for h in held]) for i in (2, 3))
-            zs = np.concatenate([np.vstack([h[4][h[1]][None], h[4][orders[:, h[1]]]]) if orders is not None else h[4][h[1]][None] for h in held], axis=1)
-            got = fit_events(starts, a, a + b, zs, metric)
-            clean = [[None if np.isnan(v) else float(v) for v in got[:, i]] for i in range(len(held))]
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([c[0] for c in clean], pa.float64()), pa.array([c[1:] for c in clean], pa.list_(pa.float64()))], names=["event_idx", "observed", "null"])
+            ids = [h[0] for h in held]
+            observed = fit_events(starts, a, a + b, np.concatenate([h[4][h[1]] for h in held])[None], metric)[0]
+            if not n_draws:
+                yield _told(ids, observed, 1, np.empty((0, len(held))), keep)
+            for first, orders in order_blocks(n_cells, draws, seed):
+                null = fit_events(starts, a, a + b, np.concatenate([h[4][orders[:, h[1]]] for h in held], axis=1), metric)
+                yield _told(ids, observed, first, null, keep)
 
         held, weight = [], 0
         for batch in found:
             for e, *lists in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 5))):
                 c, a, b, zrow = (np.asarray(x.values) for x in lists)
                 held.append((e, c.astype(np.int64), a.astype(float), b.astype(float), zrow.astype(float)))
-                weight += len(c) * n_draws
+                weight += len(c) * width
                 if weight >= chunk:
-                    yield solve(held)
+                    yield from solve(held)
                     held, weight = [], 0
         if held:
-            yield solve(held)
+            yield from solve(held)
 
-    return rows.mapInArrow(fit, "event_idx long, observed double, null array<double>")
+    return rows.mapInArrow(fit, BLOCKS)
 
 
-def null_summary(draws: DataFrame) -> DataFrame:
-    """Adds n_valid, null_mean, null_sd (of the sample), p_value (two-sided, with one added) to rows (event_idx, observed,
-    null array<double>). Null draws don't count; without valid ones the mean and p are null, with one the deviation is."""
+def _summed(rows: DataFrame, shape: tuple[int, int], terms, n_sums: int) -> np.ndarray:
+    """Sums over rows (event, draw, ...) by event and draw: each task gives a row per event and draw that it has met, of which
+    there are at most LOT, and so many come to the driver. `terms` gives the numbers of a batch's rows."""
+
+    def add(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((n_sums, shape[0] * shape[1]))
+        for batch in found:
+            at = np.asarray(batch.column(0)) * shape[1] + np.asarray(batch.column(1))
+            for s, v in zip(sums, terms(at, *(np.asarray(batch.column(i)) for i in range(2, batch.num_columns)))):
+                s += np.bincount(at, v, minlength=len(s))
+        met = np.flatnonzero(sums.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(s[met]) for s in sums)], names=["at", *(f"s{i}" for i in range(n_sums))])
+
+    names = [f"s{i}" for i in range(n_sums)]
+    found = rows.mapInArrow(add, "at long, " + ", ".join(f"{s} double" for s in names)).groupBy("at").agg(*[F.sum(s).alias(s) for s in names])
+    out = np.zeros((n_sums, shape[0] * shape[1]))
+    for r in found.collect():
+        out[:, r["at"]] = [r[s] for s in names]
+    return out.reshape(n_sums, *shape)
+
+
+def _split_fits(rows: DataFrame, events: int, draws: int, metric: str) -> np.ndarray:
+    """fit_events() over staged rows (event, draw, y, n, z), with an event's cells in as many tasks as hold them: (draws,
+    events). A Newton step is one pass, whose sums come back; the coefficients go out with the next."""
+    shape = (events, draws)
+    with np.errstate(all="ignore"):
+        sum_y, sum_n, sizes = _summed(rows, shape, lambda at, y, n, z: (y, n, np.ones(len(y))), 3)
+        fit = _Newton((sizes >= 2) & (sum_y > 0) & (sum_n - sum_y > 0))
+        for _ in range(STEPS):
+            if not fit.going.any():
+                break
+            b0, b1 = fit.b0.ravel(), fit.b1.ravel()
+            fit.move(*_summed(rows, shape, lambda at, y, n, z: _weighted(y, n, z, b0[at] + b1[at] * z), 5))
+        b0, b1, q = fit.b0.ravel(), fit.b1.ravel(), np.clip(sum_y / sum_n, LOW, 1 - LOW).ravel()
+        full, null = _summed(rows, shape, lambda at, y, n, z: (_deviance_terms(y, n, _chance(b0[at] + b1[at] * z)), _deviance_terms(y, n, q[at])), 2)
+        return _signed_root(full, null, sizes, fit.b1, fit.failed, metric).T
+
+
+def _split(cells: DataFrame, z: DataFrame, metric: str, n_cells: int, draws: int | np.ndarray, seed: int, large: list[int], keep: bool) -> DataFrame:
+    """Blocks of events whose cells don't fit into a row. The predictor is in long form; a draw moves it by a join on cells."""
+    spark = cells.sparkSession
+    if "cell_idx" not in z.columns:
+        z = z.select("event_idx", F.posexplode("z").alias("cell_idx", "z"))
+
+    n_draws = draws if isinstance(draws, int) else len(draws)
+
+    def moves(first: int, n: int) -> DataFrame:
+        """(draw, cell_idx, source): the cell whose predictor a cell gets; draw 0 leaves all where they are."""
+
+        def make(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in found:
+                if batch.num_rows:
+                    orders = next((o for at, o in order_blocks(n_cells, draws, seed) if at == first), np.empty((0, n_cells), np.int64))
+                    for d, order in enumerate([np.arange(n_cells), *orders]):
+                        for at in range(0, n_cells, 1 << 16):
+                            part = order[at : at + (1 << 16)].astype(np.int64)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), d, np.int64)), pa.array(np.arange(at, at + len(part))), pa.array(part)], names=["draw", "cell_idx", "source"])
+
+        return spark.range(0, 1, 1, 1).mapInArrow(make, "draw long, cell_idx long, source long")
+
+    out: list[DataFrame] = []
+    step = LOT // (1 + min(n_draws, BLOCK))
+    for at in range(0, len(large), step):
+        lot = large[at : at + step]
+        nth = spark.createDataFrame([(e, i) for i, e in enumerate(lot)], "event_idx long, event long")
+        own = staged(cells.join(F.broadcast(nth), "event_idx").select("event_idx", "event", "cell_idx", F.col("m1").cast("double").alias("y"), (F.col("m1") + F.col("m2")).cast("double").alias("n")))
+        predictor = staged(z.join(F.broadcast(nth), "event_idx").select("event", F.col("cell_idx").cast("long").alias("source"), F.col("z").cast("double").alias("z")))
+        observed = None
+        for first in range(1, max(n_draws, 1) + 1, BLOCK):
+            n = min(BLOCK, n_draws + 1 - first)
+            moved = own.join(moves(first, n), "cell_idx") if n else own.withColumn("draw", F.lit(0).cast("long")).withColumn("source", F.col("cell_idx"))
+            rows = staged(moved.join(predictor, ["event", "source"]).select("event", "draw", "y", "n", "z"))
+            found = _split_fits(rows, len(lot), n + 1, metric)
+            observed = found[0] if observed is None else observed
+            told = staged(spark.createDataFrame([tuple(r.values()) for r in _told(lot, observed, first, found[1:], keep).to_pylist()], BLOCKS))  # a row per event of the lot
+            out.append(told)
+    return reduce(DataFrame.unionByName, out)
+
+
+def null_blocks(pairs: DataFrame, z: DataFrame, metric: str = "CoxSnell", n_cells: int = 0, draws: int | np.ndarray = 0, seed: int = 0, keep: bool = True, split: int | None = SPLIT, chunk: int = 2_000_000) -> DataFrame:
+    """(event_idx, first, observed, n_valid, mean, m2, exceed, null) for events with cells in pairs (event_idx, cell_idx, m1,
+    m2): a row for each block of at most BLOCK draws, from draw `first` on, with their summary and, with `keep`, their values.
+
+    z: (event_idx, z array<double>), the predictor of the event in every cell, or (event_idx, cell_idx, z) with a row for
+    each; an event that it lacks is left out. Events of over `split` cells are fitted by sums over tasks (never, if None),
+    others in one task each; both give the same. Without draws there is one block of none. Draws are made of
+    n_cells, their number and a seed on the tasks, or are given as permutations.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"metric is one of {', '.join(METRICS)}, not {metric!r}")
+    cells = pairs.where("m1 + m2 > 0").select("event_idx", "cell_idx", "m1", "m2")
+    large = [] if split is None else sorted(r["event_idx"] for r in cells.groupBy("event_idx").count().where(F.col("count") > split).join(z.select("event_idx").distinct(), "event_idx", "left_semi").collect())  # over `split` rows each
+    few = [large[i : i + 10_000] for i in range(0, len(large), 10_000)]
+    within = lambda c: reduce(Column.__or__, [c.isin(x) for x in few])
+    if not large:
+        return _gathered(cells, z, metric, n_cells, draws, seed, chunk, keep)
+    hot, cold = within(F.col("event_idx")), ~within(F.col("event_idx"))
+    return _gathered(cells.where(cold), z.where(cold), metric, n_cells, draws, seed, chunk, keep).unionByName(_split(cells.where(hot), z.where(hot), metric, n_cells, draws, seed, large, keep))
+
+
+def event_correlations(pairs: DataFrame, z: DataFrame, metric: str = "CoxSnell", draws: np.ndarray | None = None, split: int | None = SPLIT) -> DataFrame:
+    """(event_idx, observed, null array<double>) for a few given permutations of the cells; see null_blocks()."""
+    given = 0 if draws is None else np.asarray(draws)
+    blocks = null_blocks(pairs, z, metric, 0 if draws is None else given.shape[1], given, split=split)
+    by_first = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "null"))), lambda b: b["null"]))
+    return blocks.select("event_idx", "observed", "null") if draws is None else blocks.groupBy("event_idx").agg(F.max("observed").alias("observed"), by_first.alias("null"))
+
+
+def summarized(draws: DataFrame) -> DataFrame:
+    """Adds n_valid, mean, m2 and exceed to rows (event_idx, observed, null array<double>). Null draws don't count."""
     known = F.filter("null", lambda x: x.isNotNull())
-    n = F.size("_known")
     add = lambda f: F.aggregate("_known", F.lit(0.0), lambda t, x: t + f(x))
-    counted = draws.withColumn("_known", known).withColumn("n_valid", n).withColumn("_sum", add(lambda x: x)).withColumn("_squares", add(lambda x: x * x))
-    exceed = F.size(F.filter("_known", lambda x: F.abs(x) >= F.abs(F.col("observed"))))
-    variance = (F.col("_squares") - F.col("_sum") * F.col("_sum") / F.nullif("n_valid", F.lit(0))) / F.nullif(F.col("n_valid") - 1, F.lit(0))
-    return counted.select(
-        "event_idx", "observed", "null", "n_valid",
-        (F.col("_sum") / F.nullif("n_valid", F.lit(0))).alias("null_mean"),
+    counted = draws.withColumn("_known", known).withColumn("n_valid", F.size("_known")).withColumn("mean", F.coalesce(add(lambda x: x) / F.nullif("n_valid", F.lit(0)), F.lit(0.0)))
+    squares = counted.withColumn("m2", add(lambda x: (x - F.col("mean")) * (x - F.col("mean"))))
+    return squares.withColumn("exceed", F.size(F.filter("_known", lambda x: F.abs(x) >= F.abs(F.col("observed"))))).drop("_known")
+
+
+def null_summary(draws: DataFrame) -> DataFrame:
+    """(event_idx, observed, n_valid, null_mean, null_sd of the sample, p_value two-sided with one added) from the blocks of
+    null_blocks(), or from rows (event_idx, observed, null array<double>): an event's rows are merged by their numbers, means
+    and squares, so that a row per task and event is all that is shuffled, however many the draws. Without valid draws the
+    mean and p are null, with one the deviation is."""
+    blocks = draws if "m2" in draws.columns else summarized(draws)
+    n, mean = F.col("n_valid"), F.col("mean")
+    base = F.coalesce("observed", F.lit(0.0))  # means are taken about it, lest squares cancel
+    merged = blocks.groupBy("event_idx").agg(F.max("observed").alias("observed"), F.sum(n).cast("int").alias("n_valid"), F.sum(n * (mean - base)).alias("_moved"), F.sum(F.col("m2") + n * (mean - base) * (mean - base)).alias("_squares"), F.sum("exceed").alias("_exceed"))
+    some = F.nullif("n_valid", F.lit(0))
+    variance = (F.col("_squares") - F.col("_moved") * F.col("_moved") / some) / F.nullif(F.col("n_valid") - 1, F.lit(0))
+    return merged.select(
+        "event_idx", "observed", "n_valid",
+        (base + F.col("_moved") / some).alias("null_mean"),
         F.when(F.col("n_valid") > 1, F.sqrt(F.greatest(F.lit(0.0), variance))).alias("null_sd"),
-        F.when(F.col("observed").isNotNull() & (F.col("n_valid") > 0), (exceed + 1) / (F.col("n_valid") + 1)).alias("p_value"),
+        F.when(F.col("observed").isNotNull() & (F.col("n_valid") > 0), (F.col("_exceed") + 1) / (F.col("n_valid") + 1)).alias("p_value"),
     )
 
 
@@ -140,23 +311,29 @@ class AssociationResult:
     observed: DataFrame
     statistics: DataFrame
     null_distribution: DataFrame
-    metadata: dict[str, Any]
+    metadata: dict[str, Any] = field(default_factory=dict)
+
+
+def retained(summary: DataFrame) -> DataFrame:
+    """Events with an observed value and a null mean."""
+    return summary.where("observed is not null and null_mean is not null")
 
 
-def null_long_table(summary: DataFrame) -> DataFrame:
-    """(permutation from 1, event_idx, value) of retained events: those with an observed value and a null mean."""
-    kept = summary.where("observed is not null and null_mean is not null")
-    return kept.select("event_idx", F.posexplode("null").alias("_k", "value")).select((F.col("_k") + 1).alias("permutation"), "event_idx", "value")
+def null_long_table(draws: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """(permutation from 1, event_idx, value) of retained events, from blocks with values or rows of arrays."""
+    blocks = draws if "first" in draws.columns else draws.withColumn("first", F.lit(1))
+    kept = blocks.join(retained(null_summary(draws) if summary is None else summary).select("event_idx"), "event_idx", "left_semi")
+    return kept.select("event_idx", "first", F.posexplode("null").alias("_k", "value")).select((F.col("first") + F.col("_k")).alias("permutation"), "event_idx", "value")
 
 
-def association(pairs: DataFrame, z: DataFrame, n_cells: int, metric: str = "CoxSnell", n_permutations: int = 100, seed: int | None = None) -> AssociationResult:
+def association(pairs: DataFrame, z: DataFrame, n_cells: int, metric: str = "CoxSnell", n_permutations: int = 100, seed: int | None = None, keep_null: bool = True, split: int | None = SPLIT) -> AssociationResult:
     """Regression of every event on its predictor with a permutation null; see the functions above. The statistics have
-    q_value, the p value adjusted over retained events; without permutations they are empty."""
+    q_value, the p value adjusted over retained events; without permutations they are empty. Without keep_null the draws are
+    summed up and not kept."""
     if n_permutations < 0:
-        raise ValueError("n_permutations must be non-negative")
+        raise ValueError(f"n_permutations is {n_permutations}, below 0")
     drawn = int(np.random.SeedSequence().entropy % 2**63) if seed is None else seed
-    found = staged(event_correlations(pairs, z, metric, (n_cells, n_permutations, drawn)))  # fitted once for both tables
-    summary = null_summary(found)
-    kept = summary.where("observed is not null and null_mean is not null").drop("null")
-    statistics = adjusted(kept, "p_value", "q_value")
-    return AssociationResult(found.select("event_idx", "observed"), statistics, null_long_table(summary), {"metric": metric, "n_permutations": n_permutations, "seed": seed})
+    found = staged(null_blocks(pairs, z, metric, n_cells, n_permutations, drawn, keep_null, split))  # fitted once for all tables
+    summary = staged(null_summary(found))
+    statistics = adjusted(retained(summary), "p_value", "q_value")
+    return AssociationResult(summary.select("event_idx", "observed"), statistics, null_long_table(found, summary), {"metric": metric, "n_permutations": n_permutations, "seed": seed})

@@ -205,21 +205,19 @@ def stacked_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unstack(stacked, parts + 1).groupBy("layer", "feature_idx").agg(F.sum("value").alias("value"))
 
 
-def _correlations(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+def _correlations(spark: SparkSession, sf_dir: str, metric: str, split: int | None = A.SPLIT) -> DataFrame:
     """Observed values of all events for the predictor (7 cell + 3 start + end) % 2; null where cells, counts or levels are too
-    few for a fit, and 0 where the fit explains nothing."""
+    few for a fit, and where it explains less than nothing."""
     events, m1 = events_and_counts(spark, sf_dir)
     pairs = staged(paired_counts(events, m1))
     n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] + 1
     z = events.select("event_idx", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: ((7 * c + 3 * F.col("start") + F.col("end")) % 2).cast("double")).alias("z"))
-    level = ((7 * F.col("cell_idx") + 3 * F.col("start") + F.col("end")) % 2).alias("level")
-    seen = pairs.where("m1 + m2 > 0").join(events.select("event_idx", "start", "end"), "event_idx").groupBy("event_idx").agg(F.sum("m1").alias("a"), F.sum("m2").alias("b"), F.countDistinct(level).alias("levels"))
-    fitted = seen.select("event_idx", ((F.col("a") > 0) & (F.col("b") > 0) & (F.col("levels") > 1)).alias("fitted"))
-    found = events.select("event_idx").join(fitted, "event_idx", "left").join(A.event_correlations(pairs, z, metric), "event_idx", "left")
-    return found.select("event_idx", F.when(F.col("fitted"), F.round(F.coalesce("observed", F.lit(0.0)), 5) + 0.0).alias("observed"))
+    found = events.select("event_idx").join(A.event_correlations(pairs, z, metric, split=split), "event_idx", "left")
+    return found.select("event_idx", (F.round("observed", 5) + 0.0).alias("observed"))
 
 
-#: The same steps in SQL: a row per event and step, while it goes on.
+#: The same steps in SQL: a row per event and step, while it goes on. An R2 within 1e-12 of zero is zero on both sides, as
+#: rounding alone decides its sign there; below that there is no value.
 _CORRELATION = PAIRS.replace("WITH ", "", 1) + """, leveled AS (SELECT p.event_idx, p.m1 AS y, p.m1 + p.m2 AS n, CAST((7 * cell_idx + 3 * "start" + "end") % 2 AS DOUBLE) AS z FROM pairs p JOIN numbered USING (event_idx) WHERE p.m1 + p.m2 > 0),
 totals AS (SELECT event_idx, count(*) AS cells, sum(y) AS sy, sum(n) AS sn FROM leveled GROUP BY event_idx HAVING sum(y) > 0 AND sum(n - y) > 0 AND count(DISTINCT z) > 1),
 steps AS (SELECT 0 AS step, event_idx, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, true AS going FROM totals
@@ -234,7 +232,8 @@ deviances AS (SELECT event_idx, any_value(b1) AS b1, any_value(cells) AS cells,
   sum(2 * ((CASE WHEN y > 0 THEN y * ln(y / (n * p)) ELSE 0 END) + (CASE WHEN n > y THEN (n - y) * ln((n - y) / (n * (1 - p))) ELSE 0 END))) AS full_d,
   sum(2 * ((CASE WHEN y > 0 THEN y * ln(y / (n * q)) ELSE 0 END) + (CASE WHEN n > y THEN (n - y) * ln((n - y) / (n * (1 - q))) ELSE 0 END))) AS null_d
   FROM (SELECT event_idx, y, n, b1, cells, least(greatest(1 / (1 + exp(-(b0 + b1 * z))), 1e-8), 1 - 1e-8) AS p, least(greatest(sy / sn, 1e-8), 1 - 1e-8) AS q FROM leveled JOIN fits USING (event_idx) JOIN totals USING (event_idx)) GROUP BY event_idx)
-SELECT event_idx, round(sqrt(greatest(0, {r2})) * CASE WHEN b1 >= 0 THEN 1 ELSE -1 END, 5) + 0.0 AS observed FROM numbered LEFT JOIN deviances USING (event_idx)"""
+SELECT event_idx, round(CASE WHEN r2 >= -1e-12 THEN sqrt(greatest(0, r2)) END * CASE WHEN b1 >= 0 THEN 1 ELSE -1 END, 5) + 0.0 AS observed
+FROM numbered LEFT JOIN (SELECT event_idx, b1, {r2} AS r2 FROM deviances) USING (event_idx)"""
 _COX_SNELL = f"WITH RECURSIVE {_CORRELATION.replace('{r2}', '1 - exp((full_d - null_d) / cells)')}"
 _NAGELKERKE = f"WITH RECURSIVE {_CORRELATION.replace('{r2}', '(1 - exp((full_d - null_d) / cells)) / (1 - exp(-null_d / cells))')}"
 
@@ -249,9 +248,15 @@ def pseudo_corr_nagelkerke(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _correlations(spark, sf_dir, "Nagelkerke")
 
 
-#: Names of round 1 for the queries of all events, which the two above are now.
-for _name in ("coxsnell", "nagelkerke"):
-    QUERIES[f"pseudo_corr_{_name}_all"], SQL[f"pseudo_corr_{_name}_all"] = QUERIES[f"pseudo_corr_{_name}"], SQL[f"pseudo_corr_{_name}"]
+@query(_COX_SNELL)
+def pseudo_corr_coxsnell_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all events' cells spread over tasks, as an event of any size is fitted."""
+    return _correlations(spark, sf_dir, "CoxSnell", split=0)
+
+
+@query(_NAGELKERKE)
+def pseudo_corr_nagelkerke_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _correlations(spark, sf_dir, "Nagelkerke", split=0)
 
 
 #: A null table that SQL can make too: 20 draws per part, some of them missing; each 13th part has no observed value.
@@ -287,7 +292,7 @@ def bh_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DRAWS} SELECT CAST(permutation AS INT) AS permutation, event_idx, CAST(value AS DOUBLE) AS value FROM draws WHERE observed IS NOT NULL")
 def null_long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.null_long_table(A.null_summary(_draws(spark, sf_dir)))
+    return A.null_long_table(_draws(spark, sf_dir))
 
 
 def _association(spark: SparkSession, sf_dir: str) -> A.AssociationResult:
