@@ -52,8 +52,9 @@ def edits(old: Column, new: Column) -> Column:
 
 
 def _numbers(values: list[int | None], kind: str) -> Column:
-    """An array of numbers as one literal, however many there are."""
-    return F.transform(F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ","), lambda v: v.try_cast(kind))
+    """An array of numbers as one literal, however many there are: Spark folds the cast of a split text, so that a row costs
+    no more than looking numbers up. Missing ones are the lowest."""
+    return F.split(F.lit(",".join(str(LOWEST if v is None else v) for v in values)), ",").cast(f"array<{kind}>")
 
 
 def _block_of(key: Column, tie: Column, bounds: list[tuple[int, int]]) -> Column:
@@ -91,7 +92,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", blocks_p
     before = dict(zip(full, [full[-1], *full])) if full else {}
     every = range(len(bounds) + 1)
     first_k, first_tie = (_numbers([firsts[b][i] if b in firsts else None for b in every], "long") for i in (0, 1))
-    block_before = _numbers([before.get(b) for b in every], "int")
+    block_before = _numbers([before.get(b, -1) for b in every], "int")
     leads = (F.get(first_k, F.col("b")) == F.col("k")) & (F.get(first_tie, F.col("b")) == F.col("tie"))
     home = F.struct(F.col("b").alias("block"), F.lit(0).alias("guest"))
     homed = tied.withColumn("b", block).select("key", "text", "k", "tie", F.explode(F.when(leads, F.array(home, F.struct(F.get(block_before, F.col("b")).alias("block"), F.lit(1).alias("guest")))).otherwise(F.array(home))).alias("home"))
