@@ -52,36 +52,80 @@ def parse(piece: str) -> Turn:
     return unescape(found[1]), unescape(found[2])
 
 
-def render(turns: Iterable[Turn], template: Template, history: int = 32) -> Iterator[tuple[str, int, int, int, int]]:
-    """For each turn: what it adds to the output, where that starts, its code points before and after the text, and how
-    many code points of the earlier output it rewrote (0 for a template that only appends).
+Span = tuple[str, int, int, int, int]
 
-    The template sees the turn after all of its predecessors, so the work is quadratic in the number of turns. Only one
-    that says of itself (`appends`) that its output is the joined outputs of single turns sees the last `history` to
-    2 * `history` of them, which is exact there, and linear.
-    """
-    appends = getattr(template, "appends", False)
-    window: list[Turn] = []
-    before, start = template([]), 0
-    fresh = True
-    for role, text in turns:
-        now = template([*window, (role, text)])
+
+class _Rendering:
+    """What successive turns add to a template's output, seen through the last turns that it is shown."""
+
+    def __init__(self, template: Template, turns: list[Turn], start: int, history: int | None):
+        self.template, self.window, self.start, self.history = template, list(turns), start, history
+        self.before, self.fresh = template(self.window), not turns
+
+    def add(self, role: str, text: str) -> Span:
+        now = self.template([*self.window, (role, text)])
+        before = self.before
         kept = len(before) if now.startswith(before) else next((i for i, (a, b) in enumerate(zip(before, now)) if a != b), min(len(before), len(now)))
         rewrote = len(before) - kept
-        probe = template([*window, (role, PROBE)])
+        probe = self.template([*self.window, (role, PROBE)])
         at = probe.rfind(PROBE)
         head, tail = max(0, at - kept), len(probe) - at - len(PROBE)
-        piece = now[0 if fresh else kept :]
-        head += kept if fresh else 0
-        start -= 0 if fresh else rewrote
-        yield piece, start, head, tail, rewrote
-        start += len(piece)
-        fresh = False
-        window.append((role, text))
-        before = now
-        if appends and len(window) >= 2 * history:
-            window = window[-history:]
-            before = template(window)
+        piece = now[0 if self.fresh else kept :]
+        head += kept if self.fresh else 0
+        start = self.start - (0 if self.fresh else rewrote)
+        self.start, self.fresh, self.before = start + len(piece), False, now
+        self.window.append((role, text))
+        if self.history and len(self.window) >= 2 * self.history:
+            self.window = self.window[-self.history :]
+            self.before = self.template(self.window)
+        return piece, start, head, tail, rewrote
+
+
+def render(turns: Iterable[Turn], template: Template, history: int = 32) -> Iterator[Span]:
+    """For each turn: what it adds to the output, where that starts, its code points before and after the text, and how
+    many code points of the earlier output it rewrote (0 for a template that only appends).
+
+    The template sees the turn after all of its predecessors, so the work is quadratic in the number of turns. One that says
+    of itself (`appends`) that its output is the joined outputs of single turns sees the last `history` to 2 * `history` of
+    them, and is held to its word: at 2 * `history` turns, at each doubling and at the end the joined pieces are compared
+    with one rendering of all turns. Where they differ, the turns since the last comparison are rendered again with all of
+    their predecessors, and so are those that follow. Pieces are given after their comparison, and work stays linear for a
+    template that keeps its word.
+    """
+    if not getattr(template, "appends", False):
+        whole = _Rendering(template, [], 0, None)
+        for role, text in turns:
+            yield whole.add(role, text)
+        return
+    seen: list[Turn] = []
+    held: list[Span] = []
+    near, checked, digest, due = _Rendering(template, [], 0, history), 0, hashlib.sha256(), 2 * history
+    whole: _Rendering | None = None
+
+    def settle() -> list[Span]:
+        """The held spans, if they make what the template makes of all turns so far; else those of whole prefixes."""
+        nonlocal whole, checked, digest
+        joined = digest.copy()
+        for piece, _, _, _, rewrote in held:
+            joined.update(piece.encode("utf-8", "surrogatepass"))
+        if all(s[4] == 0 for s in held) and joined.digest() == hashlib.sha256(template(seen).encode("utf-8", "surrogatepass")).digest():
+            digest, checked = joined, len(seen)
+            return held
+        whole = _Rendering(template, seen[:checked], held[0][1] if held else 0, None)
+        return [whole.add(*turn) for turn in seen[checked:]]
+
+    for role, text in turns:
+        if whole is not None:
+            yield whole.add(role, text)
+            continue
+        seen.append((role, text))
+        held.append(near.add(role, text))
+        if len(seen) == due:
+            due *= 2
+            yield from settle()
+            held = []
+    if held:
+        yield from settle()
 
 
 PIECES = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("piece", pa.string()), ("start", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("rewrote", pa.int64()), ("loss", pa.bool_())])
@@ -94,8 +138,8 @@ def format_turns(conversations: DataFrame, template: Template = marked, learn: s
     history and spans of earlier turns no longer hold.
 
     Rows are hashed by conversation, sorted, and streamed through a task in batches: a conversation is one task (its output
-    and digests are sequential), in bounded memory where the template `appends`, else held whole: see render(). Turns are ordered by turn, nulls first, then
-    role and text. Null texts and roles count as empty; a null conv_id is a conversation of its own; repeated rows are
+    and digests are sequential) that holds its texts, in linear time where the template `appends`: see render(). Turns are
+    ordered by turn, nulls first, then role and text. Null texts and roles count as empty; a null conv_id is a conversation of its own; repeated rows are
     turns of their own; an empty table gives no rows; other columns are ignored.
     The rows of a partition come out in order of conversation and turn.
     """

@@ -407,3 +407,44 @@ def test_pipeline_of_repeated_ids(spark, sf):
     got = Counter(corpus_pipeline.mixing_stage(spark, frame, sf).collect())
     there = Counter(frame.collect())
     assert got and all(there[r] and n <= 3 * there[r] for r, n in got.items())
+
+
+def test_pipeline_keeps_every_column(spark, sf):
+    """Columns with names of all sorts stay as they are, and rows that are a third of the table cost no task of their own."""
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    rows = [(i, text(i), "ab"[i % 2], 777, "mine", 5, i, {"k": i}) for i in range(40)] + [(7, text(7), "b", 777, "mine", 5, 7, {"k": 7})] * 20
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _id long, _key string, `a.b` int, n long, row map<string,long>").repartition(5)
+    for work, columns in ((corpus_pipeline.ngram_stage, frame.columns), (corpus_pipeline.mixing_stage, frame.columns)):
+        got = work(spark, frame, sf)
+        assert got.columns == columns
+        held = [tuple(r) for r in got.collect()]
+        assert all(r in rows for r in held)
+        ids = Counter(r[0] for r in held)
+        if work is corpus_pipeline.ngram_stage:
+            assert ids == Counter(range(40))
+        else:
+            assert all(n <= (63 if i == 7 else 3) for i, n in ids.items())
+    plan = corpus_pipeline.mixing_stage(spark, frame, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(key#" not in plan and "windowspecdefinition(_key#" not in plan
+
+
+class Claims:
+    """A template that says that it appends, whether it does or not."""
+
+    appends = True
+
+    def __init__(self, template):
+        self.template = template
+
+    def __call__(self, turns):
+        return self.template(turns)
+
+
+@pytest.mark.parametrize("template", sorted(TEMPLATES))
+@pytest.mark.parametrize("n", [10, 64, 65, 150, 300])
+def test_chat_holds_templates_to_their_word(template, n):
+    template = TEMPLATES[template]
+    turns = [("user", f"text {i}") for i in range(n)]
+    assert list(chat.render(turns, Claims(template))) == list(chat.render(turns, template))
+    joins = lambda ts: "".join(f"{r}:{t}\n" for r, t in ts)
+    assert list(chat.render(turns, Claims(joins), 4)) == list(chat.render(turns, joins))
