@@ -3,19 +3,30 @@ personal data is masked, sources are mixed to weights, and what is left is packe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.llm import mixing, ngram_join, packing, pii, toxicity
 from junctura.llm.common import stage, table
 
 
-def _named(docs: DataFrame, *more: str) -> DataFrame:
-    """For each row its id, or a hash of its text where it has none, and a key: a hash of the id, the text and columns more,
-    so that rows of one id and unlike texts are told apart without a join. `_sum` is a second hash for where keys coincide."""
-    text = F.coalesce("text", F.lit(""))
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)))
-    return named.withColumn("_key", F.xxhash64("_id", text, *more)).withColumn("_sum", F.xxhash64(text, "_id", *more))
+def _named(docs: DataFrame) -> DataFrame:
+    """For each row of docs: row, all of its columns; id, or a hash of its text where it has none; text and source; and key and
+    sum, two hashes of the row. Rows of one key are equal, or differ in columns that can't be hashed (maps) alone. Whatever
+    docs' columns are called, they are in `row` and stay as they are."""
+    own = {c: F.col(f"`{c}`") for c in docs.columns}
+    hashed = [own[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    row, text = F.struct(*own.values()), F.coalesce(own["text"], F.lit(""))
+    key = F.xxhash64(F.lit(1), *hashed)
+    return docs.select(row.alias("row"), F.coalesce(own["doc_id"].cast("long"), F.xxhash64(text)).alias("id"), own["text"].alias("text"), own["source"].alias("source") if "source" in own else F.lit(None).cast("string").alias("source"), key.alias("key"), F.xxhash64(F.lit(2), *reversed(hashed)).alias("sum"))
+
+
+def _once(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows (key, sum, row, n, more...), with one of each set of equal rows; n is how many rows have the key. Rows that are
+    alone in their key pass by; others are aggregated in their tasks first, so that a row that is a third of the table
+    comes once from each task."""
+    alone = rows.where("n = 1").select("row", *more)
+    return alone.unionByName(rows.where("n > 1").groupBy("key", "sum").agg(*[F.first(c).alias(c) for c in ("row", *more)]).select("row", *more))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +37,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id; of repeated rows one."""
     named = _named(docs)
-    groups = ngram_join.similar_documents(named.select("_key", "text"), key="_key")
-    least = groups.join(named.select("_key", "_id").distinct(), "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key")).alias("least"))
-    kept = least.select("least._key")
-    first = Window.partitionBy("_key", "_id", "_sum").orderBy(*docs.columns)
-    return named.join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    groups = ngram_join.similar_documents(named.select("key", "text"), key="key")
+    counts = named.groupBy("key", "id").agg(F.count("*").alias("n"))
+    least = groups.distinct().join(counts, "key").groupBy("component_id").agg(F.min(F.struct("id", "key", "n")).alias("least"))
+    return _once(named.join(least.select("least.key", "least.n"), "key")).select("row.*")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +50,12 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, a part counting as a whole; so at most three times, or not at all."""
-    named = _named(docs, "source")
-    taken = mixing.mix(named.select("_key", "text", "source"), key="_key")["taken"].where("taken > 0")
-    often = taken.groupBy("_key").agg(F.sum(F.expr("(taken + size - 1) div size")).alias("_often"), F.max(F.expr("(taken + size - 1) div size")).alias("_most"))
-    # Rows of one key are equal: they take the key's times in turn, each at most as many as one row took.
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_id", "_sum"))
-    rows = named.join(often, "_key").withColumn("_nth", nth)
-    times = F.least("_most", F.col("_often") - (F.col("_nth") - 1) * F.col("_most"))
-    return rows.withColumn("_times", times).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)
+    named = _named(docs)
+    taken = mixing.mix(named.select("key", "text", "source"), key="key")["taken"]
+    # Equal rows take what all of them are given together.
+    times = taken.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.when(F.col("taken") > 0, F.expr("(taken + size - 1) div size")).otherwise(0)).alias("times"))
+    rows = _once(named.join(times.where("times > 0"), "key"), "times")
+    return rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
