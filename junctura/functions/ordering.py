@@ -28,24 +28,30 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a place within a partition, below the partition's number.
+WITHIN = 33
+
+
 def _ranged(df: DataFrame, order: list) -> DataFrame:
-    """df in order by range partitions, as a table. It is staged first, as ranges are sampled from it before it is dealt."""
+    """df in order by range partitions, written once: `_at` has the partition's number above the row's place in it. Ranges are
+    sampled from df itself, whose shuffles are done once; so df gives the same rows each time it is computed."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return staged(staged(df).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    return staged(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
 
 
 def with_index(df: DataFrame, order: list, name: str, sums: dict[str, str] | None = None) -> DataFrame:
     """Adds each row's place (from 0) in the order, and for each entry new: column of `sums` what the column adds up to in
-    all rows before. Rows are range partitioned and sorted; a row per partition gives its totals, and prefix sums over those
-    give what comes before it."""
+    all rows before. Rows are range partitioned, sorted and written with their place in the partition; a row per partition
+    gives its totals, and prefix sums over those give what comes before it. The result reads the written table: it needn't
+    be staged again, and without `sums` nothing is shuffled."""
     sums = sums or {}
-    ranged = _ranged(df, order)
+    ranged = _ranged(df, order).withColumn("_part", F.shiftright("_at", WITHIN))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{s}") for s, c in sums.items()])
     places = totals.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before{c}") for c in ("_n", *(f"_sum_{s}" for s in sums))])
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = ranged.join(F.broadcast(places), "_part")  # a row per partition
-    new = [(F.col("_before_n") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).alias(name)]
+    new = [(F.col("_before_n") + F.col("_at").bitwiseAND(F.lit((1 << WITHIN) - 1))).alias(name)]
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     new += [(F.col(f"_before_sum_{s}") + F.sum(c).over(within) - F.col(c)).alias(s) for s, c in sums.items()]
     return joined.select(*df.columns, *new)
 
@@ -61,7 +67,7 @@ def adjusted(df: DataFrame, p: str, name: str, block: int = 100_000) -> DataFram
     """Adds p values adjusted by the step-up rule of false discovery: the least p * n / rank of all with as high a rank.
     Null p values stay out and get null. Ranks are cut into blocks; within a block the least value so far is taken from the
     highest rank down, and a row per block tells the least of the blocks above."""
-    placed = staged(with_index(df, [F.col(p).asc_nulls_last()], "_rank"))
+    placed = with_index(df, [F.col(p).asc_nulls_last()], "_rank")
     n = placed.agg(F.count(p).alias("n")).first()["n"]
     ranked = placed.withColumn("_q", F.col(p) * n / (F.col("_rank") + 1)).withColumn("_block", F.expr(f"_rank div {block}"))
     above = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,21 +8,49 @@ from pyspark.sql import functions as F
 from ..functions import excluded
 
 
-def paired_counts(events: DataFrame, m1: DataFrame) -> DataFrame:
+#: Members of a group that stand in one row.
+MEMBERS = 1000
+
+
+def _spread(sums: DataFrame) -> DataFrame:
+    """(event_idx, cell_idx, m1, m2) from rows (cell_idx, total, own, members): the members that have counts, and the others
+    with none."""
+    ids = F.transform("own", lambda x: x.event_idx)
+    added = F.transform(F.array_distinct(ids), lambda e: F.struct(e.alias("event_idx"), F.aggregate(F.filter("own", lambda x: x.event_idx == e), F.lit(0.0), lambda t, x: t + x.value).alias("value")))
+    own = F.when(F.size(F.array_distinct(ids)) == F.size("own"), F.col("own")).otherwise(added)  # repeated counts add up
+    none = F.transform(F.array_except("members", ids), lambda e: F.struct(e.alias("event_idx"), F.lit(0.0).alias("value")))
+    flat = sums.select("cell_idx", "total", F.explode(F.concat(own, none)).alias("x")).select(F.col("x.event_idx").alias("event_idx"), "cell_idx", "total", F.col("x.value").alias("m1"))
+    return flat.select("event_idx", "cell_idx", "m1", F.coalesce(excluded("total", "m1"), F.lit(0.0)).alias("m2")).where("m1 <> 0 or m2 <> 0")
+
+
+def paired_counts(events: DataFrame, m1: DataFrame, block: int = MEMBERS) -> DataFrame:
     """(event_idx, cell_idx, m1, m2) for each event of a group and each cell in which the group has counts.
 
-    Counts are gathered by group and cell, as a sum and a list of the members that have some (a group is a splice site, so
-    lists are short), and joined with the list of all members: the result, which is larger, is made in place and never
-    shuffled. A pair with neither count is left out. Negative ids of groups are an error.
+    Counts are gathered by group and cell, as a sum and a list of the members that have some, and joined with the list of all
+    members: the result, which is larger, is made in place and never shuffled. A group of over `block` members is cut into
+    blocks by hash, each with lists of its own, and gets its sum by a join; so no row grows with a group. A pair with neither
+    count is left out. Negative ids of groups are an error.
     """
     group = F.when(F.col("group_id") >= 0, F.col("group_id")).otherwise(F.raise_error(F.lit("group_id must not be negative")))
     numbered = events.select("event_idx", group.alias("group_id"))
-    members = numbered.groupBy("group_id").agg(F.collect_list("event_idx").alias("members"))
-    sums = m1.join(numbered, "event_idx").groupBy("group_id", "cell_idx").agg(F.sum("value").alias("total"), F.collect_list(F.struct("event_idx", "value")).alias("own")).where("total <> 0")
-    spread = sums.join(members, "group_id").select("cell_idx", "total", "own", F.explode("members").alias("event_idx"))
-    m1_value = F.aggregate(F.filter("own", lambda x: x.event_idx == F.col("event_idx")), F.lit(0.0), lambda t, x: t + x.value)
-    both = spread.withColumn("m1", m1_value)
-    return both.select("event_idx", "cell_idx", "m1", F.coalesce(excluded("total", "m1"), F.lit(0.0)).alias("m2")).where("m1 <> 0 or m2 <> 0")
+    counts = m1.select("event_idx", "cell_idx", F.col("value").cast("double").alias("value"))
+    own = F.collect_list(F.struct("event_idx", "value")).alias("own")
+
+    def small(members: DataFrame) -> DataFrame:
+        lists = members.groupBy("group_id").agg(F.collect_list("event_idx").alias("members"))
+        return counts.join(members, "event_idx").groupBy("group_id", "cell_idx").agg(F.sum("value").alias("total"), own).where("total <> 0").join(lists, "group_id")
+
+    sizes = numbered.groupBy("group_id").agg(F.count("*").alias("size"))
+    large = sizes.where(F.col("size") > block)
+    if not large.limit(1).count():
+        return _spread(small(numbered))
+    cut = numbered.join(large, "group_id").withColumn("block", F.pmod(F.xxhash64("event_idx"), F.ceil(F.col("size") / block))).drop("size")
+    lists = cut.groupBy("group_id", "block").agg(F.collect_list("event_idx").alias("members"))
+    placed = counts.join(cut, "event_idx")
+    totals = placed.groupBy("group_id", "cell_idx").agg(F.sum("value").alias("total")).where("total <> 0")
+    mine = placed.groupBy("group_id", "cell_idx", "block").agg(own)
+    wide = totals.join(lists, "group_id").join(mine, ["group_id", "cell_idx", "block"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<event_idx:bigint,value:double>>")))
+    return _spread(small(numbered.join(large, "group_id", "left_anti"))).unionByName(_spread(wide))
 
 
 def exclusion_counts(events: DataFrame, m1: DataFrame) -> DataFrame:

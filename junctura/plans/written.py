@@ -40,7 +40,7 @@ def write_matrix(rows: DataFrame, shape: tuple[int, int], path: str, more: str =
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    return staged(with_index(rows, order, "place"))
+    return with_index(rows, order, "place")
 
 
 def cells_of(spark: SparkSession, sf_dir: str, sample: str) -> DataFrame:

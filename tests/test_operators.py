@@ -5,7 +5,7 @@ from junctura.functions import adjusted, with_index
 from junctura.operators import association as A
 from junctura.operators import deviance as D
 from junctura.operators import variance as V
-from junctura.operators.exclusion import exclusion_counts
+from junctura.operators.exclusion import exclusion_counts, paired_counts
 
 
 def one_event(z, m1, m2, metric):
@@ -152,3 +152,58 @@ def test_order_and_adjustment(spark):
     few = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, None), (3, 0.03)], "id long, p double")
     got = {r.id: r.q for r in adjusted(few, "p", "q").collect()}
     assert got[0] == pytest.approx(0.03) and got[1] == pytest.approx(0.04) and got[3] == pytest.approx(0.04) and got[2] is None
+
+
+def test_large_groups(spark):
+    """A group of many members is cut into blocks: the same rows, and no row that grows with the group."""
+    rng = np.random.default_rng(6)
+    sizes = [300, 2, 40, 1]
+    group = np.repeat(np.arange(4), sizes)
+    events = spark.createDataFrame([(e, int(g)) for e, g in enumerate(group)], "event_idx long, group_id long").repartition(3)
+    own = {(int(e), int(c)): float(v) for e, c, v in zip(rng.integers(0, len(group), 400), rng.integers(0, 5, 400), rng.integers(1, 9, 400))}
+    rows = [(e, c, v) for (e, c), v in own.items()] + [(0, 0, 2.0), (0, 0, 3.0)]  # repeated counts add up
+    m1 = spark.createDataFrame(rows, "event_idx long, cell_idx long, value double").repartition(3)
+    own[0, 0] = own.get((0, 0), 0) + 5.0
+    expect = {}
+    for c in range(5):
+        for g in range(4):
+            members = np.flatnonzero(group == g)
+            total = sum(own.get((int(e), c), 0) for e in members)
+            for e in members.tolist():
+                if total and (own.get((e, c), 0) or total - own.get((e, c), 0)):
+                    expect[e, c] = (own.get((e, c), 0.0), total - own.get((e, c), 0.0))
+    for block in (1000, 16):
+        got = paired_counts(events, m1, block)
+        held = got.collect()
+        assert len(held) == len(expect) and {(r.event_idx, r.cell_idx): (r.m1, r.m2) for r in held} == expect
+
+
+@pytest.mark.parametrize("n", [3, 40, 700])
+def test_trend_without_the_driver(spark, n):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=n), 2)  # with ties
+    y = np.sin(x) + rng.normal(scale=0.1, size=n)
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "feature_idx long, x double, y double").repartition(5)
+    got = {r.feature_idx: r.fitted for r in V.trend(points).collect()}
+    assert [got[i] for i in range(n)] == pytest.approx(V.smooth(x, y), abs=1e-8)
+
+
+def test_histogram_gives_the_same(spark):
+    rng = np.random.default_rng(2)
+    counts = spark.createDataFrame([(int(g), c, float(v)) for g in range(20) for c, v in enumerate(rng.poisson(2, 50)) if v], "feature_idx long, cell_idx long, value double")
+    held = V.value_histogram(counts)
+    moments = V.mean_variance(counts, 50)
+    assert {r.feature_idx: pytest.approx(tuple(r)) for r in moments.collect()} == {r.feature_idx: tuple(r) for r in V.mean_variance(held, 50).collect()}
+    sd = moments.selectExpr("feature_idx", "mean", "1.5 as sd")
+    assert {r[0]: pytest.approx(r[1]) for r in V.standardized_variance(counts, sd, 50).collect()} == {r[0]: r[1] for r in V.standardized_variance(held, sd, 50).collect()}
+
+
+def test_numbering_is_written_once(spark):
+    """One table in order of the key; places and prefix sums need no window over all rows."""
+    rows = spark.range(500).selectExpr("(id * 37) % 500 as k", "id % 3 as w").repartition(6)
+    got = with_index(rows, ["k"], "place", {"before": "w"}).orderBy("k").collect()
+    assert [r.place for r in got] == list(range(500))
+    sums = np.concatenate([[0], np.cumsum([r.w for r in got])[:-1]])
+    assert [r.before for r in got] == sums.tolist()
+    plan = with_index(rows, ["k"], "place")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "Window [row_number" not in plan
