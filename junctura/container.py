@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 import warnings
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,20 +57,68 @@ class CountSet:
         keep = features.select("feature_idx").distinct()
         return replace(self, var=self.var.join(keep, "feature_idx", "left_semi"), layers={n: x.join(keep, "feature_idx", "left_semi") for n, x in self.layers.items()}, meta=self.meta | {"m2_valid": False}, results={})
 
-    def save(self, path: str) -> None:
-        """Parquet folders obs, var and layers/<name>, and the settings as JSON."""
-        spark = self.obs.sparkSession
-        self.obs.write.mode("overwrite").parquet(f"{path}/obs")
-        self.var.write.mode("overwrite").parquet(f"{path}/var")
+    def save(self, path: str, buckets: int | None = None) -> None:
+        """A snapshot: obs, var, layers and the tables of results go to a new folder under path, and `meta`, which names it, is put
+        in place last and at once. Readers see the old set or the new one, whatever fails; a set that was loaded from path can
+        be saved there. With `buckets`, layers are bucketed by feature and cell, so that joining them and adding up by feature
+        and cell needs no shuffle after load()."""
+        spark, data = self.obs.sparkSession, f"data-{uuid.uuid4().hex}"
+        self.obs.write.parquet(f"{path}/{data}/obs")
+        self.var.write.parquet(f"{path}/{data}/var")
         for name, rows in self.layers.items():
-            rows.write.mode("overwrite").parquet(f"{path}/layers/{name}")
-        spark.createDataFrame([(json.dumps({NAMESPACE: self.meta, "layers": list(self.layers)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+            if buckets:
+                rows.write.bucketBy(buckets, "feature_idx", "cell_idx").sortBy("feature_idx", "cell_idx").option("path", f"{path}/{data}/layers/{name}").saveAsTable(f"layer_{uuid.uuid4().hex}")
+            else:
+                rows.write.parquet(f"{path}/{data}/layers/{name}")
+        for i, held in enumerate(self.results.values()):
+            for table in RESULT_TABLES:
+                getattr(held, table).write.parquet(f"{path}/{data}/results/{i}/{table}")
+        told = {NAMESPACE: self.meta, "layers": {n: rows._jdf.schema().toDDL() if buckets else None for n, rows in self.layers.items()}, "buckets": buckets, "results": {key: held.metadata for key, held in self.results.items()}, "data": data}
+        put_text(spark, json.dumps(told), f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str, older: str | None = None) -> CountSet:
-        """`older` is a key under which an earlier program left its settings."""
-        held = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-        return CountSet(spark.read.parquet(f"{path}/obs"), spark.read.parquet(f"{path}/var"), {n: spark.read.parquet(f"{path}/layers/{n}") for n in held["layers"]}, namespace(held, older))
+        """The last snapshot. `older` is a key under which an earlier program left its settings; settings that don't name a
+        snapshot go with the tables beside them, or with the latest snapshot."""
+        from .operators.association import AssociationResult
+
+        held = json.loads("\n".join(r["value"] for r in spark.read.text(f"{path}/meta").collect()))
+        base = f"{path}/{held['data']}" if "data" in held else _beside(spark, path)
+
+        def layer(name: str) -> DataFrame:
+            if not held.get("buckets"):
+                return spark.read.parquet(f"{base}/layers/{name}")
+            table = f"layer_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {table} ({held['layers'][name]}) USING parquet CLUSTERED BY (feature_idx, cell_idx) SORTED BY (feature_idx, cell_idx) INTO {int(held['buckets'])} BUCKETS LOCATION '{base}/layers/{name}'")
+            return spark.table(table)
+
+        results = {key: AssociationResult(*[spark.read.parquet(f"{base}/results/{i}/{t}") for t in RESULT_TABLES], metadata) for i, (key, metadata) in enumerate(held.get("results", {}).items())}
+        return CountSet(spark.read.parquet(f"{base}/obs"), spark.read.parquet(f"{base}/var"), {n: layer(n) for n in held["layers"]}, namespace(held, older), results)
+
+
+RESULT_TABLES = ("observed", "statistics", "null_distribution")
+
+
+def put_text(spark: SparkSession, text: str, path: str) -> None:
+    """A file of this text in place of what is at path, by one rename."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}-{uuid.uuid4().hex}"))
+    fs = to.getFileSystem(conf)
+    out = fs.create(new)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(to) and fs.getFileStatus(to).isDirectory():  # as earlier versions wrote it
+        fs.delete(to, True)
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(to), over)
+
+
+def _beside(spark: SparkSession, path: str) -> str:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(folder)}
+    return path if "obs" in found else f"{path}/{max((n for n in found if n.startswith('data-')), key=found.get)}"
 
 
 def namespace(held: dict[str, Any], older: str | None = None) -> dict[str, Any]:
@@ -106,7 +156,24 @@ def validate_events(counts: CountSet) -> None:
     if seen["n"] != seen["names"]:
         raise ValueError("var names are not unique")
     if seen["odd"]:
-        raise ValueError("var['group_kind'] must be S or E")
+        raise ValueError("events of a group_kind other than S and E")
+
+
+def validation_report(counts: CountSet) -> DataFrame:
+    """(rule, n): how many rows break each rule of a set of events, in place of the first error that the validate functions
+    raise. names: events of a name that another has; kinds: of a kind other than S and E; group_count: whose group has another
+    number of members; values: counts that are null, negative or no number; repeated: counts beyond the first of an event and
+    cell; features, cells: counts of events and cells that the set lacks."""
+    var, m1 = counts.var, counts.layers["M1"]
+    named = var.groupBy("name").agg(F.count("*").alias("k")).agg(F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("n"))
+    kinds = var.agg(F.sum(F.when(F.col("group_kind").isin("S", "E"), 0).otherwise(1)).alias("n"))
+    sizes = var.groupBy("group_id").agg(F.count("*").alias("k"))
+    members = var.join(sizes, "group_id").agg(F.sum(F.when(F.col("group_count") == F.col("k"), 0).otherwise(1)).alias("n"))
+    values = m1.agg(F.sum(F.when((F.col("value") >= 0) & ~F.isnan("value"), 0).otherwise(1)).alias("n"))
+    repeated = m1.groupBy("feature_idx", "cell_idx").agg((F.count("*") - 1).alias("k")).agg(F.sum("k").alias("n"))
+    lost = lambda other, key: m1.groupBy(key).agg(F.count("*").alias("k")).join(other.select(key), key, "left_anti").agg(F.sum("k").alias("n"))
+    rules = {"names": named, "kinds": kinds, "group_count": members, "values": values, "repeated": repeated, "features": lost(var, "feature_idx"), "cells": lost(counts.obs, "cell_idx")}
+    return reduce(DataFrame.unionByName, [found.select(F.lit(rule).alias("rule"), F.coalesce("n", F.lit(0)).cast("long").alias("n")) for rule, found in rules.items()])
 
 
 def make_exclusion(counts: CountSet) -> CountSet:

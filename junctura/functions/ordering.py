@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,13 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """staged(df), and what aggregates of its rows come to, taken while they are written: checks need no job of their own."""
+    seen = Observation()
+    out = staged(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]))
+    return out, seen.get
+
+
 #: Bits of a place within a partition, below the partition's number.
 WITHIN = 33
 

@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import event_name, row_name, splice_key, with_index
+from ..functions import event_name, measured, row_name, splice_key, with_index
 
 KEY = ["chr", "start", "end", "strand"]
 KINDS = {"start_end": ("S", "E"), "start": ("S",), "end": ("E",)}
@@ -65,16 +65,17 @@ def filter_min_counts(events: DataFrame, m1: DataFrame, min_counts: int) -> Data
 
 
 def checked_min_counts(events: DataFrame, m1: DataFrame, min_counts: int) -> DataFrame:
-    """filter_min_counts() with the reader's warnings and errors, for which it counts rows."""
-    kept = filter_min_counts(events, m1, min_counts)
-    if min_counts > 0:
-        before, after = events.count(), kept.count()
-        totals = m1.groupBy("event_idx").agg(F.sum("value").alias("t")).where(F.col("t") >= min_counts).select("event_idx")
-        passed = events.join(totals, "event_idx", "left_semi").count()
-        if not passed:
-            raise ValueError(f"none of {before} events has min_counts={min_counts}")
-        if passed > after:
-            warnings.warn(f"{passed - after} events have min_counts={min_counts} but are dropped, as no other of their group has", stacklevel=3)
-        if not after:
-            raise ValueError(f"with min_counts={min_counts} no group has two events left")
-    return kept
+    """filter_min_counts() with events numbered anew (the former number is `_old`), and with the reader's warnings and errors,
+    whose numbers are taken while the tables are written."""
+    totals = m1.groupBy("event_idx").agg(F.sum("value").alias("_total"))
+    passes = F.coalesce("_total", F.lit(0.0)) >= min_counts
+    scored, seen = measured(events.join(totals, "event_idx", "left").withColumn("_passes", passes).drop("_total"), n=F.count(F.lit(1)), passed=F.sum(F.when(F.col("_passes"), 1).otherwise(0)))
+    if not seen["passed"]:
+        raise ValueError(f"none of {seen['n']} events has min_counts={min_counts}")
+    kept = scored.where("_passes").drop("_passes").withColumn("group_count", F.count("*").over(Window.partitionBy("group_key")).cast("int")).where("group_count > 1")
+    fresh, after = measured(number_events(kept.withColumnRenamed("event_idx", "_old").drop("group_id")), n=F.count(F.lit(1)))
+    if seen["passed"] > after["n"]:
+        warnings.warn(f"{seen['passed'] - after['n']} events have min_counts={min_counts} but are dropped, as no other of their group has", stacklevel=3)
+    if not after["n"]:
+        raise ValueError(f"with min_counts={min_counts} no group has two events left")
+    return fresh

@@ -263,27 +263,27 @@ deviances AS (SELECT event_idx, any_value(b1) AS b1, any_value(cells) AS cells,
   FROM (SELECT event_idx, y, n, b1, cells, least(greatest(1 / (1 + exp(-(b0 + b1 * z))), 1e-8), 1 - 1e-8) AS p, least(greatest(sy / sn, 1e-8), 1 - 1e-8) AS q FROM leveled JOIN fits USING (event_idx) JOIN totals USING (event_idx)) GROUP BY event_idx)
 SELECT event_idx, round(CASE WHEN r2 >= -1e-12 THEN sqrt(greatest(0, r2)) END * CASE WHEN b1 >= 0 THEN 1 ELSE -1 END, 5) + 0.0 AS observed
 FROM numbered LEFT JOIN (SELECT event_idx, b1, {r2} AS r2 FROM deviances) USING (event_idx)"""
-_COX_SNELL = f"WITH RECURSIVE {_CORRELATION.replace('{r2}', '1 - exp((full_d - null_d) / cells)')}"
-_NAGELKERKE = f"WITH RECURSIVE {_CORRELATION.replace('{r2}', '(1 - exp((full_d - null_d) / cells)) / (1 - exp(-null_d / cells))')}"
+COX_SNELL = f"WITH RECURSIVE {_CORRELATION.replace('{r2}', '1 - exp((full_d - null_d) / cells)')}"
+NAGELKERKE = f"WITH RECURSIVE {_CORRELATION.replace('{r2}', '(1 - exp((full_d - null_d) / cells)) / (1 - exp(-null_d / cells))')}"
 
 
-@query(_COX_SNELL)
+@query(COX_SNELL)
 def pseudo_corr_coxsnell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _correlations(spark, sf_dir, "CoxSnell")
 
 
-@query(_NAGELKERKE)
+@query(NAGELKERKE)
 def pseudo_corr_nagelkerke(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _correlations(spark, sf_dir, "Nagelkerke")
 
 
-@query(_COX_SNELL)
+@query(COX_SNELL)
 def pseudo_corr_coxsnell_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with all events' cells spread over tasks, as an event of any size is fitted."""
     return _correlations(spark, sf_dir, "CoxSnell", split=0)
 
 
-@query(_NAGELKERKE)
+@query(NAGELKERKE)
 def pseudo_corr_nagelkerke_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _correlations(spark, sf_dir, "Nagelkerke", split=0)
 

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..container import CountSet, event_pairs, make_exclusion
+from ..analysis import highly_variable_events, pseudo_correlation, result
+from ..container import CountSet, event_pairs, make_exclusion, validation_report
 from ..functions import shared_folder, staged, with_index
 from ..sources import read_genes, read_junctions, read_velocity
-from .proxy import junction_reads, table
-from .queries import query
+from .proxy import events_and_counts, junction_reads, libraries, table
+from .queries import COX_SNELL, EVENTS, LIBRARY, query
 
 SAMPLES = ("s0", "s1")
 
@@ -135,8 +136,9 @@ def genes(spark: SparkSession, sf_dir: str, sample: str) -> DataFrame:
     return numbered(own.join(parts, "l_partkey").withColumn("back", -F.col("l_partkey")), ["back"])
 
 
-def write_genes(spark: SparkSession, sf_dir: str, velocity: bool = False) -> str:
-    """Two samples of genes; of velocity counts the first has its layers apart and the second stacked."""
+def write_genes(spark: SparkSession, sf_dir: str, velocity: bool = False, layouts: bool = False) -> str:
+    """Two samples of genes; of velocity counts the first has its layers apart and the second stacked; of layouts the first has
+    a second raw matrix of twice the counts, and the second a filtered one of the listed cells."""
     base = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
     for sample in SAMPLES:
         cells, own = cells_of(spark, sf_dir, sample), genes(spark, sf_dir, sample)
@@ -151,6 +153,13 @@ def write_genes(spark: SparkSession, sf_dir: str, velocity: bool = False) -> str
         write_lists(cells.withColumn("place", F.col("place") + 1).where("s_acctbal > 5000"), [F.concat_ws(",", "barcode", F.lit(1), "s_nationkey", "cell", "s_acctbal", F.lit(0.5))], f"{base}/{sample}/positions.csv")
         if not velocity:
             write_matrix(counts, (n, m), f"{raw}/matrix.mtx")
+            if layouts and sample == "s0":
+                write_matrix(counts.withColumn("value", 2 * F.col("value")), (n, m), f"{raw}/UniqueAndMult-EM.mtx")
+            elif layouts:
+                kept = numbered(cells.where("s_acctbal > 0").select("cell", F.col("place").alias("col")), ["cell"]).select("col", "place")
+                filtered = f"{base}/{sample}/Solo.out/Gene/filtered"
+                write_lists(own, ["l_partkey", "symbol", F.lit("Gene Expression")], f"{filtered}/features.tsv")
+                write_matrix(counts.join(kept, "col").select("row", F.col("place").alias("col"), "value"), (n, kept.count()), f"{filtered}/matrix.mtx")
         elif sample == "s0":
             for i, layer in enumerate(("spliced", "unspliced", "ambiguous")):
                 write_matrix(counts.where(F.col("block") == i).drop("block"), (n, m), f"{raw}/{layer}.mtx")
@@ -201,3 +210,63 @@ def read_gene_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique names of genes by symbol, some of which look like numbered ones."""
     base = write_genes(spark, sf_dir)
     return read_genes(spark, [f"{base}/{s}" for s in SAMPLES], SAMPLES, use_internal_whitelist=False, var_names="gene_symbols").var.select(F.col("gene_id").alias("gene"), "name")
+
+
+def event_set(spark: SparkSession, sf_dir: str) -> CountSet:
+    """Events, their counts and cells with libraries as a set; names tell strands apart."""
+    events, m1 = events_and_counts(spark, sf_dir)
+    var = events.withColumn("name", F.concat("name", "strand")).withColumnRenamed("event_idx", "feature_idx")
+    obs = libraries(spark, sf_dir).withColumnRenamed("library", "sample_id")
+    return CountSet(obs, var, {"M1": m1.select(F.col("event_idx").alias("feature_idx"), "cell_idx", F.col("value").cast("double").alias("value"))})
+
+
+def saved(counts: CountSet, **how) -> CountSet:
+    spark = counts.obs.sparkSession
+    path = f"{shared_folder(spark)}/set-{uuid.uuid4().hex}"
+    counts.save(path, **how)
+    return CountSet.load(spark, path)
+
+
+@query(COX_SNELL)
+def association_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An association with two draws that is saved with its set, loaded, and read by result()."""
+    counts = make_exclusion(event_set(spark, sf_dir))
+    cells = staged(counts.obs.groupBy().agg(F.array_sort(F.collect_list("cell_idx")).alias("cells")))
+    z = counts.var.select("feature_idx", "start", "end").join(F.broadcast(cells)).select("feature_idx", F.transform("cells", lambda c: ((7 * c + 3 * F.col("start") + F.col("end")) % 2).cast("double")).alias("z"))
+    found = result(saved(pseudo_correlation(counts, z, n_permutations=2, seed=1)))
+    events = counts.var.select(F.col("feature_idx").alias("event_idx"))
+    return events.join(found.observed, "event_idx", "left").select("event_idx", (F.round("observed", 5) + 0.0).alias("observed"))
+
+
+@query(f"""WITH {LIBRARY}, ranked AS (SELECT event_idx, row_number() OVER (ORDER BY deviance DESC, event_idx) AS r FROM scores)
+SELECT n.event_idx, round(deviance, 5) AS sum_deviance, r IS NOT NULL AND r <= 500 AS highly_variable FROM numbered n LEFT JOIN ranked USING (event_idx) LEFT JOIN scores USING (event_idx)""")
+def hve_of_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highly variable events of a set whose layers were saved in buckets: their join and first sums are made in place."""
+    held = saved(make_exclusion(event_set(spark, sf_dir)), buckets=16)
+    return highly_variable_events(held, n_top=500).var.select(F.col("feature_idx").alias("event_idx"), F.round("sum_deviance", 5).alias("sum_deviance"), "highly_variable")
+
+
+@query(f"""WITH {EVENTS}, items AS (SELECT e.event_idx, r.cell_idx, r.value FROM reads r JOIN numbered e USING (chr, "start", "end", strand)),
+wanted AS (SELECT * FROM numbered WHERE n < 12), names AS (SELECT chr || "start" || '-' || "end" || kind AS name, count(*) AS k FROM wanted GROUP BY ALL)
+SELECT 'names' AS rule, CAST(coalesce(sum(k), 0) AS BIGINT) AS n FROM names WHERE k > 1
+UNION ALL SELECT 'kinds', 0 UNION ALL SELECT 'group_count', 0 UNION ALL SELECT 'values', count(*) FROM items WHERE value < 0
+UNION ALL SELECT 'repeated', CAST(count(*) - count(DISTINCT (event_idx, cell_idx)) AS BIGINT) FROM items
+UNION ALL SELECT 'features', count(*) FROM items ANTI JOIN wanted USING (event_idx) UNION ALL SELECT 'cells', count(*) FROM items ANTI JOIN (SELECT s_suppkey AS cell_idx FROM supplier WHERE s_acctbal > 0) USING (cell_idx)""")
+def validation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of a set that breaks some: names without strands, a count per line item, no large groups, listed cells only."""
+    events, _ = events_and_counts(spark, sf_dir)
+    items = junction_reads(spark, sf_dir).join(events.select("chr", "start", "end", "strand", "event_idx"), ["chr", "start", "end", "strand"])
+    var = events.where("group_count < 12").withColumnRenamed("event_idx", "feature_idx")
+    obs = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("cell_idx"))
+    return validation_report(CountSet(obs, var, {"M1": items.select(F.col("event_idx").alias("feature_idx"), "cell_idx", F.col("value").cast("double").alias("value"))}))
+
+
+@query("""WITH own AS (SELECT 's' || (s_nationkey % 2) AS sample, s_acctbal, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT CAST(l_partkey AS VARCHAR) AS gene, 'ACGT' || l_suppkey || '-' || sample AS cell, CAST(sum(CASE sample WHEN 's0' THEN 2 * value ELSE value END) AS DOUBLE) AS value FROM own WHERE s_acctbal > 0 GROUP BY ALL""")
+def read_gene_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout that is found: the first sample has a raw matrix and, before it, one of expectation-maximisation with twice
+    the counts; the second has a filtered matrix beside the raw one."""
+    base = write_genes(spark, sf_dir, layouts=True)
+    found = read_genes(spark, [f"{base}/{s}" for s in SAMPLES], SAMPLES, matrix_source="auto")
+    joined = found.layers["X"].join(found.var.select("feature_idx", F.col("gene_id").alias("gene")), "feature_idx").join(found.obs.select("cell_idx", "cell"), "cell_idx")
+    return joined.select("gene", "cell", "value")
