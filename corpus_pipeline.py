@@ -21,12 +21,16 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(row.alias("row"), F.coalesce(own["doc_id"].cast("long"), F.xxhash64(text)).alias("id"), own["text"].alias("text"), own["source"].alias("source") if "source" in own else F.lit(None).cast("string").alias("source"), key.alias("key"), F.xxhash64(F.lit(2), *reversed(hashed)).alias("sum"))
 
 
-def _once(rows: DataFrame, *more: str) -> DataFrame:
-    """Rows (key, sum, row, n, more...), with one of each set of equal rows; n is how many rows have the key. Rows that are
-    alone in their key pass by; others are aggregated in their tasks first, so that a row that is a third of the table
-    comes once from each task."""
-    alone = rows.where("n = 1").select("row", *more)
-    return alone.unionByName(rows.where("n > 1").groupBy("key", "sum").agg(*[F.first(c).alias(c) for c in ("row", *more)]).select("row", *more))
+def _once(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted keys (key, n, more...: n rows have the key), one of each set of equal rows, with more. Where keys
+    are repeated, rows that are alone in theirs pass by, and others are aggregated in their tasks first: a row that is a third
+    of the table comes once from each task."""
+    wanted = stage(wanted, "pipeline-keys")
+    rows = named.select("row", "key", "sum").join(wanted, "key")
+    if not wanted.where("n > 1").limit(1).count():
+        return rows
+    repeated = rows.where("n > 1").groupBy("key", "sum").agg(*[F.first(c).alias(c) for c in rows.columns if c not in ("key", "sum")])
+    return rows.where("n = 1").unionByName(repeated)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.similar_documents(named.select("key", "text"), key="key")
     counts = named.groupBy("key", "id").agg(F.count("*").alias("n"))
     least = groups.distinct().join(counts, "key").groupBy("component_id").agg(F.min(F.struct("id", "key", "n")).alias("least"))
-    return _once(named.join(least.select("least.key", "least.n"), "key")).select("row.*")
+    return _once(named, least.select("least.key", "least.n")).select("row.*")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +58,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     taken = mixing.mix(named.select("key", "text", "source"), key="key")["taken"]
     # Equal rows take what all of them are given together.
     times = taken.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.when(F.col("taken") > 0, F.expr("(taken + size - 1) div size")).otherwise(0)).alias("times"))
-    rows = _once(named.join(times.where("times > 0"), "key"), "times")
-    return rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
+    return _once(named, times.where("times > 0")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
