@@ -62,7 +62,8 @@ def schedule(targets: DataFrame, block: int = 1024, run: int = 4096) -> DataFram
     placed = cells.withColumn("position", F.conv(F.reverse(F.lpad(F.bin("cell"), F.col("bits"), F.lit("0"))), 2, 10).cast("long")).withColumn("stretch", F.expr(f"position div {16 * run}"))
     kept = placed.select("skey", "position", "stretch", "blocks", "passes", "rest")
     counts = kept.groupBy("skey", "stretch").count().withColumn("before", F.sum("count").over(Window.partitionBy("skey").orderBy("stretch")) - F.col("count")).select("skey", "stretch", "before")
-    ranked = kept.join(counts, ["skey", "stretch"]).withColumn("nth", F.col("before") + F.row_number().over(Window.partitionBy("skey", "stretch").orderBy("position")) - 1)
+    # A schedule is made from a row per source, so Spark takes it for small and would send it to every task.
+    ranked = kept.join(counts.hint("merge"), ["skey", "stretch"]).withColumn("nth", F.col("before") + F.row_number().over(Window.partitionBy("skey", "stretch").orderBy("position")) - 1)
     return ranked.select(
         "position", "skey", "nth",
         F.expr("nth % blocks").alias("block"),
@@ -103,7 +104,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, repe
     )
     slots = schedule(targets, block)
     # A block has at most `repeats` slots, so the join makes at most that many rows of a piece.
-    met = pieces.join(slots.select("skey", "block", "used"), ["skey", "block"], "left").withColumn("took", F.greatest(F.lit(0), F.least(F.col("until"), F.coalesce("used", F.lit(0))) - F.col("from")))
+    met = pieces.join(slots.select("skey", "block", "used").hint("merge"), ["skey", "block"], "left").withColumn("took", F.greatest(F.lit(0), F.least(F.col("until"), F.coalesce("used", F.lit(0))) - F.col("from")))
     taken = met.groupBy("skey", "start").agg(*[F.first(c).alias(c) for c in ("key", "size", "source_size", "target")], F.sum("took").alias("taken"))
     columns = [F.col("key").alias(key), "size", "source_size", "target", "taken"]
     nothing = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
