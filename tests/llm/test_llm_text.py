@@ -364,6 +364,46 @@ def test_toxicity_of_misspelt_and_quoted_terms(spark):
     assert scorer.misspell("a Moron") != "a moron" and scorer.features(scorer.misspell("a Moron"))[2] > 0
 
 
+def area(pairs):
+    """The share of pairs of a toxic and another row in which the toxic one scores higher."""
+    toxic, other = ([s for s, y in pairs if y == k] for k in (1, 0))
+    return sum((a > b) + 0.5 * (a == b) for a in toxic for b in other) / (len(toxic) * len(other))
+
+
+def test_toxicity_finds_toxic_rows(spark, sf):
+    """Recall and the area under the curve, which scores that never call a row toxic fail."""
+    docs, labels = common.table(spark, sf.replace("0.001", "0.01"), "documents"), common.table(spark, sf.replace("0.001", "0.01"), "labels")
+    got = {r.doc_id: r for r in toxicity.toxic_scores(docs, labels).collect()}
+    known = [(got[r.doc_id], r.toxic) for r in labels.where("toxic is not null").collect()]
+    held = [(r.score, y) for r, y in known if r.held_out]
+    caught = [r.predicted for r, y in known if y == 1]
+    assert area(held) >= 0.8 and sum(r.predicted for r, y in known if r.held_out and y == 1) >= 0.5 * sum(y for _, y in held)
+    assert sum(caught) >= 0.7 * len(caught) and sum(r.predicted for r, y in known if y == 0) <= 0.05 * len(known)
+    assert area([(0.0, y) for _, y in held]) == 0.5
+
+
+def test_toxicity_of_planted_rows(spark):
+    """Two in three rows with terms are toxic; in the others the terms are quoted. Both kinds are told apart on new rows."""
+    rng = np.random.default_rng(5)
+    plain = ["".join(rng.choice(list("abcdeilnorst"), int(rng.integers(2, 9)))) for _ in range(500)]
+    terms = ["moron", "loser", "disgusting", "trash", "idiot"]
+
+    def text(kind):
+        words = rng.choice(plain, 40).tolist()
+        for t in rng.choice(terms, 3):
+            words.insert(int(rng.integers(len(words))), t if kind == 1 else f'they said "{t}" there')
+        return " ".join(words if kind else words[:40])
+
+    kinds = [(1, 2, 0, 1, 0, 0)[i % 6] for i in range(900)]
+    rows = [(i, text(k) if k else " ".join(rng.choice(plain, 40))) for i, k in enumerate(kinds)]
+    labels = spark.createDataFrame([(i, int(k == 1)) for i, k in enumerate(kinds)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxic_scores(documents(spark, rows), labels).collect()}
+    held = [(got[i], k) for i, k in enumerate(kinds) if got[i].held_out]
+    recall = lambda kind, want: sum(r.predicted == want for r, k in held if k == kind) / sum(k == kind for _, k in held)
+    assert recall(1, 1) >= 0.95 and recall(2, 0) >= 0.95 and recall(0, 0) >= 0.98
+    assert area([(r.score, int(k == 1)) for r, k in held]) >= 0.97
+
+
 def test_toxicity_edges(spark):
     assert toxicity.reject(documents(spark, [(1, None), (None, "x"), (None, "x")]), spark.createDataFrame([], "doc_id long, toxic int")).count() == 3
     rows = documents(spark, [(1, None), (2, ""), (None, "x"), (2, "")])
