@@ -74,6 +74,8 @@ def test_matrices_are_checked(spark, tmp_path):
 def test_names_that_look_numbered(spark):
     rows = spark.createDataFrame(list(enumerate(["A", "A-1", "A", "A", "A-3", "A-1", "B", "A"])), "i long, s string")
     assert [r.name for r in make_unique(rows, "s", "i", "name").orderBy("i").collect()] == ["A", "A-1", "A-2", "A-4", "A-3", "A-1-1", "B", "A-5"]
+    odd = spark.createDataFrame([(0, None), (1, "nan"), (2, None), (3, "nan-1")], "i int, s string").repartition(3)
+    assert [r.name for r in make_unique(odd, "s", "i", "name").orderBy("i").collect()] == ["nan", "nan-2", "nan-3", "nan-1"]
 
 
 def test_filters_and_errors(spark, tmp_path):
