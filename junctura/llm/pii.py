@@ -53,8 +53,9 @@ PLACES = frozenset("London Paris Berlin Madrid Rome Vienna Zurich Hamburg Munich
 LABELERS = 5
 #: Classes of a span's length and of its characters, which the classifier sees beside the votes.
 LENGTHS, CHARACTERS = 3, 3
-#: Chances that a true and a false span pass what can be checked in them.
-CHECKED = (0.995, 0.1)
+#: What labelers' chances to vote in favour of true and of false spans start from, and as how many votes that counts: few
+#: true spans fail what can be checked in them, and few false ones pass it.
+BEFORE = ((0.8, 0.2, 2), (0.995, 0.1, 400), (0.8, 0.2, 2), (0.8, 0.2, 2), (0.8, 0.2, 2))
 
 
 def luhn(digits: str) -> bool:
@@ -217,9 +218,9 @@ def reliabilities(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
     """The probability of each pattern's spans to be personal data, by expectation-maximisation over the vote counts.
 
     For each kind: a prior and, for each labeler, its chances to vote for and against true and false spans, where it votes;
-    votes are independent given the truth. No labeler is worse than chance: where its votes would speak for the other side,
-    they say nothing. The chances of what is checked in a span (CHECKED) are known and not learnt: few true spans fail
-    a check, and few false ones pass it. Starts from the share of the votes in favour.
+    votes are independent given the truth. All chances are estimated, with some votes beforehand (BEFORE). No labeler is worse
+    than chance: where its votes would speak for the other side, they say nothing. Starts from the share of the votes in
+    favour.
     """
     out: dict[int, float] = {}
     for k in range(len(KINDS)):
@@ -233,10 +234,8 @@ def reliabilities(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
             prior = (n @ q + 1) / (n.sum() + 2)
             odds = np.full(len(own), np.log(prior / (1 - prior)))
             for j in range(LABELERS):
-                if j == 1:
-                    true, false = CHECKED
-                else:  # chances to vote in favour, with two votes of its own for each side
-                    true, false = (((n * w)[v[:, j] == 1].sum() + own_votes) / ((n * w)[v[:, j] != 0].sum() + 2) for w, own_votes in ((q, 1.6), (1 - q, 0.4)))
+                *expected, own_votes = BEFORE[j]
+                true, false = (((n * w)[v[:, j] == 1].sum() + own_votes * e) / ((n * w)[v[:, j] != 0].sum() + own_votes) for w, e in zip((q, 1 - q), expected))
                 if true > false:
                     odds += np.where(v[:, j] == 1, np.log(true / false), np.where(v[:, j] == -1, np.log((1 - true) / (1 - false)), 0.0))
             q = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
