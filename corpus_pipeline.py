@@ -10,6 +10,17 @@ from junctura.llm import mixing, ngram_join, packing, pii, toxicity
 from junctura.llm.common import stage, table
 
 
+#: Documents that go to Python at a time, where the session has Spark's own number: its 10,000 texts take tens of MB, several
+#: times over, in each task.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name, default, few = BATCH
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, few)
+
+
 def _named(docs: DataFrame) -> DataFrame:
     """For each row of docs: row, all of its columns; id, or a hash of its text where it has none; text and source; and key and
     sum, two hashes of the row. Rows of one key are equal, or differ in columns that can't be hashed (maps) alone. Whatever
@@ -35,11 +46,13 @@ def _once(named: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5."""
+    _small_batches(spark)
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id; of repeated rows one."""
+    _small_batches(spark)
     named = _named(docs)
     groups = ngram_join.similar_documents(named.select("key", "text"), key="key")
     counts = named.groupBy("key", "id").agg(F.count("*").alias("n"))
@@ -49,11 +62,13 @@ def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data masked."""
+    _small_batches(spark)
     return pii.mask(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, a part counting as a whole; so at most three times, or not at all."""
+    _small_batches(spark)
     named = _named(docs)
     taken = mixing.mix(named.select("key", "text", "source"), key="key")["taken"]
     # Equal rows take what all of them are given together.
@@ -63,6 +78,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of the documents' token pieces in sequences."""
+    _small_batches(spark)
     return packing.pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
