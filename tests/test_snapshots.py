@@ -126,3 +126,14 @@ def test_matrix_is_scanned_once(spark, tmp_path):
         put(tmp_path / f"e{e}.mtx", "%%MatrixMarket matrix coordinate integer general\n% none\n")
     with pytest.raises(ValueError, match="no dimension line"):
         mtx.header(spark, str(tmp_path / "e0.mtx"))
+
+
+def test_tables_are_exported(spark, counts, tmp_path):  # noqa: F811
+    """Result tables have plain columns: written as CSV and read again, they are the same."""
+    held, _, z = counts
+    found = result(pseudo_correlation(held, frame(spark, z), n_permutations=5, seed=2))
+    for table in (found.statistics, found.null_distribution, found.observed):
+        path = str(tmp_path / "-".join(sorted(table.columns))[:40])
+        table.write.option("header", True).csv(path)
+        again = spark.read.option("header", True).schema(table.schema).csv(path)
+        assert rows(again) == rows(table)
