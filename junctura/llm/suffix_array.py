@@ -1,4 +1,4 @@
-"""Suffix arrays of byte strings by induced sorting, with numpy vectors in place of single steps."""
+"""Suffix arrays by induced sorting with true recursion, on numpy vectors in place of single steps."""
 
 from __future__ import annotations
 
@@ -39,104 +39,125 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 def smaller_types(data: np.ndarray) -> np.ndarray:
     """For each suffix, whether it is smaller than its right neighbour (S type). The end is smaller than all."""
     n = len(data)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(data[1:].astype(np.int16) - data[:-1].astype(np.int16))
-    step[-1] = -1
-    at = np.where(step != 0, np.arange(n), n)
+    rising = np.append(data[1:] > data[:-1], False)
+    at = np.where(np.append(data[1:] != data[:-1], True), np.arange(n), n)
     nearest = np.minimum.accumulate(at[::-1])[::-1]  # the next place where neighbours differ decides
-    return step[nearest] > 0
-
-
-def _append(queues: list[list[np.ndarray]], chars: np.ndarray, places: np.ndarray) -> None:
-    order = np.argsort(chars, kind="stable")
-    chars, places = chars[order], places[order]
-    cuts = np.flatnonzero(chars[1:] != chars[:-1]) + 1
-    start = 0
-    for end in [*cuts.tolist(), len(chars)]:
-        queues[chars[start]].append(places[start:end])
-        start = end
+    return rising[nearest]
+
+
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative integers below 2^32, by counting in 16-bit digits where there are many."""
+    if values.dtype.itemsize <= 2 or len(values) < 1 << 12:
+        return np.argsort(values, kind="stable")
+    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    return order[np.argsort((values >> 16).astype(np.uint16)[order], kind="stable")]
+
+
+def ranks_within(sorted_values: np.ndarray) -> np.ndarray:
+    """For each of some sorted values, how many equal ones stand before it."""
+    n = len(sorted_values)
+    starts = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if n else np.empty(0, np.int64)
+    return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+
+
+def scanned(chars: np.ndarray, back: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, opening: bool) -> np.ndarray:
+    """The places of `wanted` type in order of their suffixes, in one pass over the characters from small to large.
+
+    What is handled is runs of one character, by their last place: a run gets its slot when the run after it is met, and a
+    seed (a place of the other type, in order) is met after the runs of its bucket. A bucket is whole when all its slots are
+    taken, so as many whole buckets as there are go together as vectors; places of a run follow as rounds, those with fewer
+    equal characters (`back`) still to come first. `opening`: the end of the string comes before all.
+    """
+    n = len(chars)
+    ends = np.flatnonzero(wanted & np.append(chars[1:] != chars[:-1], True))
+    letters = int(chars.max()) + 1
+    runs = np.bincount(chars[ends], minlength=letters)
+    begin = np.zeros(letters + 1, np.int64)
+    np.cumsum(runs + np.bincount(chars[seeds], minlength=letters), out=begin[1:])
+    home = np.repeat(np.arange(letters), np.diff(begin))
+    seeded = begin[:-1] + runs
+    slots = np.full(len(home), -1, np.int64)
+    slots[seeded[chars[seeds]] + ranks_within(chars[seeds])] = seeds
+    head = begin[:-1].copy()
+    if opening:
+        slots[head[chars[n - 1]]] = n - 1
+        head[chars[n - 1]] += 1
+    out = [np.empty(0, np.int64)]
+    at, width, total = 0, 64, len(slots)
+    while at < total:
+        open_ = slots[at : at + width] < 0
+        gap = int(open_.argmax())
+        if not open_[gap]:
+            gap = len(open_)
+        stop = at + gap
+        if stop < total:
+            stop = int(begin[home[stop]])
+            if stop <= at:  # a bucket that is larger than the window
+                stop = int(begin[home[at] + 1])
+        width = max(64, 2 * gap)
+        met, homes = slots[at:stop], home[at:stop]
+        seed = np.arange(at, stop) >= seeded[homes]
+        rounds = back[met]
+        if rounds.any():
+            held, many = met[~seed], rounds[~seed] + 1
+            place = np.repeat(held, many)
+            turn = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
+            order = stable_order(turn)
+            order = order[stable_order(np.repeat(homes[~seed], many)[order])]
+            out.append((place - turn)[order])
+            order = stable_order(np.where(seed, n, rounds))
+            order = order[stable_order(homes[order])]
+            met, rounds = met[order], rounds[order]
+        else:
+            out.append(met[~seed])
+        before = met - rounds - 1
+        before = before[before >= 0]
+        before = before[wanted[before]]
+        if len(before):
+            order = stable_order(chars[before])
+            before = before[order]
+            found = chars[before]
+            rank = ranks_within(found)
+            slots[head[found] + rank] = before
+            last = np.append(found[1:] != found[:-1], True)
+            head[found[last]] += rank[last] + 1
+        at = stop
+    return np.concatenate(out)
 
 
 def induce(data: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
     """All suffixes in order, from the leftmost S-type ones in order: L types from small to large characters, then S types
-    from large to small ones. Each bucket's entries are handled as vectors, in as many rounds as a character repeats."""
-    low: list[list[np.ndarray]] = [[] for _ in range(256)]
-    seeds: list[list[np.ndarray]] = [[] for _ in range(256)]
-    n = len(data)
-    low[data[n - 1]].append(np.array([n - 1]))
-    if len(leftmost):
-        _append(seeds, data[leftmost], leftmost)
-    lows: list[np.ndarray] = []
-    empty = np.empty(0, np.int64)
-    for c in range(256):
-        done, queue = [], low[c]
-        while queue:
-            now = queue[0] if len(queue) == 1 else np.concatenate(queue)
-            queue = []
-            done.append(now)
-            before = now[now > 0] - 1
-            before = before[~small[before]]
-            chars = data[before]
-            same = chars == c
-            if same.any():
-                queue.append(before[same])
-                before, chars = before[~same], chars[~same]
-            if len(before):
-                _append(low, chars, before)
-        if seeds[c]:
-            before = np.concatenate(seeds[c]) - 1
-            before = before[before >= 0]
-            if len(before):
-                _append(low, data[before], before)
-        lows.append(np.concatenate(done) if done else empty)
-    high: list[list[np.ndarray]] = [[] for _ in range(256)]
-    out: list[np.ndarray] = []
-    for c in range(255, -1, -1):
-        done, queue = [], high[c]
-        while queue:
-            now = queue[0] if len(queue) == 1 else np.concatenate(queue)
-            queue = []
-            done.append(now)
-            before = now[now > 0] - 1
-            before = before[small[before]]
-            chars = data[before]
-            same = chars == c
-            if same.any():
-                queue.append(before[same])
-                before, chars = before[~same], chars[~same]
-            if len(before):
-                _append(high, chars, before)
-        if len(lows[c]):
-            before = lows[c][::-1]
-            before = before[before > 0] - 1
-            before = before[small[before]]
-            if len(before):
-                _append(high, data[before], before)
-        out += [*done, lows[c][::-1]]
-    return np.concatenate(out)[::-1]
-
-
-def rank_order(names: np.ndarray) -> np.ndarray:
-    """The order of all suffixes of a string of integers, by doubling: its alphabet is too large for vectors by bucket."""
-    rank = names.astype(np.int64) + 1
-    n, width = len(names), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - width)] = rank[width:]
-        key = rank * np.int64(n + 2) + after
-        order = np.argsort(key, kind="stable")
-        held = key[order]
-        fresh = np.concatenate([[1], (held[1:] != held[:-1]).astype(np.int64)])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        if rank[order[-1]] == n:
-            return order
-        width *= 2
+    from large to small ones, which is the same pass over the characters turned round."""
+    places = np.arange(len(data))
+    back = places - np.maximum.accumulate(np.where(np.append(True, data[1:] != data[:-1]), places, 0))
+    low = scanned(data, back, ~small, leftmost, True)
+    turns = low[low > 0]
+    turns = turns[small[turns - 1]][::-1]
+    high = scanned(data.max() - data, back, small, turns, False)[::-1]
+    begin = np.cumsum(np.bincount(data)) - np.bincount(data)
+    order = np.empty(len(data), np.int64)
+    order[begin[data[low]] + ranks_within(data[low])] = low
+    order[(begin + np.bincount(data[low], minlength=len(begin)))[data[high]] + ranks_within(data[high])] = high
+    return order
+
+
+def unequal(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each substring differs from the one before it; all characters of neighbours of one size are compared."""
+    alike = np.flatnonzero((size[1:] == size[:-1]) & (data[start[1:]] == data[start[:-1]]))
+    differ = np.ones(len(start), bool)
+    if len(alike):
+        sizes = size[alike]
+        opens = np.cumsum(sizes) - sizes
+        step = np.arange(int(sizes.sum())) - np.repeat(opens, sizes)
+        apart = data[np.repeat(start[alike], sizes) + step] != data[np.repeat(start[alike + 1], sizes) + step]
+        differ[alike + 1] = np.logical_or.reduceat(apart, opens)
+    return differ
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffixes are classified; substrings between leftmost S types are put in order by a first induction and named; where
-    names repeat, the string of names is ordered in turn; a second induction gives all suffixes."""
+    """Suffixes are classified; substrings between leftmost S types are put in order by a first induction and named by
+    their characters; where names repeat, the string of names, at most half as long, is ordered in the same way; a second
+    induction gives all suffixes. Takes bytes or non-negative integers that are at most as large as the string is long."""
     n = len(data)
     if n < 2:
         return np.arange(n)
@@ -146,17 +167,16 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         return induce(data, small, left)
     is_left = np.zeros(n, bool)
     is_left[left] = True
-    rough = induce(data, small, left)
+    rough = induce(data, small, left[stable_order(data[left])])
     ordered = rough[is_left[rough]]
-    end = np.empty(n, np.int64)
-    end[left] = np.append(left[1:] + 1, n)
-    hashes = span_hashes(prefix_sums(data), ordered, end[ordered])
-    last = ordered == left[-1]  # ends at the end of the string, and so equals no other
-    differ = (hashes[1:] != hashes[:-1]) | last[1:] | last[:-1]
+    size = np.zeros(n, np.int64)
+    size[left] = np.append(left[1:] + 1, n + 1) - left
+    size[left[-1]] += n  # ends at the end of the string, and so equals no other
+    differ = unequal(data, ordered, size[ordered])
     if not differ.all():
-        name = np.empty(n, np.int64)
-        name[ordered] = np.concatenate([[0], np.cumsum(differ)])
-        ordered = left[rank_order(name[left])]
+        name = np.empty(n, np.int32)
+        name[ordered] = np.cumsum(differ) - 1
+        ordered = left[suffix_array(name[left])]
     return induce(data, small, ordered)
 
 

@@ -311,6 +311,25 @@ def test_suffix_arrays():
             assert common_[c] == min(n, 24)
 
 
+def test_suffix_arrays_recurse():
+    """Strings whose names repeat at many levels, long runs, and integers over a large alphabet."""
+    a, b = b"b", b"ab"
+    while len(b) < 3000:
+        a, b = b, b + a
+    rng = np.random.default_rng(12)
+    phrases = [rng.integers(97, 100, 40).astype(np.uint8).tobytes() for _ in range(4)]
+    mixed = b"".join(phrases[i] for i in rng.integers(0, 4, 80))
+    for data in (b, b[::-1], mixed, b"a" * 2000 + b"b" + b"a" * 1999, b"abcab" * 500, bytes(range(255, -1, -1)) * 8):
+        got = suffix_array.suffix_array(np.frombuffer(data, np.uint8))
+        assert got.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+    for most in (2, 30, 1500):
+        names = rng.integers(0, most, 1500).astype(np.int32)
+        listed = names.tolist()
+        assert suffix_array.suffix_array(names).tolist() == sorted(range(1500), key=lambda i: listed[i:])
+    values = rng.integers(0, 1 << 20, 10_000).astype(np.int32) // 50
+    assert (suffix_array.stable_order(values) == np.argsort(values, kind="stable")).all()
+
+
 # toxicity
 
 
