@@ -49,6 +49,8 @@ def stable_order(values: np.ndarray) -> np.ndarray:
     """Stable order of non-negative integers below 2^32, by counting in 16-bit digits where there are many."""
     if values.dtype.itemsize <= 2 or len(values) < 1 << 12:
         return np.argsort(values, kind="stable")
+    if values.max() < 1 << 16:
+        return np.argsort(values.astype(np.uint16), kind="stable")
     order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
     return order[np.argsort((values >> 16).astype(np.uint16)[order], kind="stable")]
 
@@ -98,7 +100,17 @@ def scanned(chars: np.ndarray, back: np.ndarray, wanted: np.ndarray, seeds: np.n
         met, homes = slots[at:stop], home[at:stop]
         seed = np.arange(at, stop) >= seeded[homes]
         rounds = back[met]
-        if rounds.any():
+        if not rounds.any():
+            out.append(met[~seed])
+        elif homes[0] == homes[-1] and (most := int(rounds.max())) < 64:  # one bucket: a vector for each round
+            size = int(seeded[homes[0]]) - at
+            held, left, by_round = met[:size], rounds[:size], []
+            for turn in range(most + 1):
+                out.append(held - turn)
+                by_round.append((held - turn)[left == turn])
+                held, left = held[left > turn], left[left > turn]
+            met, rounds = np.concatenate([*by_round, met[size:]]), 0
+        else:
             held, many = met[~seed], rounds[~seed] + 1
             place = np.repeat(held, many)
             turn = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
@@ -107,16 +119,14 @@ def scanned(chars: np.ndarray, back: np.ndarray, wanted: np.ndarray, seeds: np.n
             out.append((place - turn)[order])
             order = stable_order(np.where(seed, n, rounds))
             order = order[stable_order(homes[order])]
-            met, rounds = met[order], rounds[order]
-        else:
-            out.append(met[~seed])
+            met, rounds, homes = met[order], rounds[order], homes[order]
         before = met - rounds - 1
-        before = before[before >= 0]
-        before = before[wanted[before]]
+        found = chars[before]
+        keep = (found > homes) & (before >= 0)  # of the wanted type, as a run's neighbour differs from it
+        before, found = before[keep], found[keep]
         if len(before):
-            order = stable_order(chars[before])
-            before = before[order]
-            found = chars[before]
+            order = stable_order(found)
+            before, found = before[order], found[order]
             rank = ranks_within(found)
             slots[head[found] + rank] = before
             last = np.append(found[1:] != found[:-1], True)
@@ -129,15 +139,16 @@ def induce(data: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> np.ndar
     """All suffixes in order, from the leftmost S-type ones in order: L types from small to large characters, then S types
     from large to small ones, which is the same pass over the characters turned round."""
     places = np.arange(len(data))
-    back = places - np.maximum.accumulate(np.where(np.append(True, data[1:] != data[:-1]), places, 0))
+    back = (places - np.maximum.accumulate(np.where(np.append(True, data[1:] != data[:-1]), places, 0))).astype(np.int32)
     low = scanned(data, back, ~small, leftmost, True)
     turns = low[low > 0]
     turns = turns[small[turns - 1]][::-1]
     high = scanned(data.max() - data, back, small, turns, False)[::-1]
-    begin = np.cumsum(np.bincount(data)) - np.bincount(data)
+    sizes = np.bincount(data)
+    many = np.bincount(data[~small], minlength=len(sizes))
+    lows = np.tile([True, False], len(sizes)).repeat(np.stack([many, sizes - many], axis=1).ravel())  # L types lead a bucket
     order = np.empty(len(data), np.int64)
-    order[begin[data[low]] + ranks_within(data[low])] = low
-    order[(begin + np.bincount(data[low], minlength=len(begin)))[data[high]] + ranks_within(data[high])] = high
+    order[lows], order[~lows] = low, high
     return order
 
 
