@@ -253,10 +253,11 @@ UNION ALL SELECT 'kinds', 0 UNION ALL SELECT 'group_count', 0 UNION ALL SELECT '
 UNION ALL SELECT 'repeated', CAST(count(*) - count(DISTINCT (event_idx, cell_idx)) AS BIGINT) FROM items
 UNION ALL SELECT 'features', count(*) FROM items ANTI JOIN wanted USING (event_idx) UNION ALL SELECT 'cells', count(*) FROM items ANTI JOIN (SELECT s_suppkey AS cell_idx FROM supplier WHERE s_acctbal > 0) USING (cell_idx)""")
 def validation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of a set that breaks some: names without strands, a count per line item, no large groups, listed cells only."""
+    """Rules of a set that breaks some: names without strands or separators, a count per line item, no large groups, listed
+    cells only."""
     events, _ = events_and_counts(spark, sf_dir)
     items = junction_reads(spark, sf_dir).join(events.select("chr", "start", "end", "strand", "event_idx"), ["chr", "start", "end", "strand"])
-    var = events.where("group_count < 12").withColumnRenamed("event_idx", "feature_idx")
+    var = events.where("group_count < 12").withColumnRenamed("event_idx", "feature_idx").withColumn("name", F.concat("chr", "start", F.lit("-"), "end", "group_kind"))
     obs = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("cell_idx"))
     return validation_report(CountSet(obs, var, {"M1": items.select(F.col("event_idx").alias("feature_idx"), "cell_idx", F.col("value").cast("double").alias("value"))}))
 
