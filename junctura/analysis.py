@@ -38,7 +38,7 @@ def pseudo_correlation(counts: CountSet, z: DataFrame, *, metric: str = "CoxSnel
     validate_pair(counts)
     validate_events(counts)
     n_cells, n_events = counts.obs.count(), counts.var.count()
-    seen = z.join(counts.var.select("feature_idx"), "feature_idx").agg(F.count("*").alias("n"), F.countDistinct("feature_idx").alias("events"), F.min(F.size("z")).alias("least"), F.max(F.size("z")).alias("most")).first()
+    seen = z.select("feature_idx", F.size("z").alias("size")).join(counts.var.select("feature_idx"), "feature_idx").agg(F.count("*").alias("n"), F.countDistinct("feature_idx").alias("events"), F.min("size").alias("least"), F.max("size").alias("most")).first()
     if (seen["n"], seen["events"]) != (n_events, n_events) or n_events and (seen["least"], seen["most"]) != (n_cells, n_cells):
         raise ValueError(f"z needs one row of {n_cells} numbers for each of {n_events} events; has {seen['n']} rows of {seen['least']} to {seen['most']}")
     order = with_index(counts.obs.select("cell_idx"), ["cell_idx"], "place")

@@ -4,9 +4,12 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
-from junctura.plans import written
+from junctura.operators import association as A
+from junctura.plans import written  # noqa: F401  (registers its queries)
 from junctura.plans.queries import QUERIES, SQL
+from test_operators import one_event
 
 
 def tables(folder, brands, sizes, n=300, cells=6, lines=5, strands=True):
@@ -37,3 +40,34 @@ def test_names_that_only_a_separator_tells_apart(spark, tmp_path):
     # b1 and start 23, b12 and start 3: both are "b123" in the names of validation_counts
     folder, con = tables(tmp_path / "t", ["b1", "b12"], [15, 16, 115, 116], strands=False)
     assert dict(same(spark, folder, con, "validation_counts"))["names"] > 0
+
+
+@pytest.mark.parametrize("metric", A.METRICS)
+def test_draws_of_a_predictor_with_few_levels(spark, metric):
+    """No long row of a predictor goes to all tasks, and cells that agree are fitted as one, in one task or in parts."""
+    rng, cells = np.random.default_rng(4), 400
+    m = rng.integers(0, 4, (2, 3, cells)) * (rng.random((2, 3, cells)) < 0.6)
+    z = rng.integers(0, 2, (3, cells)) + 0.0
+    rows = [(e, c, float(m[0, e, c]), float(m[1, e, c])) for e in range(3) for c in range(cells) if m[:, e, c].any()]
+    pairs = spark.createDataFrame(rows, "event_idx long, cell_idx long, m1 double, m2 double")
+    zf = spark.createDataFrame([(e, row.tolist()) for e, row in enumerate(z)], "event_idx long, z array<double>")
+    draws = A.permutations(cells, 40, 9)
+    for split in (None, 100):
+        found = A.null_blocks(pairs, zf, metric, cells, 40, 9, split=split)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.event_idx, r.first): r for r in found.collect()}
+        assert sorted(got) == [(e, b) for e in range(3) for b in (1, 33)]
+        for (e, first), r in got.items():
+            assert r.observed == pytest.approx(one_event(z[e], m[0, e], m[1, e], metric), abs=1e-8)
+            assert r.null == pytest.approx([one_event(z[e][d], m[0, e], m[1, e], metric) for d in draws[first - 1 : first + 31]], abs=1e-8)
+
+
+def test_pairs_with_their_predictor(spark):
+    """Without draws no predictor is held as a row: cells that agree come to one row per kind before they are fitted."""
+    pairs = spark.range(0, 40_000, 1, 4).selectExpr("id % 2 as event_idx", "id as cell_idx", "double(id * 7 % 5) as m1", "double(id * 11 % 6) as m2", "double(id div 3 % 2) as z")
+    pdf = pairs.toPandas()
+    for split in (None, 0):
+        got = {r.event_idx: r.observed for r in A.event_correlations(pairs, None, split=split).collect()}
+        for e, own in pdf.groupby("event_idx"):
+            assert got[e] == pytest.approx(one_event(own["z"].to_numpy(), own["m1"].to_numpy(), own["m2"].to_numpy(), "CoxSnell"), abs=1e-8)
+    assert A._patterns(pairs.where("m1 + m2 > 0"), None).count() <= 2 * 2 * 10
