@@ -61,13 +61,13 @@ class CountSet:
         """A snapshot: obs, var, layers and the tables of results go to a new folder under path, and `meta`, which names it, is put
         in place last and at once. Readers see the old set or the new one, whatever fails; a set that was loaded from path can
         be saved there. With `buckets`, layers are bucketed by feature and cell, so that joining them and adding up by feature
-        and cell needs no shuffle after load()."""
+        and cell needs no shuffle after load(); rows are brought together first, so that a bucket is one file."""
         spark, data = self.obs.sparkSession, f"data-{uuid.uuid4().hex}"
         self.obs.write.parquet(f"{path}/{data}/obs")
         self.var.write.parquet(f"{path}/{data}/var")
         for name, rows in self.layers.items():
             if buckets:
-                rows.write.bucketBy(buckets, "feature_idx", "cell_idx").sortBy("feature_idx", "cell_idx").option("path", f"{path}/{data}/layers/{name}").saveAsTable(f"layer_{uuid.uuid4().hex}")
+                rows.repartition(buckets, "feature_idx", "cell_idx").write.bucketBy(buckets, "feature_idx", "cell_idx").sortBy("feature_idx", "cell_idx").option("path", f"{path}/{data}/layers/{name}").saveAsTable(f"layer_{uuid.uuid4().hex}")
             else:
                 rows.write.parquet(f"{path}/{data}/layers/{name}")
         for i, held in enumerate(self.results.values()):
