@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +18,24 @@ from .queries import COX_SNELL, EVENTS, LIBRARY, query
 SAMPLES = ("s0", "s1")
 
 
-def write_file(rows: DataFrame, path: str) -> None:
-    """Rows (place, value) as the lines of one file, in order; one file is what an aligner writes."""
+#: Lines of a file that one task sorts, and inclusion counts of a set for which there are 16 buckets.
+LINES, BUCKETED = 2_000_000, 10_000_000
+
+
+def write_file(rows: DataFrame, path: str, n: int | None = None) -> None:
+    """Rows (place, value), n in all, as the lines of one file, in order; one file is what an aligner writes. Many are sorted by
+    ranges, each in a task and a file of its own, which one task then copies one after the other, line by line."""
     spark, part = rows.sparkSession, f"{path}.parts"
-    rows.coalesce(1).sortWithinPartitions("place").select("value").write.text(part)
     hadoop = spark._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    found = next(str(s.getPath()) for s in fs.listStatus(hadoop.Path(part)) if s.getPath().getName().startswith("part-"))
-    fs.rename(hadoop.Path(found), hadoop.Path(path))
+    files = lambda folder: sorted(str(s.getPath()) for s in fs.listStatus(hadoop.Path(folder)) if s.getPath().getName().startswith("part-"))
+    ranges = 1 + (rows.count() if n is None else n) // LINES
+    if ranges == 1:
+        rows.coalesce(1).sortWithinPartitions("place").select("value").write.text(part)
+    else:
+        rows.repartitionByRange(ranges, "place").sortWithinPartitions("place").select("value").write.text(f"{part}/ranges")
+        reduce(DataFrame.unionAll, [spark.read.text(f) for f in files(f"{part}/ranges")]).coalesce(1).write.mode("append").text(part)
+    fs.rename(hadoop.Path(files(part)[0]), hadoop.Path(path))
     fs.delete(hadoop.Path(part), True)
 
 
@@ -35,9 +46,10 @@ def write_lists(rows: DataFrame, fields: list[str], path: str) -> None:
 def write_matrix(rows: DataFrame, shape: tuple[int, int], path: str, more: str = "general") -> None:
     """A MatrixMarket file of rows (row, col from 0, value)."""
     rows = staged(rows)
-    head = rows.sparkSession.createDataFrame([(0, f"%%MatrixMarket matrix coordinate real {more}"), (1, "% counts"), (2, f"{shape[0]} {shape[1]} {rows.count()}")], "place long, value string")
+    n = rows.count()
+    head = rows.sparkSession.createDataFrame([(0, f"%%MatrixMarket matrix coordinate real {more}"), (1, "% counts"), (2, f"{shape[0]} {shape[1]} {n}")], "place long, value string")
     body = rows.select((F.lit(3) + F.col("row")).alias("place"), F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, "value").alias("value"))
-    write_file(head.unionByName(body), path)
+    write_file(head.unionByName(body), path, n)
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -241,8 +253,11 @@ def association_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LIBRARY}, ranked AS (SELECT event_idx, row_number() OVER (ORDER BY deviance DESC, event_idx) AS r FROM scores)
 SELECT n.event_idx, round(deviance, 5) AS sum_deviance, r IS NOT NULL AND r <= 500 AS highly_variable FROM numbered n LEFT JOIN ranked USING (event_idx) LEFT JOIN scores USING (event_idx)""")
 def hve_of_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Highly variable events of a set whose layers were saved in buckets: their join and first sums are made in place."""
-    held = saved(make_exclusion(event_set(spark, sf_dir)), buckets=16)
+    """Highly variable events of a set whose layers were saved in buckets: their join and first sums are made in place. Buckets
+    grow in number, not in size."""
+    found = event_set(spark, sf_dir)
+    found = found.with_layer("M1", staged(found.layers["M1"]))
+    held = saved(make_exclusion(found), buckets=16 * (1 + found.layers["M1"].count() // BUCKETED))
     return highly_variable_events(held, n_top=500).var.select(F.col("feature_idx").alias("event_idx"), F.round("sum_deviance", 5).alias("sum_deviance"), "highly_variable")
 
 

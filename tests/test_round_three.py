@@ -73,6 +73,27 @@ def test_pairs_with_their_predictor(spark):
     assert A._patterns(pairs.where("m1 + m2 > 0"), None).count() <= 2 * 2 * 10
 
 
+def test_long_files_are_sorted_by_ranges(spark, tmp_path, monkeypatch):
+    """No task sorts more than LINES lines, and those of a file still come in order, repeated places together."""
+    monkeypatch.setattr(written, "LINES", 1000, raising=False)
+    rows = spark.range(0, 30_000, 1, 6).selectExpr("id * 7919 % 30000 div 3 as place", "concat('v', id * 7919 % 30000 div 3) as value")
+    most = []
+    plain = type(rows).sortWithinPartitions
+
+    def watched(df, *columns):
+        out = plain(df, *columns)
+        most.extend(len(p) for p in out.rdd.glom().collect())
+        return out
+
+    monkeypatch.setattr(type(rows), "sortWithinPartitions", watched)
+    written.write_file(rows, f"{tmp_path}/file")
+    assert (tmp_path / "file").read_text().split() == [f"v{i // 3}" for i in range(30_000)]
+    assert max(most) < 3000 and not (tmp_path / "file.parts").exists()
+    written.write_matrix(rows.selectExpr("place as row", "0L as col", "1L as value"), (10_000, 1), f"{tmp_path}/matrix")
+    lines = (tmp_path / "matrix").read_text().split("\n")
+    assert lines[0].startswith("%%MatrixMarket") and lines[2] == "10000 1 30000" and len(lines) == 30_004
+
+
 def test_deviance_without_pairs(spark):
     """Sums by library come from the counts that there are, and equal those of all pairs."""
     from junctura.operators import deviance as D
