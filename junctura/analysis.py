@@ -8,7 +8,7 @@ from numbers import Integral
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .container import CountSet, event_pairs, validate_events, validate_pair
+from .container import CountSet, event_pairs, event_rows, validate_events, validate_pair
 from .functions import staged, with_index
 from .operators import association as A
 from .operators import deviance, variance
@@ -38,12 +38,13 @@ def pseudo_correlation(counts: CountSet, z: DataFrame, *, metric: str = "CoxSnel
     validate_pair(counts)
     validate_events(counts)
     n_cells, n_events = counts.obs.count(), counts.var.count()
-    seen = z.select("feature_idx", F.size("z").alias("size")).join(counts.var.select("feature_idx"), "feature_idx").agg(F.count("*").alias("n"), F.countDistinct("feature_idx").alias("events"), F.min("size").alias("least"), F.max("size").alias("most")).first()
+    z = staged(z.withColumn("size", F.size("z")))  # made once; what follows reads the sizes alone
+    seen = z.select("feature_idx", "size").join(counts.var.select("feature_idx"), "feature_idx").agg(F.count("*").alias("n"), F.countDistinct("feature_idx").alias("events"), F.min("size").alias("least"), F.max("size").alias("most")).first()
     if (seen["n"], seen["events"]) != (n_events, n_events) or n_events and (seen["least"], seen["most"]) != (n_cells, n_cells):
         raise ValueError(f"z needs one row of {n_cells} numbers for each of {n_events} events; has {seen['n']} rows of {seen['least']} to {seen['most']}")
-    order = with_index(counts.obs.select("cell_idx"), ["cell_idx"], "place")
-    pairs = event_pairs(counts).join(order, "cell_idx").select("event_idx", F.col("place").alias("cell_idx"), "m1", "m2")
-    found = A.association(pairs, z.withColumnRenamed("feature_idx", "event_idx"), n_cells, metric, n_permutations, seed)
+    order = staged(with_index(counts.obs.select("cell_idx"), ["cell_idx"], "place"))
+    pairs = (event_rows(counts) if n_permutations else event_pairs(counts)).join(order, "cell_idx").select("event_idx", F.col("place").alias("cell_idx"), "m1", "m2")
+    found = A.association(pairs, z.select(F.col("feature_idx").alias("event_idx"), "z"), n_cells, metric, n_permutations, seed)
     columns = {"observed": key, "n_valid": f"{key}_n_valid", "null_mean": f"{key}_null_mean", "null_sd": f"{key}_null_sd", "p_value": f"{key}_p_value", "q_value": f"{key}_q_value"}
     kept = counts.var.drop(*columns.values())
     observed = found.observed.select(F.col("event_idx").alias("feature_idx"), F.col("observed").alias(key))

@@ -199,3 +199,11 @@ def event_pairs(counts: CountSet, sample_key: str | None = None) -> DataFrame:
     validate_pair(counts)
     pairs = pair_layers(*(counts.layers[n].withColumnRenamed("feature_idx", "event_idx") for n in ("M1", "M2")))
     return pairs if sample_key is None else pairs.join(counts.obs.select("cell_idx", F.col(sample_key).alias("library")), "cell_idx")
+
+
+def event_rows(counts: CountSet) -> DataFrame:
+    """event_pairs() before their counts are brought together: a row (event_idx, cell_idx, m1, m2) per inclusion count, with m2
+    zero, and one per exclusion count, with m1 zero. Nothing is shuffled."""
+    validate_pair(counts)
+    of = lambda n: counts.layers[n].select(F.col("feature_idx").alias("event_idx"), "cell_idx", *[(F.coalesce("value", F.lit(0.0)) if m == n else F.lit(0.0)).alias(m.lower()) for m in ("M1", "M2")])
+    return of("M1").unionByName(of("M2"))

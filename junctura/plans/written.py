@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..analysis import highly_variable_events, pseudo_correlation, result
 from ..container import CountSet, event_pairs, make_exclusion, validation_report
-from ..functions import shared_folder, staged, with_index
+from ..functions import shared_folder, spread, staged, with_index
 from ..sources import read_genes, read_junctions, read_velocity
 from .proxy import events_and_counts, junction_reads, libraries, table
 from .queries import COX_SNELL, EVENTS, LIBRARY, query
@@ -243,8 +243,9 @@ def saved(counts: CountSet, **how) -> CountSet:
 def association_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An association with two draws that is saved with its set, loaded, and read by result()."""
     counts = make_exclusion(event_set(spark, sf_dir))
+    counts = counts.with_layer("M2", staged(counts.layers["M2"]))  # made once: it is fitted and saved
     cells = staged(counts.obs.groupBy().agg(F.array_sort(F.collect_list("cell_idx")).alias("cells")))
-    z = counts.var.select("feature_idx", "start", "end").join(F.broadcast(cells)).select("feature_idx", F.transform("cells", lambda c: ((7 * c + 3 * F.col("start") + F.col("end")) % 2).cast("double")).alias("z"))
+    z = spread(counts.var.select("feature_idx", "start", "end"), "feature_idx").join(F.broadcast(cells)).select("feature_idx", F.transform("cells", lambda c: ((7 * c + 3 * F.col("start") + F.col("end")) % 2).cast("double")).alias("z"))
     found = result(saved(pseudo_correlation(counts, z, n_permutations=2, seed=1)))
     events = counts.var.select(F.col("feature_idx").alias("event_idx"))
     return events.join(found.observed, "event_idx", "left").select("event_idx", (F.round("observed", 5) + 0.0).alias("observed"))

@@ -108,3 +108,29 @@ def test_deviance_without_pairs(spark):
     sums = D.grouped_sums(events, m1, libraries)
     got = {(r.event_idx, r.library): (r.y, r.n, r.own) for r in sums.collect()}
     assert len(expect) == len(got) and all(got[r.event_idx, r.library] == pytest.approx((r.y, r.n, r.own), abs=1e-9) for r in expect)
+
+
+def test_draws_from_counts_that_stand_apart(spark, monkeypatch):
+    """Inclusion and exclusion counts needn't be joined, and cells not be listed by event, before events are drawn."""
+    rng, cells = np.random.default_rng(8), 300
+    m = rng.integers(0, 4, (2, 5, cells)) * (rng.random((2, 5, cells)) < 0.5)
+    z = rng.integers(0, 3, (5, cells)) + 0.0
+    rows = [(e, c, *(float(m[k, e, c]) if i == k else 0.0 for i in (0, 1))) for k in (0, 1) for e in range(5) for c in range(cells) if m[k, e, c]]
+    counts = spark.createDataFrame(rows, "event_idx long, cell_idx long, m1 double, m2 double").repartition(3)
+    zf = spark.createDataFrame([(e, row.tolist()) for e, row in enumerate(z)], "event_idx long, z array<double>")
+    monkeypatch.setattr(A, "GATHERED", 250, raising=False)
+    draws = A.permutations(cells, 3, 9)
+    for split in (None, cells, 100):
+        found = A.null_blocks(counts, zf, "CoxSnell", cells, 3, 9, split=split)
+        if split != 100:
+            assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r.event_idx: r for r in found.collect()}
+        for e in range(5):
+            assert got[e].observed == pytest.approx(one_event(z[e], m[0, e], m[1, e], "CoxSnell"), abs=1e-8)
+            assert got[e].null == pytest.approx([one_event(z[e][d], m[0, e], m[1, e], "CoxSnell") for d in draws], abs=1e-8)
+
+
+def test_predictors_are_made_by_many_tasks(spark):
+    from junctura.functions import spread
+
+    assert spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == 4
