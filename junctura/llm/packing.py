@@ -17,8 +17,10 @@ from .common import batches, partitions, stage, utf8
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
+#: What stands between words that are tokenized together.
+MARK = b"\x01"
 #: Words whose ids a worker remembers at once.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 #: Branches of bin completion, and rounds times lengths of the relaxations that packing may always take.
 NODES, WORK = 6_000, 200_000
 
@@ -27,7 +29,7 @@ PIECES = pa.schema([("key", pa.int64()), ("piece", pa.int64()), ("start", pa.int
 
 class WordIds:
     """Ids of texts as little-endian 32-bit bytes. The vocabulary's pre-tokens never span ASCII white space and its
-    normalizer lowers case, so each lowered word is given to the tokenizer once and its ids are remembered; a comma or full
+    normalizer lowers case, so each lowered word is given to the tokenizer once, with others, and its ids are remembered; a comma or full
     stop after an ASCII letter is a pre-token of its own. The result equals encoding the whole text."""
 
     def __init__(self, vocabulary: str):
@@ -38,16 +40,30 @@ class WordIds:
         kept = sys.modules.setdefault("junctura_word_ids", types.ModuleType("junctura_word_ids"))
         self.tokenizer, self.known = kept.__dict__.setdefault(f"of {vocabulary}", (Tokenizer.from_file(vocabulary), {}))
         self.ends = {c: self.ids([chr(c)])[0] for c in b".,"}
+        # A word of one id, which no word without this character has.
+        self.mark = next((np.frombuffer(x, "<u4")[0] for x in self.ids([MARK.decode()]) if len(x) == 4), None)
 
     def ids(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def each(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word: words go to the tokenizer as one text with marks between them, and its ids are cut there."""
+        if len(words) < 2 or self.mark is None or any(MARK in w for w in words):
+            return self.ids([w.decode("utf-8", "replace") for w in words])
+        text = (b" " + MARK + b" ").join(words).decode("utf-8", "replace")
+        found = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at = (4 * np.flatnonzero(found == self.mark)).tolist()
+        if len(at) != len(words) - 1:
+            return self.ids([w.decode("utf-8", "replace") for w in words])
+        data = found.tobytes()
+        return [data[i:j] for i, j in zip([0, *(i + 4 for i in at)], [*at, len(data)])]
+
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:  # special tokens are told by case
             return self.ids([text.decode("utf-8", "replace")])[0]
         words = text.lower().split()
         known = self.known
-        new = {w for w in words if w not in known}
+        new = set(words).difference(known)
         if new:
             if len(known) + 2 * len(new) > REMEMBERED:
                 known.clear()
@@ -56,7 +72,7 @@ class WordIds:
             new.difference_update(ended)
             new.update(w[:-1] for w in ended if w[:-1] not in known)
             plain = list(new)
-            known.update(zip(plain, self.ids([w.decode("utf-8", "replace") for w in plain])))
+            known.update(zip(plain, self.each(plain)))
             known.update((w, known[w[:-1]] + self.ends[w[-1]]) for w in ended)
         return b"".join(map(known.__getitem__, words))
 

@@ -335,3 +335,14 @@ def test_bin_completion_of_hot_lengths():
         there = np.flatnonzero(counts)
         least = packing.relaxed(counts[there], there, 2048, np.inf, 10_000)[2]
         assert least <= sum(n for n, _ in patterns) <= least + 1
+
+
+def test_new_words_go_to_the_tokenizer_together():
+    import public_tokenizers as P
+
+    w = packing.WordIds(P.path(packing.VOCABULARY))
+    one, asked = w.ids, []
+    words = ["plain", "naïve", "it's", "'s", "́x", "a b", "x-$$$", "ΟΔΟΣ", "12.5", "日本", " "]
+    w.ids = lambda words: asked.append(words) or one(words)
+    assert w.each([x.encode() for x in words]) == one(words) and not asked
+    assert w.each([b"a\x01b", b"\x01", b"c"]) == one(["a\x01b", "\x01", "c"])
