@@ -20,7 +20,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: What stands between words that are tokenized together.
 MARK = b"\x01"
 #: Words whose ids a worker remembers at once.
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 #: Branches of bin completion, and rounds times lengths of the relaxations that packing may always take.
 NODES, WORK = 6_000, 200_000
 
@@ -32,8 +32,8 @@ class WordIds:
     normalizer lowers case, so each lowered word is given to the tokenizer once, with others, and its ids are remembered; a comma or full
     stop after an ASCII letter is a pre-token of its own. The result equals encoding the whole text."""
 
-    def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
+        os.environ["TOKENIZERS_PARALLELISM"], self.remembered = "false", remembered
         from tokenizers import Tokenizer
 
         # Kept in the worker process, where later tasks find it again.
@@ -65,7 +65,7 @@ class WordIds:
         known = self.known
         new = set(words).difference(known)
         if new:
-            if len(known) + 2 * len(new) > REMEMBERED:
+            if len(known) + 2 * len(new) > self.remembered:
                 known.clear()
                 new = set(words)
             ended = [w for w in new if w[-1] in self.ends and len(w) > 1 and 97 <= w[-2] <= 122]
@@ -77,9 +77,9 @@ class WordIds:
         return b"".join(map(known.__getitem__, words))
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end: int = 0, key: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end: int = 0, key: str = "doc_id", text: str = "text", keep_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """The ids of each text followed by `end`, cut only where longer than `capacity`: a row per piece with its ids
-    (little-endian 32-bit bytes; left out unless keep_ids) and their checksum. Null and empty texts have the end alone."""
+    (little-endian 32-bit bytes; left out unless keep_ids) and their checksum. A worker remembers the ids of `remembered` words. Null and empty texts have the end alone."""
     if vocabulary is None:
         import public_tokenizers
 
@@ -87,7 +87,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
     tail, step = np.asarray([end], "<u4").tobytes(), 4 * capacity
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(vocabulary)
+        coder = WordIds(vocabulary, remembered)
 
         def rows():
             for batch in found:
@@ -396,7 +396,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, rows_p
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, key: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Documents as token pieces in sequences of at most `capacity`: see token_pieces() and pack()."""
-    pieces = token_pieces(docs, capacity, vocabulary, key=key, text=text, keep_ids=False).withColumn("tie", F.monotonically_increasing_id())
+    pieces = token_pieces(docs, capacity, vocabulary, key=key, text=text, keep_ids=False, remembered=remembered).withColumn("tie", F.monotonically_increasing_id())
     return pack(stage(pieces, "pack-pieces"), capacity).drop("tie")
